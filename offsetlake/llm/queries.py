@@ -1,7 +1,9 @@
-"""The queries of this subpackage, by name."""
+"""The queries of this subpackage, by name, and SQL for those that it can express."""
 
+from .bloom_dedup import OP10_SQL, op10_bloom_dedup
 from .bpe_automaton import op8_bpe_automaton
+from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op8_bpe_automaton,)}
+QUERIES = {f.__name__: f for f in (op8_bpe_automaton, op9_token_counts, op10_bloom_dedup)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_bloom_dedup": OP10_SQL}
