@@ -1,9 +1,11 @@
 """The queries of this subpackage, by name, and SQL for those that it can express."""
 
+from .bitplanes import op1_bitplane_tokens
 from .bloom_dedup import OP10_SQL, op10_bloom_dedup
 from .bpe_automaton import op8_bpe_automaton
+from .secrets import op7_secret_scan
 from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op8_bpe_automaton, op9_token_counts, op10_bloom_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op7_secret_scan, op8_bpe_automaton, op9_token_counts, op10_bloom_dedup)}
 
 SQL: dict[str, str] = {"op10_bloom_dedup": OP10_SQL}
