@@ -3,9 +3,10 @@
 from .bitplanes import op1_bitplane_tokens
 from .bloom_dedup import OP10_SQL, op10_bloom_dedup
 from .bpe_automaton import op8_bpe_automaton
+from .mixing import op2_sainte_lague_mix
 from .secrets import op7_secret_scan
 from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op7_secret_scan, op8_bpe_automaton, op9_token_counts, op10_bloom_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_tokens, op2_sainte_lague_mix, op7_secret_scan, op8_bpe_automaton, op9_token_counts, op10_bloom_dedup)}
 
 SQL: dict[str, str] = {"op10_bloom_dedup": OP10_SQL}
