@@ -102,7 +102,7 @@ class BpeAutomaton:
                         key = path[-1], token
                         ok = arcs.get(key)
                         if ok is None:
-                            if len(arcs) > 2_000_000:  # bounds the transition table
+                            if len(arcs) > 400_000:  # bounds the transition table
                                 arcs.clear()
                             ok = arcs[key] = self._arc(*key)
                     else:
@@ -133,7 +133,7 @@ class BpeAutomaton:
 class Encoder:
     """Whole texts: special tokens, pre-split words, automaton. Keeps a bounded table of parts it has met."""
 
-    def __init__(self, automaton: BpeAutomaton, special: dict[str, int], most: int = 500_000):
+    def __init__(self, automaton: BpeAutomaton, special: dict[str, int], most: int = 120_000):
         self.automaton, self.special, self.most = automaton, special, most
         self.words = regex.compile(PRE_SPLIT).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")").split if special else None
