@@ -27,12 +27,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_automaton import tokenizer_path
+from .bpe_automaton import PRE_SPLIT, tokenizer_path
 from .shared import materialize, table, text_of, work_path
 
 BLOCK = 1 << 16
@@ -155,64 +156,43 @@ class Reader:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind bounded tables of words and of parts that no token crosses.
+    """The tokenizers library behind a bounded table of words.
 
-    A text whose spaces all stand between two characters that are no white space
-    splits at them into parts that encode alone, and a part into the words that the
-    vocabulary is split by; the library encodes each word it has not just met.
-    Other texts go to the library whole.
+    A text is split into the words that the vocabulary is split by, and the library
+    encodes each word it has not just met. Texts with special tokens go to it whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        from .bpe_automaton import IRREGULAR, PRE_SPLIT
-
-        self.library, self.irregular, self.most = Tokenizer.from_file(path), IRREGULAR.search, most
+        self.library, self.most = Tokenizer.from_file(path), most
         self.library.no_truncation()
         self.library.no_padding()
         self.split = regex.compile(PRE_SPLIT).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts not in the table."""
-        split = [self.split(p) for p in parts]
-        words = self.words
-        if len(words) > self.most:
-            words.clear()
-        new = list({w for own in split for w in own if w not in words})
-        also = dict(zip(new, self._batch(new), strict=True))
-        words.update((w, ids) for w, ids in also.items() if len(w) <= 64)  # longer ones do not come again
-        return {p: b"".join([words[w] if w in words else also[w] for w in own]) for p, own in zip(parts, split, strict=True)}
-
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, and ``end`` behind them."""
         out = []
-        for i in range(0, len(texts), 256):
+        for i in range(0, len(texts), 64):
             if len(self.known) > self.most:
                 self.known.clear()
             known = self.known
-            parts: list[list[str] | None] = []
-            for t in texts[i : i + 256]:
-                if self.irregular(t) or any(s in t for s in self.special):
-                    parts.append(None)
-                else:
-                    first, *rest = t.split(" ")
-                    parts.append([first] + [" " + r for r in rest])
-            also = self._learn(list({p for own in parts if own for p in own if p not in known}))
-            known.update((p, ids) for p, ids in also.items() if len(p) <= 64)
-            whole = iter(self._batch([t for t, own in zip(texts[i : i + 256], parts, strict=True) if own is None]))
-            for own in parts:
-                out.append((next(whole) if own is None else b"".join([known[p] if p in known else also[p] for p in own])) + end)
+            split = [None if any(s in t for s in self.special) else self.split(t) for t in texts[i : i + 64]]
+            new = list({w for own in split if own for w in own if w not in known})
+            known.update(zip(new, self._batch(new), strict=True))
+            whole = iter(self._batch([t for t, own in zip(texts[i : i + 64], split, strict=True) if own is None]))
+            out += [(next(whole) if own is None else b"".join([known[w] for w in own])) + end for own in split]
+            for w in new:
+                if len(w) > 64:  # does not come again
+                    del known[w]
         return out
 
 

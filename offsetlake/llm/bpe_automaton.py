@@ -35,8 +35,6 @@ from .shared import table, text_of
 #: The split of text before merges that the vocabulary was made with, with white space by the Unicode property.
 _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PRE_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: A text without these splits at its spaces into parts that no token crosses.
-IRREGULAR = regex.compile(r"^ | $|\s | \s|[\x1c-\x1f]")
 
 FOREVER = 1 << 60
 
@@ -131,53 +129,31 @@ class BpeAutomaton:
 
 
 class Encoder:
-    """Whole texts: special tokens, pre-split words, automaton. Keeps a bounded table of parts it has met."""
+    """Whole texts: special tokens, pre-split words, automaton. Keeps a bounded table of words it has met."""
 
-    def __init__(self, automaton: BpeAutomaton, special: dict[str, int], most: int = 120_000):
+    def __init__(self, automaton: BpeAutomaton, special: dict[str, int], most: int = 400_000):
         self.automaton, self.special, self.most = automaton, special, most
         self.words = regex.compile(PRE_SPLIT).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")").split if special else None
         self.known: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def _encode_part(self, part: str) -> tuple[int, ...]:
-        out: list[int] = []
-        known = self.known
-        for word in self.words(part):
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple(self.automaton.encode(word.encode()))
-                if len(word) <= 64:  # long ones do not come again
-                    if len(known) > self.most:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return tuple(out)
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        if (found := self.parts.get(part)) is None:
-            found = self._encode_part(part)
-            if len(part) <= 64:
-                if len(self.parts) > self.most:
-                    self.parts.clear()
-                self.parts[part] = found
-        return found
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.automaton.encode(word.encode()))
+        if len(word) <= 64:  # longer ones do not come again
+            if len(self.known) > self.most:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
+        get, learn = self.known.get, self._word
         for piece in self.split(text) if self.split else [text]:
-            if not piece:
-                continue
             if (one := self.special.get(piece)) is not None:
                 ids.append(one)
-            elif IRREGULAR.search(piece):
-                ids += self._encode_part(piece)
             else:
-                get = self.parts.get
-                first, *rest = piece.split(" ")
-                ids += self._part(first)
-                for part in [" " + r for r in rest]:
-                    ids += get(part) or self._part(part)
+                for word in self.words(piece):
+                    ids += get(word) or learn(word)
         return ids
 
     def decode(self, ids) -> str:
