@@ -68,3 +68,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str = "text"):
     """The text, a null one as the empty one."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def key_runs(batches, key: int = 0):
+    """Runs of rows with one key, from batches sorted by it: each a list of slices of batches."""
+    import numpy as np
+
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and keys[lo] != last:
+                yield held
+                held = []
+            last = keys[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield held
