@@ -1,8 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to the token ids of a deduplicated, mixed training set.
 
-STAGES = []
+Stages run in order, each on all that its predecessor kept, written to Parquet and
+read again between. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from offsetlake.llm import bloom_dedup, bpe_automaton, chosen_path, mixing, quality
+from offsetlake.llm.shared import materialize, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from ``labels``, does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of equal texts."""
+    return bloom_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of texts that are 0.8 alike in shingles of five words."""
+    return chosen_path.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, a row for each run of words; words taken twice are there twice."""
+    return mixing.mix_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text and the text they decode to."""
+    return bpe_automaton.encode_documents(docs, bpe_automaton.tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("source mix", mix),
+    ("token ids", tokens),
+]
+
+#: Classifying, near duplicates and byte-pair encoding are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
