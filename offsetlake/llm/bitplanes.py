@@ -162,7 +162,7 @@ class LibraryEncoder:
     encodes each word it has not just met. Texts with special tokens go to it whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

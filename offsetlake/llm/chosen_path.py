@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     ones too, are linked with nothing. A row with a null id is no document to link
     to; it takes the component of its text's others, or null. Rows that share an id
     are one document: what either is linked with, both are. Repeated rows all
-    appear; :func:`drop_near_copies` leaves one. Other columns are not read.
+    appear. Other columns are not read.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id; columns as they were.
 
-    Documents that are dropped are few or many; only their ids travel. Rows that
-    repeat an id stay or go together, but for exact repeats, of which one stays.
+    Only ids of documents that go are joined against. Rows that share an id stay or
+    go together, repeated ones too; rows with a null id stay.
     """
     found = near_duplicates(docs, percent, id_column, text_column)
     gone = materialize(found.where(~F.col("kept") & F.col(id_column).isNotNull()).select(F.col(id_column).alias("gone")).distinct(), "gone")
