@@ -254,8 +254,8 @@ def drop_near_copies(docs: DataFrame, percent: int = 80, id_column: str = "doc_i
     go together, repeated ones too; rows with a null id stay.
     """
     found = near_duplicates(docs, percent, id_column, text_column)
-    gone = materialize(found.where(~F.col("kept") & F.col(id_column).isNotNull()).select(F.col(id_column).alias("gone")).distinct(), "gone")
-    stays = docs.join(gone, F.col(id_column) == F.col("gone"), "left_anti")
+    gone = materialize(found.where(~F.col("kept") & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_gone_id")).distinct(), "gone")
+    stays = docs.join(gone, docs[id_column] == gone["_gone_id"], "left_anti")
     return stays.select(*docs.columns)
 
 

@@ -146,8 +146,11 @@ def taken(own: Plan, source: np.ndarray, start: np.ndarray, size: np.ndarray):
     return np.concatenate(pieces) if pieces else np.zeros((0, 5), np.int64)
 
 
-def placed(docs: DataFrame, carried: dict, source_column: str, id_column: str, text_column: str, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, shards: int = 64, seed: int = 17, max_sources: int = 1_000_000):
-    """The plan, and rows with ``size``, ``src`` (number of the source) and ``start`` (words of its source before it)."""
+def placed(docs: DataFrame, carried: dict, source_column: str, id_column: str, text_column: str, whole: bool, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, shards: int = 64, seed: int = 17, max_sources: int = 1_000_000):
+    """The plan, and rows with ``size``, ``src`` (number of the source) and ``start`` (words of its source before it).
+
+    ``whole``: the carried columns have texts, which then are not written between.
+    """
     spark = docs.sparkSession
     size = F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long")
     rows = docs.select(
@@ -157,11 +160,9 @@ def placed(docs: DataFrame, carried: dict, source_column: str, id_column: str, t
         F.xxhash64(F.lit(seed), F.col(id_column)).alias("h"),
         F.xxhash64(text_of(text_column)).alias("tie"),
     )
-    if text_column not in [str(n) for n in carried]:
+    if not whole:
         rows = materialize(rows, "sizes")
-        sums = rows
-    else:
-        sums = materialize(rows.select("source", "size"), "sizes")
+    sums = materialize(rows.select("source", "size"), "sizes") if whole else rows
     totals = sums.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources: group them before mixing")
@@ -187,7 +188,7 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     in order. Ids may be null or repeat. Empty tables give empty results. Other
     columns are not read. The same rows give the same result in any partitioning.
     """
-    own, rows = placed(docs, {"id": F.col(id_column)}, source_column, id_column, text_column, **how)
+    own, rows = placed(docs, {"id": F.col(id_column)}, source_column, id_column, text_column, False, **how)
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(own)  # a few numbers a source
 
@@ -212,8 +213,8 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Nulls and repeated rows as in :func:`mix_counts`.
     """
     names = docs.columns
-    inner = {f"c{i}" if c != text_column else text_column: F.col(f"`{c}`") for i, c in enumerate(names)}
-    own, rows = placed(docs, inner, source_column, id_column, text_column, **how)
+    inner = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names)}
+    own, rows = placed(docs, inner, source_column, id_column, text_column, True, **how)
     shared = docs.sparkSession.sparkContext.broadcast(own)
     kept = list(inner)
     at = names.index(text_column)
