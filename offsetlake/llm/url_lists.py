@@ -68,8 +68,12 @@ def judge(captures: DataFrame, entries: DataFrame, id_column: str = "page_id", u
     keyed = rows.select("id", "url", "fetched", "host", F.explode_outer(_keys(F.col("host"), F.col("path"), size["depth"] or 0)).alias("key"))
     hit = (F.col("key") == F.col("pattern")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     met = keyed.join(spans, hit, "left")
-    best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("pattern"))))
-    out = met.groupBy("id", "url", "host", "fetched").agg(F.count("pattern").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), best["pattern"].alias("pattern"))
+    out = met.groupBy("id", "url", "host", "fetched").agg(F.collect_set(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("pattern"), "category"))).alias("hits"))
+    out = out.withColumns({
+        "n_active": F.size("hits").cast("long"),
+        "categories": F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["category"]))), ","),
+        "pattern": F.array_max("hits")["pattern"],
+    })
     return out.select(F.col("id").alias(id_column), "host", "fetched", "n_active", "categories", F.coalesce("pattern", F.lit("")).alias("pattern"), (F.col("n_active") > 0).alias("blocked"))
 
 
