@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,8 +89,6 @@ def crc32c_bytes(data: bytes, crc: int = 0) -> int:
 
 def crc32c(c: Column) -> Column:
     """Castagnoli checksum of a binary column; Spark's own ``crc32`` has another polynomial."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def of(data: pd.Series) -> pd.Series:
         return data.map(lambda b: None if b is None else crc32c_bytes(bytes(b)))
