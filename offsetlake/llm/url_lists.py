@@ -102,7 +102,7 @@ ENTRIES = (
 def op3_url_temporal(spark, sf_dir: str) -> DataFrame:
     """Pages carry no date of their own; a page counts as fetched on day page_id mod 366 of 2024."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
-    entries = spark.createDataFrame(ENTRIES, "pattern string, category string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    entries = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS entries(pattern, category, action, day)")
     return judge(pages, entries).withColumn("fetched", F.col("fetched").cast("string"))
 
 
