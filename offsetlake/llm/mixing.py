@@ -8,7 +8,7 @@ blocks in the order of a seeded permutation, and starts again from the first whe
 it has none left; the last block is cut so that its words come to its target.
 
 Only sums by source reach the driver (``max_sources`` at most, else it refuses).
-Documents are placed by running sums inside buckets of some 50,000 rows, so a
+Documents are placed by running sums inside buckets of some 8,000 rows, so a
 source that holds a third of all rows is as many tasks as its share.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, materialize, table, text_of
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_192
 WEIGHTS = (5, 2, 1)  # of sources in order, repeating
 
 
