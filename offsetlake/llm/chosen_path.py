@@ -32,7 +32,7 @@ from .shared import key_runs, materialize, table, text_of
 from .shingles import shingle_set
 
 TREES, TOKENS, SKETCH = 10, 32, 128
-LIMIT, DEPTH, BRANCHES = 1024, 4, 2
+LIMIT, DEPTH, BRANCHES = 2048, 4, 2
 _rng = np.random.default_rng(85)
 _TIMES = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64) | np.uint64(1)
 _FLIP = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64)
