@@ -19,13 +19,15 @@ def number(rows: DataFrame, part: str, order: list[str], bucket: Column) -> Data
 
     ``bucket`` must not fall along ``order``. Rows are numbered inside buckets, and a
     running sum of the buckets' counts is added, so a partition of any size is as
-    many tasks as it has buckets instead of one.
+    many tasks as it has buckets instead of one. Rows with a null bucket come first.
     """
     rows = rows.withColumn("_bucket", bucket)
     counts = rows.groupBy(part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = counts.select(part, "_bucket", (F.sum("_n").over(Window.partitionBy(part).orderBy("_bucket")) - F.col("_n")).alias("_ahead"))
+    ahead = counts.select(F.col(part).alias("_part"), F.col("_bucket").alias("_at"), (F.sum("_n").over(Window.partitionBy(part).orderBy("_bucket")) - F.col("_n")).alias("_ahead"))
     inside = F.row_number().over(Window.partitionBy(part, "_bucket").orderBy(*order))
-    return rows.withColumn("_row", inside).join(ahead, [part, "_bucket"]).withColumn("off", (F.col("_ahead") + F.col("_row") - 1).cast("long")).drop("_bucket", "_row", "_ahead")
+    same = F.col(part).eqNullSafe(F.col("_part")) & F.col("_bucket").eqNullSafe(F.col("_at"))
+    numbered = rows.withColumn("_row", inside).join(ahead, same)
+    return numbered.withColumn("off", (F.col("_ahead") + F.col("_row") - 1).cast("long")).drop("_bucket", "_row", "_ahead", "_part", "_at")
 
 
 def log_events(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
