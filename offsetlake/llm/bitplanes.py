@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import io
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -155,6 +157,14 @@ class Reader:
             held = whole[n:]
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class LibraryEncoder:
     """The tokenizers library behind a bounded table of words.
 
@@ -162,7 +172,7 @@ class LibraryEncoder:
     encodes each word it has not just met. Texts with special tokens go to it whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -176,7 +186,7 @@ class LibraryEncoder:
         self.known: dict[str, bytes] = {}
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [little(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, and ``end`` behind them."""
@@ -186,10 +196,10 @@ class LibraryEncoder:
                 self.known.clear()
             known = self.known
             split = [None if any(s in t for s in self.special) else self.split(t) for t in texts[i : i + 64]]
-            new = list({w for own in split if own for w in own if w not in known})
+            new = list(set().union(*filter(None, split)).difference(known))
             known.update(zip(new, self._batch(new), strict=True))
             whole = iter(self._batch([t for t, own in zip(texts[i : i + 64], split, strict=True) if own is None]))
-            out += [(next(whole) if own is None else b"".join([known[w] for w in own])) + end for own in split]
+            out += [(next(whole) if own is None else b"".join(map(known.__getitem__, own))) + end for own in split]
             for w in new:
                 if len(w) > 64:  # does not come again
                     del known[w]
