@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import distance, millis, valid_topic_name
 from ..functions.schema import BY_SIZE, BY_TIME, SEGMENT_HEADER
 from ..functions.workspace import work_path
-from ..operators import consumer, integrity, metrics, packing, replay, retention, scan
-from ..sources import binary
+from ..operators import capacity, consumer, integrity, metrics, packing, replay, retention, scan
+from ..sources import binary, workloads
 from ..sources.views import PARTS, catalog_parts, commits, log_events, log_turns, table
 from ..streaming import offsets
 
@@ -323,6 +323,37 @@ def expired_distance(spark: SparkSession, sf: str) -> DataFrame:
     return progress.join(starts, "part").select("group_id", "part", "next", "new_low", distance(F.col("new_low"), F.col("next")).alias("skipped"))
 
 
+@query
+def partition_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return capacity.partition_stats(log_events(spark, sf), catalog_parts(spark, PARTS + 1), SEGMENT_RECORDS)
+
+
+@query
+def store_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return capacity.store_stats(capacity.partition_stats(log_events(spark, sf), catalog_parts(spark, PARTS + 1), SEGMENT_RECORDS))
+
+
+@query
+def disk_pressure(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a clerk as samples of free space."""
+    samples = table(spark, sf, "orders").select((F.col("o_custkey") % PARTS).cast("int").alias("part"), F.col("o_orderkey").alias("at"), F.floor("o_totalprice").cast("long").alias("free"))
+    return capacity.pressure(samples, 30_000, 350_000)
+
+
+@query
+def workload_keys(spark: SparkSession, sf: str) -> DataFrame:
+    made = workloads.soak(spark, 2000, 7, 0x5EED, 3).withColumn("k", workloads.soak_key(F.col("key")))
+    return made.select("part", "key", "k.producer", "k.sequence", F.length("value").alias("value_length"))
+
+
+@query
+def sequence_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events as a producer's sequence, some out of place: steps that do not rise."""
+    events = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") - F.when(F.col("event_id") % 13 == 0, 60).otherwise(0)).alias("sequence"))
+    before = F.lag("sequence").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return events.withColumn("before", before).where("sequence <= before")
+
+
 @query
 def stream_offsets(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_path(spark, "stream-offsets")

@@ -268,6 +268,28 @@ SELECT part, sha256(string_agg(h, '' ORDER BY node)) AS digest FROM upper_ GROUP
     SELECT part, coalesce(max("end") FILTER (retired), min(segment_base)) AS new_low FROM planned GROUP BY part
 ), {COMMITS}, progress AS (SELECT group_id, part, arg_max(next, seq) AS next FROM commits WHERE seq % 2 = 0 GROUP BY ALL)
 SELECT group_id, part, next, new_low, greatest(new_low - next, 0) AS skipped FROM progress JOIN starts USING (part)""",
+    "partition_stats": f"""WITH {LOG}, {PARTS_5}
+SELECT p.part, greatest(count(DISTINCT "off" // {SEGMENT_RECORDS}), 1) AS segments, count("off") AS n, CAST(coalesce(sum(encoded_bytes), 0) AS BIGINT) AS bytes,
+       coalesce(min("off"), 0) AS low, coalesce(max("off") + 1, 0) AS high, max(ts_ms) AS newest_ms
+FROM parts p LEFT JOIN log USING (part) GROUP BY p.part""",
+    "store_stats": f"""WITH {LOG}, {PARTS_5}, each AS (
+    SELECT p.part, greatest(count(DISTINCT "off" // {SEGMENT_RECORDS}), 1) AS segments, count("off") AS n, sum(encoded_bytes) AS bytes FROM parts p LEFT JOIN log USING (part) GROUP BY p.part
+)
+SELECT count(*) AS partitions, count(*) FILTER (n > 0) AS with_records, CAST(sum(segments) AS BIGINT) AS segments, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM each""",
+    "disk_pressure": """WITH samples AS (
+    SELECT CAST(o_custkey % 4 AS INTEGER) AS part, o_orderkey AS "at", CAST(floor(o_totalprice) AS BIGINT) AS free FROM orders
+)
+SELECT *, coalesce(last_value(CASE WHEN free < 30000 THEN true WHEN free >= 350000 THEN false END IGNORE NULLS)
+                   OVER (PARTITION BY part ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS refused
+FROM samples""",
+    "workload_keys": """SELECT CAST(range % 7 % 4 AS INTEGER) AS part, printf('soak-%016x-%016x-%08x-%016x', 24301, 3, range % 7, range // 7) AS key,
+       range % 7 AS producer, range // 7 AS sequence,
+       CAST(CASE range // 7 % 64 WHEN 0 THEN 65536 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE 1024 END AS INTEGER) AS value_length
+FROM range(2000)""",
+    "sequence_check": """WITH seen AS (
+    SELECT user_id, event_id, event_id - CASE WHEN event_id % 13 = 0 THEN 60 ELSE 0 END AS sequence FROM events
+), lagged AS (SELECT *, lag(sequence) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM seen)
+SELECT * FROM lagged WHERE sequence <= before""",
     "stream_offsets": f"""WITH {LOG} SELECT event_id, part, "off" FROM log""",
     "stream_bounds": f"""WITH {LOG}, {PARTS_4}, {ENDS} SELECT * FROM ends WHERE n > 0""",
     "binary_roundtrip": f"""WITH {LOG} SELECT part, "off", ts_ms, key, value FROM log""",

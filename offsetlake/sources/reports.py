@@ -32,3 +32,18 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Number and bytes of segment files (20 digits and ``.log``) below a folder, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     return files.where(F.regexp_extract("path", r"/([0-9]{20}\.log)$", 1) != "").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def merge_settings(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Settings of both; where both have one, the first wins."""
+    joined = first.select("name", F.col("value").alias("a")).join(second.select("name", F.col("value").alias("b")), "name", "full_outer")
+    return joined.select("name", F.coalesce("a", "b").alias("value"))
+
+
+def markdown(rows: DataFrame, order: str, most: int = 1000) -> str:
+    """A report's rows as a Markdown table, in order, ``most`` of them at most."""
+    columns = rows.columns
+    lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+    for row in rows.orderBy(order).limit(most).collect():
+        lines.append("| " + " | ".join("" if v is None else f"{v:g}" if isinstance(v, float) else str(v) for v in row) + " |")
+    return "\n".join(lines) + "\n"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offsetlake.functions import scalar
 from offsetlake.functions.schema import AssignmentLost, CommitRegression, Corrupt, InvalidArgument, OffsetOutOfRange, RecordTooLarge, TopicExists, TopicNotFound, Unsupported
 from offsetlake.functions.workspace import work_path
-from offsetlake.operators import consumer, integrity, metrics, packing, replay, retention, scan
+from offsetlake.operators import capacity, consumer, integrity, metrics, packing, replay, retention, scan
 from offsetlake.plans import catalogue, oracle
 from offsetlake.sources import binary, reports, views
 from offsetlake.store import LogStore
@@ -255,6 +255,27 @@ def test_reports(spark, tmp_path):
     assert reports.runs(spark, str(tmp_path / "r.json")).first().measurement_ns == 10
 
 
+def test_settings_merge_and_reports(spark):
+    a, b = spark.createDataFrame([("x", "1")], "name string, value string"), spark.createDataFrame([("x", "2"), ("y", "3")], "name string, value string")
+    merged = reports.merge_settings(a, b)
+    assert {tuple(r) for r in merged.collect()} == {("x", "1"), ("y", "3")}
+    assert reports.markdown(merged, "name") == "| name | value |\n|-|-|\n| x | 1 |\n| y | 3 |\n"
+
+
+def test_limits(spark):
+    totals = spark.createDataFrame([(5, 9), (1, 1)], "topics int, partitions int")
+    assert [r.over for r in capacity.over_limits(totals, {"topics": 4, "partitions": 8}).collect()] == ["partitions,topics", ""]
+    events = spark.createDataFrame([(60,), (30,)], "bytes long")
+    assert capacity.history_fits(events, 10, 100).first()[:] == (90, 10, True) and not capacity.history_fits(events, 11, 100).first().fits
+
+
+def test_pressure_has_a_band(spark):
+    free = [50, 9, 20, 29, 30, 15, 9, 30, 31]
+    samples = spark.createDataFrame([(0, i, f) for i, f in enumerate(free)], "part int, at long, free long")
+    for width in (2, 100):
+        assert [r.refused for r in capacity.pressure(samples, 10, 30, width).orderBy("at").collect()] == [False, True, True, True, False, False, True, False, False]
+
+
 def test_offsets_go_on_over_batches(spark):
     folder = work_path(spark, "stream")
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("part", (F.col("user_id") % 4).cast("int"))
