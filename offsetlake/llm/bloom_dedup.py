@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import materialize, sliced, table
 
 MAX_SLOTS = 1 << 29
 SEGMENT = 1 << 18  # slots that travel together
@@ -50,7 +50,7 @@ def hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_digests(b.column(1)), pa.binary())], names=["id", "digest"])
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, digest binary")
@@ -153,7 +153,7 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(inner, names, strict=True))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = _digests(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary()), pa.array(maybe_repeated(found, bloom, m))], names=[*inner, "digest", "again"])
 

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, text_of
+from .shared import sliced, table, text_of
 
 #: The split of text before merges that the vocabulary was made with, with white space by the Unicode property.
 _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -100,7 +100,7 @@ class BpeAutomaton:
                         key = path[-1], token
                         ok = arcs.get(key)
                         if ok is None:
-                            if len(arcs) > 400_000:  # bounds the transition table
+                            if len(arcs) > 200_000:  # bounds the transition table
                                 arcs.clear()
                             ok = arcs[key] = self._arc(*key)
                     else:
@@ -131,7 +131,7 @@ class BpeAutomaton:
 class Encoder:
     """Whole texts: special tokens, pre-split words, automaton. Keeps a bounded table of words it has met."""
 
-    def __init__(self, automaton: BpeAutomaton, special: dict[str, int], most: int = 400_000):
+    def __init__(self, automaton: BpeAutomaton, special: dict[str, int], most: int = 200_000):
         self.automaton, self.special, self.most = automaton, special, most
         self.words = regex.compile(PRE_SPLIT).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")").split if special else None
@@ -196,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, ends, decoded = array("i"), array("i", [0]), []
             for text in batch.column(1).to_pylist():
                 found = own.encode(text)

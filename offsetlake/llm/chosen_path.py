@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_runs, materialize, table, text_of
+from .shared import key_runs, materialize, sliced, table, text_of
 from .shingles import shingle_set
 
 TREES, TOKENS, SKETCH = 10, 32, 128
@@ -50,22 +50,20 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 
 def _prepare(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                sets = [shingle_set(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                full = [s for s in sets if len(s)]
-                found = iter(minwise(full) if full else [])
-                keys, tokens, sketches = [], [], []
-                for s in sets:
-                    m = next(found) if len(s) else None
-                    keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    tokens.append(None if m is None else (m[:TOKENS] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    sketches.append(None if m is None else (mixed(m[TOKENS:]) & np.uint64(255)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
-                    names=["id", "n", "cls", "tokens", "sketch"],
-                )
+        for part in sliced(batches):
+            sets = [shingle_set(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            full = [s for s in sets if len(s)]
+            found = iter(minwise(full) if full else [])
+            keys, tokens, sketches = [], [], []
+            for s in sets:
+                m = next(found) if len(s) else None
+                keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                tokens.append(None if m is None else (m[:TOKENS] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                sketches.append(None if m is None else (mixed(m[TOKENS:]) & np.uint64(255)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+                names=["id", "n", "cls", "tokens", "sketch"],
+            )
 
     return run, f"id {kind}, n long, cls binary, tokens array<int>, sketch binary"
 
@@ -230,10 +228,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     clusters = materialize(join_classes(classes, percent), "clusters")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "set"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "set"])
 
     wanted = materialize(clusters.select("id").distinct(), "wanted")
     sets = source.join(wanted, "id", "left_semi").mapInArrow(full, f"id {kind}, set binary").where(F.octet_length("set") > 0)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize, table, text_of
+from .shared import WORD, materialize, sliced, table, text_of
 
 BUCKET_ROWS = 8_192
 WEIGHTS = (5, 2, 1)  # of sources in order, repeating
@@ -224,7 +224,7 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for b in batches:
+        for b in sliced(batches):
             src, size, start = (b.column(len(kept) + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             pieces = taken(p, src, start, size)
             pieces = pieces[np.lexsort((pieces[:, 1], pieces[:, 3], pieces[:, 0]))]

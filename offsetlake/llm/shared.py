@@ -34,6 +34,19 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches cut to a few rows, so that what a task makes of whole texts at a time is small.
+
+    At the end of a task memory that Arrow keeps for itself goes back.
+    """
+    import pyarrow as pa
+
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def key_runs(batches, key: int = 0):
     """Runs of rows with one key, from batches sorted by it: each a list of slices of batches."""
     import numpy as np
