@@ -1,11 +1,12 @@
 """Mixing sources to target weights with Sainte-Laguë quotas.
 
 A source's documents are put in a seeded order and its words cut into blocks of
-equal size. The mix has seats for blocks, dealt to shards; the seats go to sources
-by the highest quotients target / (2k + 1), so each shard has an integer quota of
-each source, and quotas add up over shards. A source fills its seats with its
-blocks in the order of a seeded permutation, and starts again from the first when
-it has none left; the last block is cut so that its words come to its target.
+equal size. The words of the mix go to sources by the highest quotients
+target / (2k + 1): integer quotas, within a word or so of the targets, that add up
+to the mix. A source's blocks, in the order of a seeded permutation and again from
+the first when none is left, fill as many seats as hold its quota; the last block
+is cut to it. The seats are dealt to shards by the same quotients, so each shard
+has an integer quota of seats of each source, and quotas add up over shards.
 
 Only sums by source reach the driver (``max_sources`` at most, else it refuses).
 Documents are placed by running sums inside buckets of some 8,000 rows, so a
@@ -68,12 +69,30 @@ def quotas(shares: list[float], seats: int) -> list[int]:
         if high - low <= 1e-15 * high:
             break
     have = held(low)
-    for _ in range(int(seats - have.sum())):  # only ties and neighbours in the last bit are left
+    rest = int(seats - have.sum())
+    if rest:  # only ties and neighbours in the last bit are left, a seat a source
         with np.errstate(divide="ignore"):
-            have[np.argmin(np.where(t > 0, (2 * have + 1) / t, np.inf))] += 1
+            have[np.argsort(np.where(t > 0, (2 * have + 1) / t, np.inf), kind="stable")[:rest]] += 1
     return have.astype(int).tolist()
 
 
+def word_quotas(want: list[float], most: list[int]) -> list[int]:
+    """Quotas of the words that ``want`` adds up to, none above its ``most``; what is above goes to the others."""
+    out = [0] * len(want)
+    open_ = [i for i, t in enumerate(want) if t > 0]
+    left = round(sum(want))
+    while open_:
+        held = dict(zip(open_, quotas([want[i] for i in open_], left), strict=True))
+        full = {i for i in open_ if held[i] > most[i]}
+        for i in full or open_:
+            out[i] = min(held[i], most[i])
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
 def permuted(k: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """Where a seeded permutation of [0, n) puts k: a Feistel network over the next square, walked until inside."""
     k, n, seed = (np.asarray(x, np.uint64) for x in (k, n, seed))
@@ -103,7 +122,9 @@ class Plan:
     targets: list[float]
     block: int
     seed: int
-    take: np.ndarray  # words
+    take: np.ndarray  # quota of words
+    odd: np.ndarray  # where the permutation puts the short block
+    seats: np.ndarray  # blocks that hold the quota, those of every pass
     bounds: np.ndarray  # seats up to each shard, a row a source
 
     def blocks(self) -> np.ndarray:
@@ -115,10 +136,16 @@ def plan(totals: list[tuple[str | None, int]], weights, share: float, most: floa
     sizes = [n for _, n in totals]
     by_rank = [weights[i % len(weights)] for i in range(len(sizes))]
     want = targets(sizes, by_rank, share * sum(sizes), most)
-    seats = round(sum(want) / block)
-    bounds = np.array([quotas(want, seats * (j + 1) // shards) for j in range(shards)], np.int64).T.reshape(len(sizes), shards)
-    take = np.minimum(np.floor(np.array(want) + 0.5).astype(np.int64), np.array([int(most) * n for n in sizes], np.int64))
-    return Plan([s for s, _ in totals], np.array(sizes, np.int64), want, block, seed, take, bounds)
+    take = np.array(word_quotas(want, [int(most * n) for n in sizes]), np.int64)
+    n = np.array(sizes, np.int64)
+    per = -(-n // block)
+    odd = permuted(per - 1, np.maximum(per, 1), seed + np.arange(len(per))).astype(np.int64) if len(per) else per
+    passes, rest = np.divmod(take, np.maximum(n, 1))
+    last = -(-rest // block)
+    seats = passes * per + np.where(last <= odd, last, -(-(rest + per * block - n) // block))
+    every = int(seats.sum())
+    bounds = np.array([quotas(seats.tolist(), every * (j + 1) // shards) for j in range(shards)], np.int64).T.reshape(len(sizes), shards)
+    return Plan([s for s, _ in totals], n, want, block, seed, take, odd, seats, bounds)
 
 
 def taken(own: Plan, source: np.ndarray, start: np.ndarray, size: np.ndarray):
@@ -131,9 +158,8 @@ def taken(own: Plan, source: np.ndarray, start: np.ndarray, size: np.ndarray):
     src = source[row]
     per = own.blocks()
     rank = permuted(block, per[src], own.seed + src).astype(np.int64)
-    odd = permuted(per - 1, np.maximum(per, 1), own.seed + np.arange(len(per))).astype(np.int64) if len(per) else per  # rank of the short block
     short = b * per - own.sizes
-    before = rank * b - np.where(rank > odd[src], short[src], 0)  # words of the blocks that come first
+    before = rank * b - np.where(rank > own.odd[src], short[src], 0)  # words of the blocks that come first
     lo, hi = np.maximum(block * b, start[row]), np.minimum((block + 1) * b, (start + size)[row])
     pieces = []
     turns = -(-own.take // np.maximum(own.sizes, 1))
@@ -141,7 +167,7 @@ def taken(own: Plan, source: np.ndarray, start: np.ndarray, size: np.ndarray):
         end = np.minimum(hi, block * b + own.take[src] - turn * own.sizes[src] - before)
         some = end > lo
         seat = (turn * per[src] + rank)[some]
-        shard = np.minimum((own.bounds[src[some]] <= seat[:, None]).sum(1), max(own.bounds.shape[1] - 1, 0))
+        shard = (own.bounds[src[some]] <= seat[:, None]).sum(1)
         pieces.append(np.stack([row[some], lo[some] - start[row[some]], end[some] - start[row[some]], np.full(some.sum(), turn), shard], 1))
     return np.concatenate(pieces) if pieces else np.zeros((0, 5), np.int64)
 
@@ -180,10 +206,12 @@ def placed(docs: DataFrame, carried: dict, source_column: str, id_column: str, t
 
 
 def mix_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **how) -> DataFrame:
-    """How many words of each document the mix takes.
+    """How many words of each document the mix takes, and into which shards.
 
     One row for each row of ``docs``: the id column, ``source``, ``size`` long,
-    ``source_size`` long, ``target`` double (its source's), ``taken`` long. A null
+    ``source_size`` long, ``target`` double, ``quota`` long (words) and ``seats``
+    long (blocks; these four its source's), ``taken`` long, ``shards`` array of
+    (``shard`` int, ``words`` long), those that take some in order. A null
     text counts as empty: size 0, nothing taken. Null sources are one source, last
     in order. Ids may be null or repeat. Empty tables give empty results. Other
     columns are not read. The same rows give the same result in any partitioning.
@@ -200,16 +228,23 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             pieces = taken(p, src, start, size)
             words = np.zeros(b.num_rows, np.int64)
             np.add.at(words, pieces[:, 0], pieces[:, 2] - pieces[:, 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(p.sizes[src] if len(src) else src), pa.array(want[src] if len(src) else np.zeros(0)), pa.array(words)], names=["id", "source", "size", "source_size", "target", "taken"])
+            dealt, of = np.unique(pieces[:, [0, 4]], axis=0, return_inverse=True)
+            shares = np.zeros(len(dealt), np.int64)
+            np.add.at(shares, of.reshape(-1), pieces[:, 2] - pieces[:, 1])
+            ends = np.searchsorted(dealt[:, 0], np.arange(b.num_rows + 1)).astype(np.int32)
+            inner = pa.StructArray.from_arrays([pa.array(dealt[:, 1].astype(np.int32)), pa.array(shares)], names=["shard", "words"])
+            sources = [pa.array(x[src] if len(src) else x[:0]) for x in (p.sizes, want, p.take, p.seats)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *sources, pa.array(words), pa.ListArray.from_arrays(pa.array(ends), inner)], names=["id", "source", "size", "source_size", "target", "quota", "seats", "taken", "shards"])
 
-    return rows.select("id", "source", "src", "size", "start").mapInArrow(run, f"id {kind}, source string, size long, source_size long, target double, taken long").withColumnRenamed("id", id_column)
+    return rows.select("id", "source", "src", "size", "start").mapInArrow(run, f"id {kind}, source string, size long, source_size long, target double, quota long, seats long, taken long, shards array<struct<shard: int, words: long>>").withColumnRenamed("id", id_column)
 
 
-def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **how) -> DataFrame:
+def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", shard_column: str | None = None, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each run of words taken, its text cut to them.
 
     ``n_chars``, if there is one, becomes the new length. Documents of which
     nothing is taken have no row; one that is taken twice has a row for each time.
+    With ``shard_column`` a run lies in one shard, whose number (int) is a last column.
     Nulls and repeated rows as in :func:`mix_counts`.
     """
     names = docs.columns
@@ -220,7 +255,9 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     at = names.index(text_column)
     chars = names.index("n_chars") if "n_chars" in names else None
     words = re.compile(WORD).finditer
-    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
+    added = [] if shard_column is None else [shard_column]
+    schema = ", ".join([*fields, *(f"c{len(names)} int" for _ in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -228,14 +265,18 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             src, size, start = (b.column(len(kept) + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             pieces = taken(p, src, start, size)
             pieces = pieces[np.lexsort((pieces[:, 1], pieces[:, 3], pieces[:, 0]))]
-            texts, spans, before, rows_, cut = b.column(at), [], -1, [], []
-            for row, lo, hi, turn, _ in pieces.tolist():
-                if rows_ and (row, turn, lo) == (rows_[-1], last[0], last[1]):  # blocks side by side are one run
+            if not added:
+                pieces[:, 4] = 0
+            texts, spans, before, rows_, cut, shards = b.column(at), [], -1, [], [], []
+            for row, lo, hi, turn, shard in pieces.tolist():
+                if rows_ and (row, shard, turn, lo) == (rows_[-1], shards[-1], *last):  # blocks side by side are one run
                     lo = cut.pop()[1]
                     rows_.pop()
+                    shards.pop()
                 if row != before:
                     before, spans = row, [m.span() for m in words(texts[row].as_py())]
                 rows_.append(row)
+                shards.append(shard)
                 cut.append((texts[row].as_py()[spans[lo][0] : spans[hi - 1][1]], lo))
                 last = turn, hi
             found = b.take(pa.array(rows_, pa.int64())) if rows_ else b.slice(0, 0)
@@ -243,10 +284,11 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             columns[at] = pa.array([c for c, _ in cut], pa.string())
             if chars is not None:
                 columns[chars] = pa.array([len(c) for c, _ in cut], pa.int64()).cast(columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))])
+            columns += [pa.array(shards, pa.int32()) for _ in added]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    return rows.select(*kept, "src", "size", "start").mapInArrow(run, schema).toDF(*names)
+    return rows.select(*kept, "src", "size", "start").mapInArrow(run, schema).toDF(*names, *added)
 
 
 def op2_sainte_lague_mix(spark, sf_dir: str) -> DataFrame:
-    return mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "quota", "seats", "taken", "shards", "source")

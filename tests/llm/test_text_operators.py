@@ -215,6 +215,39 @@ def test_mix_of_documents(spark, odd, nothing):
     assert mixing.mix_counts(nothing).count() == 0 and mixing.mix_documents(nothing).count() == 0
 
 
+def test_quotas_decide_the_mix(spark):
+    """Every third of a word is rounded by the quotients, so the mix has its words to the last; rounding alone gives 3 too few."""
+    want = [100 + 1 / 3] * 9
+    assert sum(mixing.word_quotas(want, [200] * 9)) == round(sum(want)) == 903
+    assert mixing.word_quotas([2.0, 2.4, 0.0], [1, 9, 9]) == [1, 3, 0] and mixing.word_quotas([], []) == []
+    for sizes in ([5000, 903, 2000], [1, 49, 50, 51, 100], [7, 0, 1000], [3, 3, 3, 3], [0, 0]):
+        own = mixing.plan([(f"s{i}", n) for i, n in enumerate(sizes)], (5, 2, 1), 1.5, 2.0, 50, 4, 3)
+        assert own.take.sum() == round(sum(own.targets)) and (own.take <= 2 * own.sizes).all()
+        pieces = [mixing.taken(own, np.array([s]), np.array([0]), np.array([n])) for s, n in enumerate(sizes)]
+        for s, p in enumerate(pieces):  # a seat is a block of a pass
+            assert (p[:, 2] - p[:, 1]).sum() == own.take[s]
+            assert np.bincount(p[:, 4], minlength=4).tolist() == np.diff(own.bounds[s], prepend=0).tolist()
+        seats = np.diff(own.bounds.sum(0), prepend=0)
+        assert seats.sum() == own.seats.sum() and seats.max() - seats.min() <= 1
+
+
+def test_mix_gives_shards(spark, odd, nothing):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = mixing.mix_counts(docs, block=32, shards=5).collect()
+    quota = {r.source: r.quota for r in rows}
+    assert {s: sum(r.taken for r in rows if r.source == s) for s in quota} == quota and sum(quota.values()) == round(1.5 * sum(r.size for r in rows))
+    assert all(sum(s.words for s in r.shards) == r.taken and [s.shard for s in r.shards] == sorted({s.shard for s in r.shards}) for r in rows)
+    mixed = mixing.mix_documents(docs, shard_column="shard", block=32, shards=5)
+    assert mixed.columns == [*docs.columns, "shard"]
+    got = {}
+    for r in mixed.collect():
+        got[r.doc_id, r.shard] = got.get((r.doc_id, r.shard), 0) + len(re.findall(WORD, r.text))
+    assert got == {(r.doc_id, s.shard): s.words for r in rows for s in r.shards} and {s for _, s in got} == set(range(5))
+    assert mixing.mix_documents(odd, shard_column="shard").columns == [*odd.columns, "shard"] and mixing.mix_documents(nothing, shard_column="shard").count() == 0
+    again = {r.doc_id: r.shards for r in mixing.mix_counts(docs.repartition(7), block=32, shards=5).collect()}
+    assert again == {r.doc_id: r.shards for r in rows}
+
+
 # URL lists
 
 
