@@ -292,3 +292,18 @@ def test_topic_names(spark):
     names = {"a": True, "A.b_c-9": True, "": False, ".": False, "..": False, "__x": False, "_x": True, "a b": False, "x" * 249: True, "x" * 250: False, None: False}
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", scalar.valid_topic_name(F.col("n")).alias("v")).collect()
     assert {r.n: r.v for r in got} == names
+
+
+def test_seek_of_every_offset(spark):
+    """Borders of batches and of ranges, offsets below the first entry, and ranges without an entry."""
+    bases = [b for b in range(512, 280_000, 256) if not 66_000 < b < 200_000]
+    index = spark.createDataFrame([(p, b, 3 * b + p) for p in (0, 1) for b in bases], "part int, base long, position long")
+    probes = spark.range(280_000).select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("part"), F.col("id").alias("off"))
+    got = scan.seek(probes, index).toPandas().sort_values(["part", "off"])
+    at = pd.Series(bases).searchsorted(range(280_000), side="right") - 1
+    base = pd.Series([float(bases[i]) if i >= 0 else None for i in at], dtype="float")
+    assert len(got) == 840_000 and got.off.tolist() == list(range(280_000)) * 3
+    for p in (0, 1):
+        own = got[got.part == p].reset_index()
+        assert own.base.astype(float).equals(base) and own.position.astype(float).equals(3 * base + p)
+    assert got[got.part == 2].base.isna().all()
