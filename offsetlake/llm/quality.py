@@ -8,9 +8,9 @@ bounded sample of labelled texts. Every document's vector is compared with all
 labelled vectors by exact cosine products, a block of documents at a time, and the
 nearest vote with a power of their similarity.
 
-The sample has ``most_labelled`` rows at most, half for either label, of those with
-the smallest seeded hash; so the basis and the labelled vectors are bounded, and
-they are all that is collected or broadcast.
+The sample has ``most_labelled`` rows at most, those with the smallest seeded hash of
+both labels together, so it has the labels' own shares in an input of any size. The
+basis and the labelled vectors are bounded, and all that is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, text_of
+from .shared import materialize, table, text_of
 
 MARKS = b".,!|%#$&*"
 REPEAT = 30  # a repeated word counts as so many triples
@@ -118,15 +118,15 @@ def held_out(id_column: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most_labelled: int = 4096, dimensions: int = 48, neighbours: int = 15, power: int = 8, seed: int = 11) -> Model:
-    """Learns from labelled rows that are not held out; at most ``most_labelled``, half for either label.
+    """Learns from labelled rows that are not held out; at most ``most_labelled``, by a seeded hash of the id.
 
     Rows of ``labels`` with a null id or label, or whose id no document has, do not count;
     a document that repeats counts once for each time. Without any, every score is 0.5.
     """
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
-    order = F.xxhash64(F.lit(seed), "id"), F.col("id")
-    sample = [known.where(F.col("label") == k).orderBy(*order).limit(most_labelled // 2) for k in (0, 1)]
-    chosen = F.broadcast(sample[0].unionByName(sample[1]))  # most_labelled rows of two numbers
+    known = materialize(known.join(docs.select(F.col(id_column).alias("id")), "id", "left_semi"), "labelled")
+    order = F.xxhash64(F.lit(seed), "id"), F.col("id"), F.col("label")
+    chosen = F.broadcast(known.orderBy(*order).limit(most_labelled))  # rows of two numbers
     texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text")).join(chosen, "id").select("id", "text", "label")
 
     def run(batches):
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k.tobytes() for k, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["id", "label", "k", "v"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = texts.mapInArrow(run, f"id {kind}, label int, k binary, v binary").orderBy("id", "label", "k", "v").limit(most_labelled).collect()
+    rows = texts.mapInArrow(run, f"id {kind}, label int, k binary, v binary").orderBy(*order, "k", "v").limit(most_labelled).collect()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if not rows:

@@ -153,6 +153,16 @@ def test_quality_on_odd_rows(spark, odd, nothing):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_sample_has_the_shares_of_the_labels(spark):
+    """One label in ten is 0, and two ids in three have no document."""
+    labels = spark.range(9000).selectExpr("id AS doc_id", "cast(id % 10 > 0 AS int) AS quality")
+    docs = labels.where("doc_id % 3 = 0").selectExpr("doc_id", "concat('Text ', doc_id, ' of label ', quality) AS text")
+    model = quality.fit(docs, labels, most_labelled=400, dimensions=4)
+    assert len(model.labels) == 400 and 0.84 < model.labels.mean() < 0.96 and abs(model.share - 0.9) < 0.02
+    twice = quality.fit(docs.unionByName(docs), labels, most_labelled=400, dimensions=4)
+    assert len(twice.labels) == 400 and 0.82 < twice.labels.mean() < 0.98
+
+
 # mixing
 
 
