@@ -307,3 +307,11 @@ def test_seek_of_every_offset(spark):
         own = got[got.part == p].reset_index()
         assert own.base.astype(float).equals(base) and own.position.astype(float).equals(3 * base + p)
     assert got[got.part == 2].base.isna().all()
+
+
+def test_cleanup_debt_is_cut_at_its_default(spark):
+    for n in (1023, 1024, 1025):
+        retired = spark.range(n).selectExpr("cast(id % 2 AS int) AS part", "id * 10 AS segment_base", "id + 1 AS bytes")
+        row = retention.cleanup_debt(retired).first()
+        kept = sorted((i % 2, i * 10, i + 1) for i in range(n))[:1024]
+        assert (row.n, row.bytes, row.min_base, row.truncated) == (len(kept), sum(b for _, _, b in kept), 0, n > 1024)
