@@ -95,7 +95,7 @@ def _step(op, value) -> tuple[set[bytes] | None, tuple]:
     if op is C.LITERAL:
         return {chr(value).lower().encode()}, ANY
     if op is C.IN:
-        if all(kind is C.LITERAL for kind, _ in value) and len(value) <= 4:
+        if all(kind is C.LITERAL for kind, _ in value) and len(value) <= 8:
             return {chr(v).lower().encode() for _, v in value}, ANY
         return None, ANY
     if op is C.SUBPATTERN:

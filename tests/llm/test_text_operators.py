@@ -55,6 +55,17 @@ def test_trigram_queries():
         assert [(k, s, e) for k, s, e in got] == [(rules[i].kind, s, e) for s, i, e in sorted((m.start(), i, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.pattern, t))]
 
 
+def test_classes_of_some_letters_give_trigrams():
+    """One of five letters gives five ways; a class of more than eight gives none."""
+    rules = {r.kind: r for r in secrets.MORE}
+    forge = secrets.trigram_query(rules["forge"])
+    assert forge == ("or", frozenset(("and", frozenset({("has", b"gh" + c), ("has", b"h" + c + b"_")})) for c in (b"p", b"o", b"u", b"s", b"r")))
+    assert secrets.trigram_query(secrets.Rule("r", "a[bcdefghij]k")) == ("any",)
+    texts = [f"{a}gh{c}_{'x' * n}" for a in ("", " ", "gh") for c in "pousrqPOUSR" for n in (35, 36, 40)] + ["xox" + c + "-" + "1" * 20 for c in "abprsz"]
+    for t, got in zip(texts, secrets.Scanner(secrets.MORE).scan(texts), strict=True):
+        assert got == [(r.kind, m.start(), m.end()) for r in secrets.MORE for m in re.finditer(r.pattern, t) if len(m.group()) >= r.least], t
+
+
 def test_secret_rows(spark, odd, nothing):
     assert secrets.scan_secrets(odd).count() == odd.count() and secrets.scan_secrets(nothing).count() == 0
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(secret_texts(300))], SCHEMA)
