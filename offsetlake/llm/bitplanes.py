@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_automaton import PRE_SPLIT, tokenizer_path
+from .bpe_automaton import tokenizer_path
+from .presplit import PRE_SPLIT
 from .shared import materialize, table, text_of, work_path
 
 BLOCK = 1 << 16

@@ -1,40 +1,42 @@
-"""Byte-pair encoding as a deterministic automaton over tokens.
+"""Byte-pair encoding as a deterministic automaton.
 
-The automaton accepts a sequence of tokens exactly if byte-pair encoding of its
-bytes gives that sequence. It is built from the merges in order of rank, one
-gadget each. The gadget of the merge (a, b) at rank k
+The token automaton accepts a sequence of tokens exactly if byte-pair encoding of its
+bytes gives that sequence. It is built from the merges in order of rank, one gadget
+each. The gadget of the merge (a, b) at rank k
 
 * gives ``a`` a state of its own, a clone of the state it led to without the
   arc ``b`` (after ``a`` the token ``b`` can no longer follow), and
 * adds the arc ``ab`` wherever ``a`` could be followed by ``b``; it leads where
   ``b`` led.
 
-A table of states by tokens has 2.5 billion cells for 50,000 merges, so rows and
+A table of its states by tokens has 2.5 billion cells for 50,000 merges, so rows and
 columns are kept as what the gadgets did: a clone is its parent and the arc it
 lost, and a new column is the column it was copied from and the rank. An arc
 ``y`` out of the state of ``x`` exists unless some lost arc (z, w, k) applies,
 with ``z`` on the right spine of ``x`` and ``w`` on the left spine of ``y``, each
-older than the rank at which the spine left it. Arcs asked for are kept in a
-transition table.
+older than the rank at which the spine left it.
+
+What is driven is the automaton over bytes that comes of spelling the arcs out
+(:class:`~.tables.Machine`): integer states, a table of transitions on bytes, a label
+on each. Every byte of every pre-split word is one look-up; the words of a batch go
+in step. The labels spell the accepted path from its end, and decoding puts the
+bytes of labels side by side.
 """
 
 from __future__ import annotations
 
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .presplit import flat, word_starts
 from .shared import sliced, table, text_of
-
-#: The split of text before merges that the vocabulary was made with, with white space by the Unicode property.
-_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-PRE_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+from .tables import Machine, trace
 
 FOREVER = 1 << 60
 
@@ -47,26 +49,26 @@ def byte_letters() -> dict[str, int]:
 
 
 class BpeAutomaton:
-    """Compiled merges. ``encode`` and ``decode`` work on bytes of one pre-split word and on ids."""
+    """Compiled merges: which token may follow which, and the table over bytes that spells it out."""
 
-    def __init__(self, single: dict[int, int], merges: list[tuple[int, int, int]], names: dict[int, bytes]):
-        """single: id of each byte; merges: (left, right, made) ids by rank; names: the bytes of each id."""
-        self.names = names
+    def __init__(self, single: dict[int, int], merges: list[tuple[int, int, int]], names: dict[int, bytes], most: int = 1 << 20):
+        """single: id of each byte; merges: (left, right, made) ids by rank; names: the bytes of each id; most: transitions to hold."""
         self.parts: dict[int, tuple[int, int, int]] = {}  # made: rank, left, right
         self.lost: dict[tuple[int, int], int] = {}  # (state's token, arc): rank
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.by_bytes = {names[i]: i for i in single.values()}
         live = set(single.values())
         for rank, (left, right, made) in enumerate(merges):
-            if left not in live or right not in live or not self._arc(left, right):
+            if left not in live or right not in live or not self.follows(left, right):
                 continue  # the pair never stands side by side, so the token is never made
             if made in live:
                 raise ValueError(f"two merges make the token {made}")
             self.lost[left, right] = rank
             self.parts[made] = rank, left, right
             live.add(made)
-            self.by_bytes[names[made]] = made
-        self.longest = max(map(len, self.by_bytes), default=1)
+        self.table = Machine(((names[i], i) for i in sorted(live)), self.follows, most=most)
+        self.names = [names.get(i, b"") for i in range(max(names, default=-1) + 1)]
+        self.sizes = np.array([len(n) for n in self.names], np.int64)
+        self.spelt = np.frombuffer(b"".join(self.names), np.uint8)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The token and its outermost parts on one side, each with the rank at which the spine left it."""
@@ -76,7 +78,8 @@ class BpeAutomaton:
             out.append((token, part[0]))
         return out
 
-    def _arc(self, last: int, nxt: int) -> bool:
+    def follows(self, last: int, nxt: int) -> bool:
+        """Whether the state of ``last`` has the arc ``nxt``."""
         lost, left = self.lost, self._spine(nxt, 1)
         for z, z_until in self._spine(last, 2):
             for w, w_until in left:
@@ -85,79 +88,76 @@ class BpeAutomaton:
                     return False
         return True
 
+    def paths(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The label at every byte of words, and which bytes end a token of the accepted paths."""
+        labels = self.table.labels(raw, starts, lengths)
+        return labels, trace(labels, starts, lengths, self.sizes)
+
     def encode(self, word: bytes) -> list[int]:
-        """The accepted path that spells the word; longest arcs are tried first."""
-        n, by_bytes, arcs, longest = len(word), self.by_bytes, self.arcs, self.longest
-        path: list[int] = []
-        ends = [0]
-        dead: set[int] = set()  # the path to a position is unique, so a position is dead for good
-        at, size = 0, min(n, longest)
-        while at < n:
-            found = 0
-            while size:
-                if at + size not in dead and (token := by_bytes.get(word[at : at + size])) is not None:
-                    if path:
-                        key = path[-1], token
-                        ok = arcs.get(key)
-                        if ok is None:
-                            if len(arcs) > 200_000:  # bounds the transition table
-                                arcs.clear()
-                            ok = arcs[key] = self._arc(*key)
-                    else:
-                        ok = True
-                    if ok:
-                        path.append(token)
-                        at += size
-                        ends.append(at)
-                        found = 1
-                        break
-                size -= 1
-            if found:
-                size = min(n - at, longest)
-                continue
-            if not path:
-                raise ValueError("a byte is not in the vocabulary")
-            dead.add(at)
-            ends.pop()
-            at = ends[-1]
-            size = len(self.names[path.pop()]) - 1
-        return path
-
-    def decode(self, ids) -> bytes:
-        names = self.names
-        return b"".join([names[i] for i in ids])
+        labels, ends = self.paths(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([len(word)]))
+        return labels[ends].tolist()
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of arc labels, side by side."""
+        sizes = self.sizes[ids]
+        return self.spelt[np.repeat(self.firsts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
 class Encoder:
-    """Whole texts: special tokens, pre-split words, automaton. Keeps a bounded table of words it has met."""
-
-    def __init__(self, automaton: BpeAutomaton, special: dict[str, int], most: int = 200_000):
-        self.automaton, self.special, self.most = automaton, special, most
-        self.words = regex.compile(PRE_SPLIT).findall
-        self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")").split if special else None
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.automaton.encode(word.encode()))
-        if len(word) <= 64:  # longer ones do not come again
-            if len(self.known) > self.most:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+    """Whole texts: special tokens, pre-split words, automaton."""
+
+    def __init__(self, automaton: BpeAutomaton, special: dict[str, int]):
+        self.automaton, self.special = automaton, {k.encode(): v for k, v in special.items()}
+
+    def _special(self, raw: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """Where special tokens stand inside texts: (first byte, end, id), leftmost and longest first."""
+        whole, found = raw.tobytes(), []
+        for name, number in self.special.items():
+            at = whole.find(name)
+            while at >= 0:
+                found.append((at, -len(name), number))
+                at = whole.find(name, at + 1)
+        out, free = [], 0
+        for at, size, number in sorted(found):
+            inside = np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at - size, "left")
+            if at >= free and inside:  # not over the end of a text
+                out.append((at, at - size, number))
+                free = at - size
+        return out
+
+    def encode_batch(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's ids begin and the last end."""
+        raw, bounds = flat(text)
+        special = self._special(raw, bounds)
+        cuts = np.array([x for a, b, _ in special for x in (a, b)], np.int64)
+        starts = word_starts(raw, np.sort(np.concatenate([bounds[:-1], cuts])) if special else bounds[:-1])
+        lengths = np.diff(starts, append=len(raw))
+        if special:
+            first, size, _ = (np.array(x) for x in zip(*special, strict=True))
+            own = np.searchsorted(first, starts, "right") - 1
+            plain = (own < 0) | (starts >= size[own])
+            starts, lengths = starts[plain], lengths[plain]
+        labels, ends = self.automaton.paths(raw, starts, lengths)
+        for _, end, number in special:
+            labels[end - 1] = number
+            ends[end - 1] = True
+        return labels[ends], np.concatenate([[0], np.cumsum(ends)])[bounds]
+
+    def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The text of each list of ids; bytes that are no UTF-8 are replaced."""
+        raw = self.automaton.spell(ids)
+        sizes = np.concatenate([[0], np.cumsum(self.automaton.sizes[ids])])[bounds]
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(sizes.astype(np.int64).tobytes()), pa.py_buffer(raw)])
+        try:
+            return out.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            return pa.array([b.decode("utf-8", "replace") for b in out.to_pylist()], pa.large_string())
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        get, learn = self.known.get, self._word
-        for piece in self.split(text) if self.split else [text]:
-            if (one := self.special.get(piece)) is not None:
-                ids.append(one)
-            else:
-                for word in self.words(piece):
-                    ids += get(word) or learn(word)
-        return ids
+        return self.encode_batch(pa.array([text]))[0].tolist()
 
     def decode(self, ids) -> str:
-        return self.automaton.decode(ids).decode("utf-8", "replace")
+        return self.decode_batch(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 def load(path: str) -> tuple[BpeAutomaton, dict[str, int]]:
@@ -189,22 +189,20 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     Returns one row for each row of ``docs``: the id column, ``ids`` array<int>,
     ``decoded`` string. A null text counts as the empty one (no ids, empty
     string); ids are passed through, null or repeated; other columns are not
-    read, so their names cannot clash. Texts of any length are taken whole; a
-    task holds one Arrow batch of rows. Nothing is shuffled.
+    read, so their names cannot clash. Texts of any length are taken whole, in time
+    that grows as the length of a word (one look-up a byte); a task holds the slice
+    of a batch (512 rows and 8 MB, or one text) and tables of bounded size. Nothing is
+    shuffled.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in sliced(batches):
-            ids, ends, decoded = array("i"), array("i", [0]), []
-            for text in batch.column(1).to_pylist():
-                found = own.encode(text)
-                decoded.append(own.decode(found))
-                ids.extend(found)
-                ends.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(ids), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+            ids, bounds = own.encode_batch(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
+            decoded = own.decode_batch(ids, bounds).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)

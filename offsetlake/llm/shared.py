@@ -34,16 +34,23 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def sliced(batches, rows: int = 512):
-    """Arrow batches cut to a few rows, so that what a task makes of whole texts at a time is small.
+def sliced(batches, rows: int = 512, size: int = 1 << 23):
+    """Arrow batches cut to some rows and bytes, or to one row, so that what a task makes of whole texts at a time is small.
 
     At the end of a task memory that Arrow keeps for itself goes back.
     """
     import pyarrow as pa
 
+    def halves(b):
+        if b.num_rows > 1 and b.nbytes > size:
+            yield from halves(b.slice(0, b.num_rows // 2))
+            yield from halves(b.slice(b.num_rows // 2))
+        elif b.num_rows:
+            yield b
+
     for b in batches:
         for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            yield from halves(b.slice(at, rows))
     pa.default_memory_pool().release_unused()
 
 

@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from tokenizers import Tokenizer
 
-from offsetlake.llm import bitplanes, bpe_automaton, token_counts
+from offsetlake.llm import bitplanes, bpe_automaton, presplit, token_counts
 from offsetlake.llm.shared import materialize, work_path
 
 BYTES, PIECES = bpe_automaton.tokenizer_path("byte_bpe_50k.json"), bpe_automaton.tokenizer_path("piece_bpe_32k.model")
@@ -55,11 +56,39 @@ def test_gadgets_on_a_small_alphabet():
             assert automaton.encode(word) == ids, word
 
 
-def test_table_of_words_may_be_forgotten():
+def test_table_may_be_forgotten_and_words_stay_in_step():
     automaton, special = bpe_automaton.load(BYTES)
-    small, library = bpe_automaton.Encoder(automaton, special, most=3), Tokenizer.from_file(BYTES)
-    for t in fuzz(40):
-        assert small.encode(t) == library.encode(t, add_special_tokens=False).ids
+    automaton.table.most = 50
+    small, library = bpe_automaton.Encoder(automaton, special), Tokenizer.from_file(BYTES)
+    found = fuzz(60)
+    ids, bounds = small.encode_batch(pa.array(found))
+    assert automaton.table.used < 5_000
+    for t, a, b in zip(found, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_every_byte_is_one_look_up(monkeypatch):
+    automaton, _ = bpe_automaton.load(BYTES)
+    looked, own = [], automaton.table._look
+    monkeypatch.setattr(automaton.table, "_look", lambda state, symbols: looked.append(len(state)) or own(state, symbols))
+    for word in (b" tokenization", b"a" * 500, b"xqzjkvw", "\u4e2d\u6587".encode()):
+        looked.clear()
+        assert b"".join(automaton.names[i] for i in automaton.encode(word)) == word
+        assert sum(looked) == len(word)
+
+
+def test_words_of_a_batch_are_those_of_the_pattern():
+    split = regex.compile(presplit.PRE_SPLIT).findall
+    rnd = random.Random(1)
+    parts = ["'", "'s", "'ll", "'re", "'r", "'ve", "e", "l", " ", "  ", "\n", "\t", chr(0x3000), chr(0xE9), "1", chr(0x663), "!", "_", chr(0x4E2D), chr(0x1F600), "ab", "\x85", "\xa0", "'S", chr(0x17F), "'v" + chr(0xE9)]
+    found = fuzz() + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(5000)]
+    raw, bounds = presplit.flat(pa.array(found))
+    want, at = [], 0
+    for t in found:
+        for w in split(t):
+            want.append(at)
+            at += len(w.encode())
+    assert presplit.word_starts(raw, bounds[:-1]).tolist() == want
 
 
 @pytest.mark.parametrize("chunk", [1 << 16, 5])
