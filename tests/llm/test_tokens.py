@@ -91,23 +91,60 @@ def test_words_of_a_batch_are_those_of_the_pattern():
     assert presplit.word_starts(raw, bounds[:-1]).tolist() == want
 
 
-@pytest.mark.parametrize("chunk", [1 << 16, 5])
+@pytest.mark.parametrize("chunk", [1 << 12, 5])
 def test_counts_are_those_of_the_library(spark, chunk, monkeypatch):
     from sentencepiece import SentencePieceProcessor
 
     monkeypatch.setattr(token_counts, "CHUNK", chunk)
     library, own = SentencePieceProcessor(model_file=PIECES), token_counts.transducer(PIECES)
-    for t in texts(spark) if chunk > 5 else fuzz():
-        assert own.count(t) == len(library.encode(t)), t[:80]
+    found = texts(spark) if chunk > 5 else fuzz(100)
+    for t, n in zip(found, own.count_batch(pa.array(found)), strict=True):
+        assert n == len(library.encode(t)), t[:80]
 
 
-def test_chunk_maps_compose_in_any_order():
+def test_chunk_maps_compose_in_any_order(monkeypatch):
+    """Arrays of (state, count, state) of three chunks, cut anywhere, those without a space too."""
+    monkeypatch.setattr(token_counts, "WINDOW", 24)
     own = token_counts.transducer(PIECES)
-    text = token_counts.MARK + "some text  with spaces and longwordswithoutany ".replace(" ", token_counts.MARK)
-    for i in range(1, len(text) - 1):
-        for j in range(i + 1, len(text)):
-            a, b, c = (own.chunk(x) for x in (text[:i], text[i:j], text[j:]))
-            assert own.compose(own.compose(a, b), c) == own.compose(a, own.compose(b, c))
+    rnd = random.Random(5)
+    for text in ("some text  with spaces and longwordswithoutany ", "".join(rnd.choice("aehinorst") for _ in range(90))):
+        symbols, _ = token_counts.marked(pa.array([text]))
+        n = len(symbols)
+        for i in range(1, n - 1, 3):
+            for j in range(i + 1, n, 4):
+                a, b, c = own.maps(symbols, [(0, 0, i), (max(0, i - 24), i, j), (max(0, j - 24), j, n)])
+                left, right = (token_counts.compose(token_counts.compose(a, b), c), token_counts.compose(a, token_counts.compose(b, c)))
+                assert (left.enter, left.count.tolist(), left.leave) == (right.enter, right.count.tolist(), right.leave)
+                if token_counts.lacking([a, b, c], own.start) is None:
+                    assert left.count[left.at(own.start)] == own.count(text)
+
+
+def test_a_state_that_a_map_lacks_is_added(monkeypatch):
+    """With hardly a window the states found are wrong at times; counts are exact all the same."""
+    monkeypatch.setattr(token_counts, "WINDOW", 1)
+    monkeypatch.setattr(token_counts, "CHUNK", 7)
+    own = token_counts.transducer(PIECES)
+    rnd = random.Random(6)
+    met = []
+    monkeypatch.setattr(token_counts, "lacking", lambda maps, state, real=token_counts.lacking: met.append(found := real(maps, state)) or found)
+    for _ in range(20):
+        text = "".join(rnd.choice("aehinorst") for _ in range(200))
+        assert own.count(text) == len(own.merged(chr(token_counts.MARK) + text))
+    assert any(met)
+
+
+def test_long_texts_are_many_rows(spark, monkeypatch):
+    """A text of ten million letters without a space, and others, over rows that tasks map in parallel."""
+    from sentencepiece import SentencePieceProcessor
+
+    rnd = random.Random(8)
+    bit = "".join(rnd.choice("aehinorst") for _ in range(9_973))
+    spaced = " ".join(bit[i : i + 1 + i % 11] for i in range(0, 9_000, 9)) + "  "
+    found = [bit * 1003, spaced * 30, " " * 70_001, chr(0x4E2D) * 66_000, "short", None, "x" * 65_536, "x" * 65_537]
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, PIECES).collect()}
+    library = SentencePieceProcessor(model_file=PIECES)
+    assert got == {i: len(library.encode(t or "")) for i, t in enumerate(found)}
 
 
 def test_counts_on_odd_rows(odd, nothing):
