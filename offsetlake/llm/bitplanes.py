@@ -20,26 +20,26 @@ from __future__ import annotations
 
 import io
 import struct
-import sys
 import uuid
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_automaton import tokenizer_path
-from .presplit import PRE_SPLIT
-from .shared import materialize, table, text_of, work_path
+from .presplit import flat, word_starts
+from .shared import materialize, sliced, table, text_of, work_path
 
 BLOCK = 1 << 16
+PARTS = 3  # of eight bytes, of words that the table keeps
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 HEAD, TAIL = b"BPL1", b"1LPB"
 
 
@@ -80,9 +80,10 @@ class Writer:
         self.ids: list = []
         self.counts: list[int] = []
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.counts.append(len(ids))
+    def add(self, docs: list, counts: list[int], ids: np.ndarray) -> None:
+        """Documents in order: their ids side by side, and how many each has."""
+        self.ids += docs
+        self.counts += counts
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.block:
@@ -158,53 +159,103 @@ class Reader:
             held = whole[n:]
 
 
-def little(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
 class LibraryEncoder:
-    """The tokenizers library behind a bounded table of words.
+    """The tokenizers library behind a table of words.
 
-    A text is split into the words that the vocabulary is split by, and the library
-    encodes each word it has not just met. Texts with special tokens go to it whole.
+    Texts are split into the words that the vocabulary is split by. The table has a
+    slot for the bytes of a word of up to 24, found by a hash of them and compared
+    whole, and where its ids lie in a pool; a later word takes the slot of an earlier
+    one. The library encodes the words of a batch that the table does not have, each
+    once, and texts with special tokens whole.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, slots: int = 1 << 20, most: int = 1 << 23):
+        """most: ids in the pool; a full one is emptied with the table."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_file(path), most
+        self.library, self.slots, self.most = Tokenizer.from_file(path), slots, most
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = regex.compile(PRE_SPLIT).findall
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [little(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, and ``end`` behind them."""
-        out = []
-        for i in range(0, len(texts), 64):
-            if len(self.known) > self.most:
-                self.known.clear()
-            known = self.known
-            split = [None if any(s in t for s in self.special) else self.split(t) for t in texts[i : i + 64]]
-            new = list(set().union(*filter(None, split)).difference(known))
-            known.update(zip(new, self._batch(new), strict=True))
-            whole = iter(self._batch([t for t, own in zip(texts[i : i + 64], split, strict=True) if own is None]))
-            out += [(next(whole) if own is None else b"".join(map(known.__getitem__, own))) + end for own in split]
-            for w in new:
-                if len(w) > 64:  # does not come again
-                    del known[w]
-        return out
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.zeros((PARTS, self.slots), np.uint64)
+        self.size = np.zeros(self.slots, np.int16)  # of the word, 0: free
+        self.first = np.zeros(self.slots, np.int64)
+        self.n = np.zeros(self.slots, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _pooled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes texts into the pool: where the ids of each begin, and how many they are."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(n.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        first = self.used + np.cumsum(n) - n
+        self.used += total
+        return first, n
+
+    def encode(self, text: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without nulls, side by side, each text's with ``end`` behind them; and how many each text has."""
+        if self.used > self.most:
+            self._empty()
+        raw, bounds = flat(text)
+        whole = raw.tobytes()
+        starts = word_starts(raw, bounds[:-1])
+        sizes = np.diff(starts, append=len(raw))
+        of = np.searchsorted(bounds, starts, "right") - 1  # the text of a word
+        odd = []
+        if any(s in whole for s in self.special):
+            odd = [i for i in range(len(text)) if any(s in whole[bounds[i] : bounds[i + 1]] for s in self.special)]
+            plain = ~np.isin(of, odd)
+            starts, sizes, of = starts[plain], sizes[plain], of[plain]
+        first, n = self._words(whole, starts, sizes)
+        if odd:
+            at, more = self._pooled([whole[bounds[i] : bounds[i + 1]].decode() for i in odd])
+            place = np.searchsorted(of, odd)
+            first, n, of = np.insert(first, place, at), np.insert(n, place, more), np.insert(of, place, odd)
+        ids = self.pool[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        counts = np.bincount(of, weights=n, minlength=len(text)).astype(np.int64)
+        if end is not None:
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
+            counts += 1
+        return ids, counts
+
+    def _words(self, whole: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of each word lie, and how many they are."""
+        eight = np.ndarray(len(whole) + 8 * PARTS - 7, "<u8", whole + bytes(8 * PARTS), strides=(1,))  # eight bytes from any place
+        short = sizes <= 8 * PARTS
+        key, h = [], np.zeros(len(starts), np.uint64)
+        for k in range(PARTS):
+            part = np.where(sizes > 8 * k, eight[np.minimum(starts + 8 * k, len(eight) - 1)] & _LOW[np.clip(sizes - 8 * k, 0, 8)], np.uint64(0))
+            key.append(part)
+            h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        known = short & (self.size[slot] == sizes)
+        for k in range(PARTS):
+            known &= self.keys[k][slot] == key[k]
+        first, n = self.first[slot], self.n[slot]
+        new = np.flatnonzero(~known)
+        if len(new):
+            place: dict[bytes, int] = {}
+            of = np.array([place.setdefault(whole[a : a + s], len(place)) for a, s in zip(starts[new].tolist(), sizes[new].tolist(), strict=True)])
+            at, many = self._pooled([w.decode() for w in place])
+            first[new], n[new] = at[of], many[of]
+            new = new[short[new]]
+            slots, one = np.unique(slot[new], return_index=True)
+            new = new[one]
+            for k in range(PARTS):
+                self.keys[k][slots] = key[k][new]
+            self.size[slots], self.first[slots], self.n[slots] = sizes[new], first[new], n[new]
+        return first, n
 
 
 @lru_cache(maxsize=2)
@@ -217,44 +268,56 @@ def _open(url: str):
     return pyarrow.fs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{url}")
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0, kind: str = "bit", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0, kind: str = "bit", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text", part_bytes: int = 1 << 24, most_parts: int = 20_000, file_ids: int = 1 << 26) -> DataFrame:
     """Encodes every whole text and writes the ids, ``end_id`` behind each document's, in ascending id order.
 
-    Returns the table of files: ``shard`` int in that order, ``file``, ``n_docs``,
-    ``n_ids``. Documents are ranged by id over the shuffle partitions, one file
-    each, so the order holds across files; ids that tie or are null (first) order
-    by text. A null text counts as the empty one and has the end id alone. No rows:
-    no files. Other columns are not read. A task holds one Arrow batch, one block
-    and the footer of its file.
+    Returns the table of files: ``shard`` long in that order, ``file``, ``n_docs``,
+    ``n_ids``. Documents are ranged by id over a partition for every ``part_bytes`` of
+    text, ``most_parts`` at most, and a task begins another file behind ``file_ids``
+    ids, so files, and the lists of their footers, are bounded by size; the order
+    holds across files. Ids that tie or are null (first) order by text. A null text
+    counts as the empty one and has the end id alone. No rows: no files. Other columns
+    are not read. A task holds a slice of an Arrow batch (512 rows and 8 MB, or one
+    text), one block and the footer of its file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = file = None
-        end = np.array([end_id], "<u4").tobytes()
-        shard = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        writer = file = name = None
+        rolled = 0
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            file.close()
+            shard = (TaskContext.get().partitionId() << 24) + rolled
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [f"{folder}/{name}"], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_ids": pa.array([writer.total], pa.int64())})
+
+        for batch in sliced(batches):
             if writer is None:
                 system, root = _open(folder)
                 system.create_dir(root, recursive=True)
-                name = f"{shard:06d}-{uuid.uuid4().hex}.bpl"
+                name = f"{uuid.uuid4().hex}.bpl"
                 file = system.open_output_stream(f"{root}/{name}")
                 writer = Writer(file, batch.schema.field(0).type, kind, block)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), _encoder(path).encode(batch.column(1).to_pylist(), end), strict=True):
-                writer.add(doc_id, np.frombuffer(ids, "<u4"))
+            ids, counts = _encoder(path).encode(batch.column(1), end_id)
+            writer.add(batch.column(0).to_pylist(), counts.tolist(), ids)
+            if writer.total >= file_ids:
+                yield done()
+                writer = None
+                rolled += 1
         if writer is not None:
-            writer.close()
-            file.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_ids": pa.array([writer.total], pa.int64())})
+            yield done()
 
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-    ranged = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    return ranged.mapInArrow(run, "shard int, file string, n_docs long, n_ids long")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ranged = rows.repartitionByRange(max(1, min(most_parts, -(-size // part_bytes))), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    return ranged.mapInArrow(run, "shard long, file string, n_docs long, n_ids long")
 
 
 def read_token_files(files: DataFrame, id_kind: str = "long") -> DataFrame:
-    """Per document of the files: ``doc_id``, ``start`` (ids of all documents before it), ``ids`` binary, little-endian u32."""
+    """Per document of the files: ``doc_id``, ``start`` (ids of all documents before it), ``ids`` binary, little-endian u32.
+
+    A row for each document written, those with a null or repeated id too; no rows for a table of no files.
+    """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     placed = files.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).select("file", "before")
 

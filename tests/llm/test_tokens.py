@@ -182,7 +182,7 @@ def test_any_range_of_a_file_reads_alone():
     file = _File()
     writer = bitplanes.Writer(file, pa.int64(), block=64)
     for i, d in enumerate(docs):
-        writer.add(i, d)
+        writer.add([i], [len(d)], d)
     writer.close()
     reader, whole = bitplanes.Reader(file), np.concatenate(docs)
     assert [(i, d.tolist()) for i, d in reader.documents()] == [(i, d.tolist()) for i, d in enumerate(docs)]
@@ -192,6 +192,30 @@ def test_any_range_of_a_file_reads_alone():
         bitplanes.Reader(_File(file.getvalue()[:-1]))
 
 
+def test_table_of_words_gives_the_ids_of_the_library():
+    library, own = Tokenizer.from_file(BYTES), bitplanes.LibraryEncoder(BYTES, slots=64, most=500)
+    found = fuzz(80) + ["a\0", "a", "a" * 24, "a" * 25, "b" * 23 + chr(0xE9)]
+    for _ in range(3):
+        for i in range(0, len(found), 50):
+            some = found[i : i + 50]
+            ids, counts = own.encode(pa.array(some), 0)
+            at = 0
+            for t, n in zip(some, counts.tolist(), strict=True):
+                assert ids[at : at + n].tolist() == library.encode(t, add_special_tokens=False).ids + [0], t
+                at += n
+    assert own.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_files_end_by_size(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('word ', 40) as text")
+    files = materialize(bitplanes.write_token_files(docs, work_path(spark, "planes"), BYTES, block=4096, part_bytes=1 << 19, file_ids=20_000), "files")
+    rows = files.collect()
+    assert len(rows) > 2 and sum(r.n_docs for r in rows) == 3000
+    found = sorted(bitplanes.read_token_files(files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == list(range(3000))
+    assert all(b.start - a.start == len(a.ids) // 4 for a, b in zip(found, found[1:], strict=False))
+
+
 def test_token_files(spark, odd, nothing):
     library = Tokenizer.from_file(BYTES)
     for docs in (odd, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
