@@ -1,20 +1,28 @@
-"""Near duplicates by a chosen-path similarity join.
+"""Near duplicates by a chosen-path set similarity join.
 
 Documents with one set of shingles are one class, and classes are joined. A class
-has minwise tokens of its set. Each of ``trees`` independent trees puts it into the
-node of one selected token; a node with more than ``LIMIT`` classes branches again,
-every class following two further tokens selected by the node, down to ``DEPTH``
-levels. Small nodes are compared exhaustively: first all pairs of a node by a sketch
-of 128 minwise bytes, with a margin of 4.75 standard deviations below the threshold,
-which leaves clusters; then the clusters, each once however many trees found it,
-exactly on full sets. Nodes that no branching splits (large families of near copies)
-are compared exhaustively too, in blocks, a pair of blocks a task.
-
-Two sets of similarity s meet in a tree of one level with probability s, and with
-two branches a level never below 1 - (1 - s)(1 + s)/2 or so (0.82 at s = 0.85); ten
-trees miss a pair with a chance of under 1e-7. The sketch, which all trees share, misses
-a pair at the threshold with one of 6.5e-6 at s = 0.85 and 3.2e-6 at 0.80 (binomial tails
-of 128 bytes that are equal with a chance of s + (1 - s) / 256; least 90 and 81).
+has minwise tokens of its set. Each of ten independent trees puts it into the node of
+one selected token; a node of more than ``LIMIT`` classes branches, every class
+following two further tokens that the node selects, and so on down to ``DEPTH``
+levels. Nodes of up to ``LIMIT`` are compared exhaustively: all pairs by a sketch of
+128 minwise bytes, with a margin of 4.75 standard deviations below the threshold,
+which leaves clusters of at most ``LIMIT`` classes; then each cluster, once however
+many nodes found it, exactly on full sets.
+
+Two sets of similarity s meet in a small node of a tree with probability s f at
+least, where f = (2 s - 1) / s^2 is what two branches a level keep in the end (0.82 at
+s = 0.85, 0.75 at 0.8); ten trees miss a pair with a chance of under 1e-5 at 0.8. The
+sketch, which all trees share, misses a pair at the threshold with one of 6.5e-6 at
+s = 0.85 and 3.2e-6 at 0.80 (binomial tails of 128 bytes that are equal with a chance
+of s + (1 - s) / 256; least 90 and 81).
+
+No branching splits a large family of near copies. So every large node of the first
+level has a pivot, its class of the smallest id; classes whose sketch is near the
+pivot's are confirmed against it, in chunks, and take a common label. Trees look for
+links between different labels alone: a node of one label is done, a pair of one
+label is not compared, and the trees come in two rounds, the second of which knows
+the labels that the first has found. Nodes that are still large at the last level are
+dealt into blocks by label, and only blocks that may differ in label meet.
 
 A node or cluster gives its members or a spanning forest of links, never its pairs;
 components are found by rounds of joins, and nothing is collected.
@@ -23,6 +31,7 @@ components are found by rounds of joins, and nothing is collected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -30,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_runs, materialize, sliced, table, text_of
-from .shingles import shingle_set
+from .shared import forget, key_runs, materialize, sliced, table, text_of
+from .shingles import shingle_sets
 
 TREES, TOKENS, SKETCH = 10, 32, 128
-LIMIT, DEPTH, BRANCHES = 2048, 4, 2
+ROUNDS = (3, TREES)  # trees of the first round, and up to the end of the second
+LIMIT, DEPTH, BRANCHES = 256, 8, 2
+HOT, MOST_HOT, SALTS = 1 << 16, 100_000, 64  # a node above HOT members is joined in parts
 _rng = np.random.default_rng(85)
 _TIMES = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64) | np.uint64(1)
 _FLIP = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64)
@@ -53,7 +64,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 def _prepare(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
-            sets = [shingle_set(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(part.column(1))
             full = [s for s in sets if len(s)]
             found = iter(minwise(full) if full else [])
             keys, tokens, sketches = [], [], []
@@ -88,31 +99,54 @@ def components_of(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def least_equal(percent: int) -> float:
+    """Bytes of a sketch that are equal, at least, for a pair to be looked at."""
+    s = percent / 100
+    return SKETCH * (s - 4.75 * (s * (1 - s) / SKETCH) ** 0.5)
+
+
+def _name(kind: str, *parts) -> int:
+    return int.from_bytes(blake2b("|".join([kind, *map(str, parts)]).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
 def _clusters(least: float):
-    """Members of a node that a chain of sketches above ``least`` ties together, under a name made of them."""
+    """Members of a small node that near sketches of different labels tie together, under a name made of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in key_runs(batches):
             node = pa.Table.from_batches(parts)
-            sketch = np.frombuffer(b"".join(node["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sketch = _sketches(node["sketch"])
+            _, label = np.unique(np.array(list(map(str, node["label"].to_pylist()))), return_inverse=True)
             n = len(sketch)
             near = np.zeros((n, n), bool)
             for i in range(0, n, 64):
                 same = (sketch[i : i + 64, None, :] == sketch[None, :, :]).sum(2)
-                near[i : i + 64] = same >= least
-            label = components_of(near)
-            order = np.argsort(label, kind="stable")
-            cuts = np.flatnonzero(np.diff(label[order])) + 1
-            ids = node["id"]
-            for own in np.split(order, cuts):
-                if len(own) < 2:
-                    continue
-                found = ids.take(pa.array(own)).combine_chunks()
-                names = sorted(set(map(str, found.to_pylist())))
-                if len(names) < 2:
-                    continue
-                name = int.from_bytes(blake2b("|".join(names).encode(), digest_size=8).digest(), "big", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), found], names=["cluster", "id"])
+                near[i : i + 64] = (same >= least) & (label[i : i + 64, None] != label)
+            tied = components_of(near)
+            order = np.argsort(tied, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(tied[order])) + 1):
+                if len(own) > 1:
+                    found = node["id"].take(pa.array(own)).combine_chunks()
+                    name = _name("node", *sorted(map(str, found.to_pylist())))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), found], names=["cluster", "id"])
+
+    return run
+
+
+def _near_pivot(least: float):
+    """Members of large nodes whose sketch is near that of the node's pivot, in chunks, each with the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = b.filter(pa.array((_sketches(b.column(0)) == _sketches(b.column(1))).sum(1) >= least))
+            if near.num_rows:
+                pivot, own = near.column(2), near.column(3)
+                name = pa.array([_name("pivot", p, c) for p, c in zip(pivot.to_pylist(), near.column(4).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([name, name]), pa.concat_arrays([own, pivot])], names=["cluster", "id"])
 
     return run
 
@@ -162,52 +196,136 @@ def _links(percent: int, kind: str):
     return run, f"a {kind}, b {kind}"
 
 
-def _nodes(keyed: DataFrame, label: str) -> DataFrame:
-    """Members of nodes of two and more, with the size of the node."""
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return materialize(keyed.join(sizes, "key"), label)
+def _nodes(keyed: DataFrame, name: str) -> DataFrame:
+    """Members (``key``, ``id``, ``label``) of nodes of several labels, with the node's size ``m`` and its least id, ``pivot``.
+
+    Sizes are counted before rows shuffle. A node above ``HOT`` members (or above the
+    hundred thousandth part of all, so that such nodes are few) meets its size in
+    ``SALTS`` parts.
+    """
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = materialize(sizes.where("low <> high").drop("low", "high"), f"{name}-sizes")
+    total = sizes.agg(F.sum("m").alias("m")).first()["m"] or 0
+    hot = F.broadcast(sizes.where(F.col("m") > max(HOT, total // MOST_HOT)).select("key", F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    sizes = sizes.join(hot, "key", "left").select("key", "m", "pivot", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = keyed.join(hot, "key", "left").select("key", "id", "label", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    return materialize(salted.join(sizes, ["key", "salt"]).drop("salt"), name)
+
+
+def _first(classes: DataFrame, trees: range) -> DataFrame:
+    chosen = F.posexplode(F.slice("tokens", trees.start + 1, len(trees))).alias("tree", "token")
+    return classes.select("id", "label", chosen).select(F.xxhash64(F.col("tree") + trees.start, "token").alias("key"), "id", "label")
+
+
+def families(classes: DataFrame, percent: int) -> DataFrame:
+    """Clusters (``cluster`` long, ``id``) of classes with the pivots of large nodes of the first level."""
+    nodes = _nodes(_first(classes, range(TREES)), "families").where(F.col("m") > LIMIT)
+    sketch = classes.select("id", "sketch")
+    pairs = nodes.where("id <> pivot").groupBy("id", "pivot").agg(F.max("m").alias("m"))
+    pivots = pairs.groupBy("pivot").agg(F.max("m").alias("most")).join(sketch.select(F.col("id").alias("pivot"), F.col("sketch").alias("of")), "pivot")
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("most") / (LIMIT - 1))).cast("int").alias("chunk")
+    rows = pairs.select("id", "pivot").join(pivots, "pivot").join(sketch, "id").select("sketch", "of", "pivot", "id", chunk)
+    kind = classes.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_near_pivot(least_equal(percent)), f"cluster long, id {kind}").distinct()
 
 
-def join_classes(classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate clusters of classes (``id``, ``tokens``, ``sketch``): rows ``cluster`` long, ``id``."""
+def join_classes(classes: DataFrame, percent: int, trees: range) -> DataFrame:
+    """Candidate clusters (``cluster`` long, ``id``) of classes (``id``, ``label``, ``tokens``, ``sketch``) of different labels."""
     tokens = classes.select("id", "tokens")
-    first = classes.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("key"), "id")
-    members = _nodes(first, "nodes")
-    small = members.where(F.col("m") <= LIMIT).select("key", "id")
+    members = _nodes(_first(classes, trees), "nodes")
+    small = [members.where(F.col("m") <= LIMIT).select("key", "id", "label")]
     big = members.where(F.col("m") > LIMIT)
     for _ in range(DEPTH - 1):
         if big.limit(1).count() == 0:
             break
         branch = F.explode(F.array(*(F.lit(b) for b in range(BRANCHES)))).alias("branch")
-        spread = big.select("key", "id", branch).join(tokens, "id")
+        spread = big.select("key", "id", "label", branch).join(tokens, "id")
         chosen = F.element_at("tokens", (F.pmod(F.xxhash64("key", "branch"), F.lit(TOKENS - TREES)) + TREES + 1).cast("int"))
-        members = _nodes(spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id").distinct(), "nodes")
-        small = small.unionByName(members.where(F.col("m") <= LIMIT).select("key", "id"))
+        members = _nodes(spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id", "label").distinct(), "nodes")
+        small.append(members.where(F.col("m") <= LIMIT).select("key", "id", "label"))
         big = members.where(F.col("m") > LIMIT)
-    blocks = F.ceil(F.col("m") * 2 / LIMIT).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
-    paired = big.withColumn("blocks", blocks).withColumn("own", own).select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    small = small.unionByName(paired.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id"))
-    s = percent / 100
-    least = SKETCH * (s - 4.75 * (s * (1 - s) / SKETCH) ** 0.5)
+    else:
+        if big.limit(1).count():
+            small.append(_blocks(big.select("key", "id", "label")))
+    placed = reduce(DataFrame.unionByName, small).join(classes.select("id", "sketch"), "id").select("key", "id", "label", "sketch")
     kind = classes.schema["id"].dataType.simpleString()
-    placed = small.join(classes.select("id", "sketch"), "id").select("key", "id", "sketch").repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(_clusters(least), f"cluster long, id {kind}").distinct()
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(_clusters(least_equal(percent)), f"cluster long, id {kind}").distinct()
+
+
+def _blocks(big: DataFrame) -> DataFrame:
+    """Members of large nodes in pairs of blocks, a node each; two blocks of one and the same label do not meet.
+
+    A label with more than half a block of members has blocks to itself, the others
+    of a node share some.
+    """
+    half = LIMIT // 2
+    counted = big.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("n") > half // 2, F.col("label"))
+    groups = counted.withColumn("own", own).groupBy("key", "own").agg(F.ceil(F.sum("n") * 2 / half).cast("int").alias("parts"))
+    groups = materialize(groups, "groups")
+    block = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    blocks = groups.select("key", "own", block.alias("part"))
+    other = blocks.select(F.col("key").alias("k"), F.col("own").alias("with"), F.col("part").alias("at"))
+    a, b = F.struct("own", "part"), F.struct(F.col("with").alias("own"), F.col("at").alias("part"))
+    apart = F.col("own").isNull() | F.col("with").isNull() | (F.col("own") != F.col("with"))
+    met = blocks.join(other, (F.col("key") == F.col("k")) & apart).select("key", "own", "part", F.xxhash64("key", F.least(F.xxhash64(a), F.xxhash64(b)), F.greatest(F.xxhash64(a), F.xxhash64(b))).alias("pair"))
+    named = big.join(counted.select("key", "label", own.alias("own")), ["key", "label"])
+    placed = named.join(groups, (named["key"] == groups["key"]) & named["own"].eqNullSafe(groups["own"])).select(named["key"], "id", "label", named["own"], F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    dealt = placed.join(met, (placed["key"] == met["key"]) & placed["own"].eqNullSafe(met["own"]) & (placed["part"] == met["part"]))
+    return dealt.select(F.col("pair").alias("key"), "id", "label").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """For each id of ``links`` (a, b) the least id it reaches: ``id``, ``component``. Rounds of joins, written between."""
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
-    label = edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component"))
-    label = materialize(label, "labels")
+    last = edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component"))
+    last = materialize(last, "labels")
     while True:
+        label = last.select("id", "component")
         heard = edges.join(label.select(F.col("id").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
-        near = label.join(heard, "id").select("id", F.least("component", "c").alias("new"), "component")
+        near = label.join(heard, "id").select("id", F.least("component", "c").alias("new"), F.col("component").alias("old"))
         jump = near.join(label.select(F.col("id").alias("new"), F.col("component").alias("far")), "new", "left")
-        step = materialize(jump.select("id", F.least("new", F.coalesce("far", "new")).alias("new"), "component"), "labels")
-        label = step.select("id", F.col("new").alias("component"))
-        if step.where("new <> component").limit(1).count() == 0:
-            return label
+        step = materialize(jump.select("id", F.least("new", F.coalesce("far", "new")).alias("component"), "old"), "labels")
+        forget(last)
+        last = step
+        if step.where("component <> old").limit(1).count() == 0:
+            forget(edges)
+            return step.select("id", "component")
+
+
+def confirmed(clusters: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``), a spanning forest of each cluster, between ids whose full sets are ``percent`` alike.
+
+    ``source`` has (``id``, ``text``); only texts of ids that are in clusters are read
+    again. A task holds the sets of one cluster, ``LIMIT`` at most.
+    """
+    kind = source.schema["id"].dataType.simpleString()
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "set"])
+
+    wanted = materialize(clusters.select("id").distinct(), "wanted")
+    sets = source.join(wanted, "id", "left_semi").mapInArrow(full, f"id {kind}, set binary").where(F.octet_length("set") > 0)
+    placed = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
+    run, schema = _links(percent, kind)
+    return materialize(placed.mapInArrow(run, schema), "links")
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels (``id``, ``component``) with more links, which are contracted to links between the labels there are."""
+    if labels is None:
+        return components(links) if links.limit(1).count() else None
+    for end in ("a", "b"):
+        known = labels.select(F.col("id").alias(end), F.col("component").alias("c"))
+        links = links.join(known, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    links = links.where("a <> b")
+    if not links.limit(1).count():
+        return labels
+    more = components(links)
+    moved = labels.join(more.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    return materialize(moved.unionByName(more.join(labels.select("id"), "id", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -227,19 +345,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     found = materialize(source.mapInArrow(run, schema), "shingled")
     classes = found.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    clusters = materialize(join_classes(classes, percent), "clusters")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "set"])
-
-    wanted = materialize(clusters.select("id").distinct(), "wanted")
-    sets = source.join(wanted, "id", "left_semi").mapInArrow(full, f"id {kind}, set binary").where(F.octet_length("set") > 0)
-    placed = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
-    run, schema = _links(percent, kind)
-    labels = components(materialize(placed.mapInArrow(run, schema), "links"))
-    named = classes.select("cls", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("cls", F.coalesce("component", "rep").alias("component_id"), F.col("component").isNotNull().alias("links"))
+    labels = None
+    for trees in (None, range(ROUNDS[0]), range(*ROUNDS)):
+        known = classes if labels is None else classes.join(labels, "id", "left")
+        known = known.withColumn("label", F.col("id") if labels is None else F.coalesce("component", "id"))
+        clusters = materialize(families(known, percent) if trees is None else join_classes(known, percent, trees), "clusters")
+        if clusters.limit(1).count():
+            labels = _relabelled(labels, confirmed(clusters, source, percent))
+    named = classes.select("cls", F.col("id").alias("rep"))
+    if labels is None:
+        named = named.select("cls", F.col("rep").alias("component_id"), F.lit(False).alias("links"))
+    else:
+        named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"), F.col("component").isNotNull().alias("links"))
     out = found.select("id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("links", F.lit(False)).alias("links"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.workspace import work_path
+from ..functions.workspace import remove, work_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes a table to the shared folder and reads it again.
 
@@ -22,7 +23,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table that :func:`materialize` wrote and nothing reads any more."""
+    remove(df.sparkSession, df.written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

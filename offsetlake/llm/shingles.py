@@ -1,18 +1,30 @@
-"""Sets of word shingles as sorted 64-bit hashes, computed over whole texts with numpy."""
+"""Words of texts and sets of word shingles as 64-bit hashes, for whole columns of texts at a time."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from .presplit import flat
 
 SHINGLE = 5
 _rng = np.random.default_rng(2024)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(1 << 16, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_FINE, _COARSE = _powers(_BASE), _powers(pow(_BASE, 1 << 16, 1 << 64))  # of a place in a word: low and high half
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,39 +33,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _BACK)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts side by side, and where the words of each text begin and the last end.
 
+    Words are runs of anything but space and U+0009 to U+000D. ``bounds``: where texts
+    begin and the last ends.
+    """
+    gap = np.empty(len(raw) + 1, bool)
+    gap[:-1] = _GAP[raw]
+    gap[-1] = True
+    begins = ~gap[:-1]
+    begins[1:] &= gap[:-2]
+    inner = bounds[:-1][bounds[:-1] < len(raw)]
+    begins[inner] = ~gap[inner]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    size = np.diff(starts, append=len(raw))
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, size)
+    value = _BYTE[raw[starts[0] :]] * _FINE[place & 0xFFFF]
+    if size.max() >> 16:
+        value *= _COARSE[place >> 16]
+    value[gap[starts[0] : -1]] = 0
+    length = np.add.reduceat((~gap[starts[0] : -1]).astype(np.int64), starts - starts[0])
+    out = mix(np.add.reduceat(value, starts - starts[0]) + length.astype(np.uint64))
+    return out, np.searchsorted(starts, bounds)
 
-def shingle_set(text: str | bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles.
 
-    Words are runs of anything but space and U+0009 to U+000D, with A-Z in lower
-    case. A text of fewer words than a shingle has is one shingle; one without words
-    has none.
+def shingle_sets(text: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text; a null text counts as the empty one.
+
+    A-Z count as lower case. A text of fewer words than a shingle has is one shingle;
+    one without words has none.
     """
-    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
-    a = np.frombuffer(raw.lower(), np.uint8)
-    gap = np.concatenate([[True], _GAP[a], [True]])
-    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(a))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * up, dtype=np.uint64)])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    n = len(words) - SHINGLE + 1
-    if n < 1:
-        return mix((words * _PLACE[: len(words)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(words)))
-    out = words[:n] * _PLACE[0]
-    for k in range(1, SHINGLE):
-        out += words[k : n + k] * _PLACE[k]
-    return np.unique(mix(out))
+    raw, bounds = flat(text.fill_null(b"" if pa.types.is_binary(text.type) else ""))
+    found, at = words(_LOWER[raw], bounds)
+    n = max(len(found) - SHINGLE + 1, 0)
+    whole = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        whole += found[k : n + k] * _PLACE[k]
+    whole = mix(whole)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= SHINGLE:
+            own = np.sort(whole[a : b - SHINGLE + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        elif b > a:
+            out.append(mix((found[a:b] * _PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def shingle_set(text: str | bytes | None) -> np.ndarray:
+    """As :func:`shingle_sets`, of one text."""
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text
+    return shingle_sets(pa.array([raw], pa.binary()))[0]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -50,10 +50,13 @@ def families(seed, n_families, size):
     return out
 
 
-@pytest.mark.parametrize(("limit", "percent"), [(1024, 85), (1024, 80), (8, 85)])
+@pytest.mark.parametrize(("limit", "percent"), [(None, 85), (None, 80), (8, 85)])
 def test_near_components_are_those_of_brute_force(spark, monkeypatch, limit, percent):
-    """A limit of 8 makes nodes branch, and compares what stays large in blocks."""
-    monkeypatch.setattr(chosen_path, "LIMIT", limit)
+    """With the limit as it is, and with one of 8, where nodes branch and what stays large is compared in blocks."""
+    if limit:
+        monkeypatch.setattr(chosen_path, "LIMIT", limit)
+        monkeypatch.setattr(chosen_path, "DEPTH", 3)
+        monkeypatch.setattr(chosen_path, "HOT", 50)
     texts = families(5, 8, 25) + ["", "   ", "one two", "ONE two", "one two three four five"]
     docs = spark.createDataFrame([(3 * i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(5)
     want = components([(3 * i, shingles(t)) for i, t in enumerate(texts)], percent)
@@ -65,6 +68,41 @@ def test_near_components_are_those_of_brute_force(spark, monkeypatch, limit, per
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def near_copies(seed, n, words=60):
+    """A family: copies of one text in which a word or two change, and a few that change more."""
+    rnd = random.Random(seed)
+    base = [f"b{rnd.randint(0, 10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 1, 2])):
+            text[rnd.randrange(words)] = f"n{rnd.randint(0, 10**6)}"
+        out.append(" ".join(text + [f"t{i}"]))
+    return out
+
+
+def test_a_large_family_is_joined_by_its_pivot(spark):
+    """With the limit as it is: nodes are far larger, no branching splits them, and few pairs are compared."""
+    texts = near_copies(1, 700) + near_copies(2, 300) + families(3, 3, 10)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = components([(i, shingles(t)) for i, t in enumerate(texts)], 85)
+    assert {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, 85).collect()} == want
+
+
+def test_blocks_meet_where_labels_differ(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "LIMIT", 8)
+    rows = [(1, i, 0 if i < 40 else i) for i in range(46)] + [(2, i, i % 3) for i in range(30)]
+    met = chosen_path._blocks(spark.createDataFrame(rows, "key long, id long, label long")).collect()
+    nodes = {}
+    for r in met:
+        nodes.setdefault(r.key, []).append((r.id, r.label))
+    pairs = {frozenset((a, b)) for own in nodes.values() for a, x in own for b, y in own if x != y}
+    for k in (1, 2):
+        own = [(i, label) for key, i, label in rows if key == k]
+        assert all(frozenset((a, b)) in pairs for a, x in own for b, y in own if x != y)
+    assert max(len([1 for i, label in own if label == 0]) for own in nodes.values()) <= 16
+
+
 def test_shingle_sets_are_those_of_words():
     texts = families(9, 5, 8) + ["a b c d", "a b c d e", "A B C D E", "x" * 5000, "a\tb\nc\x0bd\x0ce\rf", "é É b c d e f"]
     for a in texts:
