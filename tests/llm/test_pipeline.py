@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -24,7 +25,7 @@ def test_stages(spark):
     raw, good, single, near, mixed, tokens = kept
 
     model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
-    scores = model.scores([r.text for r in raw])
+    scores = model.scores(pa.array([r.text or "" for r in raw]))
     assert {r.doc_id for r in good} == {r.doc_id for r, s in zip(raw, scores, strict=True) if s >= 0.3}
     assert set(good) <= set(raw) and len(good) > 0.7 * len(raw)
 

@@ -6,10 +6,11 @@ import re
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from offsetlake.llm import mixing, quality, secrets, sketches, url_lists
+from offsetlake.llm import mixing, presplit, quality, secrets, sketches, url_lists
 from offsetlake.llm.shared import WORD
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -141,18 +142,37 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == 1 for r in good]) > 0.99 and np.mean([r.predicted == 0 for r in bad]) > 0.9
 
 
+def test_terms_are_subwords_and_ages_of_words():
+    text = "go go stop go " + chr(0x4E2D) + " stop"
+    x = quality.counts(*presplit.flat(pa.array([text, "", "ab", text])))
+    assert (x[0] == x[3]).all() and not x[1].any() and x[2].sum() == 1
+    assert x[0, : quality.SUBWORDS].sum() == len(text) - 2
+    ages = x[0, quality.SUBWORDS :]
+    assert ages[:4].tolist() == [3, 1, 2, 0]  # three new words; one right behind itself, one two and one three words ago
+
+
+def test_unrelated_texts_are_far_apart():
+    """In terms of words that differ, for scripts of one byte and of more."""
+    rng = np.random.default_rng(3)
+    for low, high in ((97, 123), (0x430, 0x450), (0x4E00, 0x5E00), (0xAC00, 0xD7A0)):
+        a, b = ("".join(map(chr, rng.integers(low, high, 400))) for _ in range(2))
+        x = quality.unit(quality.terms(pa.array([a, b, a]))[:, : quality.SUBWORDS])
+        assert x[0] @ x[2] > 0.999 and x[0] @ x[1] < 0.6
+
+
 def test_neighbours_are_those_of_all_products():
-    rng = np.random.default_rng(1)
-    found = [quality.terms("".join(rng.choice(list("ab .,!X\n"), 60))) for _ in range(50)]
-    model = quality._fit(found, np.arange(50) % 2.0, 0.5, 8, 5, 8)
-    texts = ["".join(rng.choice(list("ab .,!X\n"), 80)) for _ in range(20)] + ["", "ab", None]
-    got = model.scores(texts, block=3)
-    for t, s in zip(texts[:-3], got, strict=False):
-        own = quality.unit(quality.dense([quality.terms(t)]) @ model.basis)[0]
-        near = sorted(((float(own @ v), y) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[:5]
-        weight = [max(c, 0) ** 8 for c, _ in near]
-        assert abs(s - sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight)) < 1e-4
-    assert got[-3:].tolist() == [0.5] * 3
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab .,!X\n"), 60)) for _ in range(50)]
+    model = quality._fit(quality.terms(pa.array(texts)), np.arange(50) % 2.0, 0.5, 8, 5, 8)
+    others = ["".join(rng.choice(list("ab .,!X\n"), 40)) for _ in range(30)] + [""]
+    got = model.scores(pa.array(others), block=7)
+    for t, score in zip(others, got, strict=True):
+        own = quality.unit(quality.terms(pa.array([t])) @ model.basis)[0]
+        near = model.vectors @ own
+        at = np.argsort(-near)[:5]
+        weight = np.maximum(near[at], 0).astype(float) ** 8
+        want = (weight * model.labels[at]).sum() / weight.sum() if weight.sum() else 0.5
+        assert abs(score - want) < 1e-4
 
 
 def test_quality_on_odd_rows(spark, odd, nothing):
