@@ -139,7 +139,8 @@ def key(text):
 
 @pytest.mark.parametrize("max_slots", [1 << 29, 1 << 16])
 def test_exact_groups_are_those_of_brute_force(spark, max_slots):
-    """Also with a filter that is full: more rows shuffle, the groups are the same."""
+    """Also with filters for ranges of hashes, and with groups whose result is broadcast."""
+    assert bloom_dedup.sizes(20_000, max_slots)[0] == (1 if max_slots > 1 << 16 else 4)
     rnd = random.Random(2)
     texts = [rnd.choice(["Same", "same", "SAME", "sÄme", "säme"]) if rnd.random() < 0.3 else f"text {rnd.randint(0, 20_000)}" for _ in range(20_000)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(6)
@@ -155,12 +156,23 @@ def test_exact_groups_are_those_of_brute_force(spark, max_slots):
 def test_rows_of_one_hash_alone_pass_straight(spark):
     docs = spark.createDataFrame([(i, f"text {i // 2 if i < 100 else i}", "en", "s", 1) for i in range(5000)], SCHEMA)
     found = bloom_dedup.hashed(docs, "doc_id", "text")
-    bloom, m = bloom_dedup.repeated_filter(found)
+    ranges, m = bloom_dedup.sizes(5000, bloom_dedup.MAX_SLOTS)
+    assert ranges == 1
+    bloom = bloom_dedup.slot_filter(found, m)
     digests = [r.digest for r in found.orderBy("id").collect()]
-    again = bloom_dedup.maybe_repeated(digests, bloom, m)
+    again = bloom_dedup.in_filter(digests, bloom, m)
     assert again[:100].all() and again[100:].mean() < 0.1
 
 
+def test_a_range_has_its_share_of_the_rows(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id % 3000) as text")
+    found = bloom_dedup.hashed(docs, "doc_id", "text").withColumn("r", bloom_dedup.of_range(8))
+    n = {r.r: r["count"] for r in found.groupBy("r").count().collect()}
+    assert sorted(n) == list(range(8)) and min(n.values()) > 300
+    looked = bloom_dedup._looked(found.select("id", "digest"), 4000, 1 << 12).collect()
+    assert len(looked) == 4000 and sum(r.again for r in looked) < 2600 and all(r.again for r in looked if r.id < 1000 or r.id >= 3000)
+
+
 def test_exact_on_odd_rows(odd, nothing):
     got = bloom_dedup.exact_groups(odd).collect()
     assert len(got) == odd.count()
