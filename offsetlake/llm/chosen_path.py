@@ -3,26 +3,29 @@
 Documents with one set of shingles are one class, and classes are joined. A class
 has minwise tokens of its set. Each of ten independent trees puts it into the node of
 one selected token; a node of more than ``LIMIT`` classes branches, every class
-following two further tokens that the node selects, and so on down to ``DEPTH``
-levels. Nodes of up to ``LIMIT`` are compared exhaustively: all pairs by a sketch of
-128 minwise bytes, with a margin of 4.75 standard deviations below the threshold,
-which leaves clusters of at most ``LIMIT`` classes; then each cluster, once however
-many nodes found it, exactly on full sets.
-
-Two sets of similarity s meet in a small node of a tree with probability s f at
-least, where f = (2 s - 1) / s^2 is what two branches a level keep in the end (0.82 at
-s = 0.85, 0.75 at 0.8); ten trees miss a pair with a chance of under 1e-5 at 0.8. The
-sketch, which all trees share, misses a pair at the threshold with one of 6.5e-6 at
-s = 0.85 and 3.2e-6 at 0.80 (binomial tails of 128 bytes that are equal with a chance
-of s + (1 - s) / 256; least 90 and 81).
-
-No branching splits a large family of near copies. So every large node of the first
-level has a pivot, its class of the smallest id; classes whose sketch is near the
-pivot's are confirmed against it, in chunks, and take a common label. Trees look for
-links between different labels alone: a node of one label is done, a pair of one
-label is not compared, and the trees come in two rounds, the second of which knows
-the labels that the first has found. Nodes that are still large at the last level are
-dealt into blocks by label, and only blocks that may differ in label meet.
+following two further tokens that the node selects (one at every other level), and so
+on down to ``DEPTH`` levels. Nodes of up to ``LIMIT`` are compared exhaustively: all
+pairs by a sketch of 128 minwise bytes, with a margin of 4.75 standard deviations below
+the threshold, which leaves clusters of at most ``LIMIT`` classes; then each cluster,
+once however many nodes found it, exactly on full sets.
+
+Two sets of similarity s meet in a node that needed no branching with probability s a
+tree, and after all levels with 0.74 at s = 0.85 and 0.60 at 0.8, so ten trees miss a
+pair with a chance of 6e-9 to 2e-6 at 0.85 and 1e-7 to 1e-4 at 0.8. The sketch, which
+all trees share, misses a pair at the threshold with one of 6.5e-6 at s = 0.85 and
+3.2e-6 at 0.80 (binomial tails of 128 bytes that are equal with a chance of
+s + (1 - s) / 256; least 90 and 81).
+
+No branching splits a large family of near copies. So a large node of the first level
+has a pivot, the most central class of a sample of it, and all classes that are at
+all near the pivot (0.15 below the threshold, with the same margin) are compared
+exactly with it and among themselves, ``CLUSTER`` at a time. A class linked with the
+pivot can be linked only with classes that near, so it is finished in that node; the
+others branch. What has been compared so is not compared again, and links are looked
+for between different labels (components so far) alone: a node of one label is done.
+The trees come in two rounds, the second of which knows the labels that the first has
+found. Nodes that are still large at the last level are dealt into blocks by label, and
+only blocks that may differ in label meet.
 
 A node or cluster gives its members or a spanning forest of links, never its pairs;
 components are found by rounds of joins, and nothing is collected.
@@ -43,8 +46,9 @@ from .shared import forget, key_runs, materialize, sliced, table, text_of
 from .shingles import shingle_sets
 
 TREES, TOKENS, SKETCH = 10, 32, 128
-ROUNDS = (3, TREES)  # trees of the first round, and up to the end of the second
-LIMIT, DEPTH, BRANCHES = 256, 8, 2
+FIRST = 3  # trees of the first round
+LIMIT, DEPTH, BRANCHES = 256, 8, (2, 1)  # branches in turn
+CLUSTER, CLUSTER_BYTES, SAMPLE = 2048, 64 << 20, 64
 HOT, MOST_HOT, SALTS = 1 << 16, 100_000, 64  # a node above HOT members is joined in parts
 _rng = np.random.default_rng(85)
 _TIMES = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -100,7 +104,7 @@ def components_of(near: np.ndarray) -> np.ndarray:
 
 
 def least_equal(percent: int) -> float:
-    """Bytes of a sketch that are equal, at least, for a pair to be looked at."""
+    """Bytes of a sketch that are equal, at least, for a pair that alike to be looked at."""
     s = percent / 100
     return SKETCH * (s - 4.75 * (s * (1 - s) / SKETCH) ** 0.5)
 
@@ -114,7 +118,10 @@ def _sketches(column) -> np.ndarray:
 
 
 def _clusters(least: float):
-    """Members of a small node that near sketches of different labels tie together, under a name made of them."""
+    """Members of a small node that near sketches of different labels tie together, under a name made of them.
+
+    Pairs that share a group of ``done`` have been compared exactly before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in key_runs(batches):
@@ -126,6 +133,12 @@ def _clusters(least: float):
             for i in range(0, n, 64):
                 same = (sketch[i : i + 64, None, :] == sketch[None, :, :]).sum(2)
                 near[i : i + 64] = (same >= least) & (label[i : i + 64, None] != label)
+            groups: dict[int, list[int]] = {}
+            for i, done in enumerate(node["done"].to_pylist()):
+                for g in done or ():
+                    groups.setdefault(g, []).append(i)
+            for own in groups.values():
+                near[np.ix_(own, own)] = False
             tied = components_of(near)
             order = np.argsort(tied, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(tied[order])) + 1):
@@ -137,118 +150,179 @@ def _clusters(least: float):
     return run
 
 
+def _central(least: float):
+    """The pivot of each node from a sample of it: the class that the most are near to; none where no two are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in key_runs(batches):
+            node = pa.Table.from_batches(parts)
+            sketch = _sketches(node["sketch"])
+            order = np.argsort(np.array(list(map(str, node["id"].to_pylist()))), kind="stable")
+            same = np.stack([(sketch == one).sum(1) for one in sketch])
+            score = (same >= least).sum(1) * 1000.0 + same.mean(1)
+            best = int(order[np.argmax(score[order])])
+            if score[best] >= 2000:
+                yield pa.RecordBatch.from_arrays([node[c].combine_chunks().slice(best, 1) for c in ("key", "m", "id", "sketch")], names=["key", "m", "pivot", "of"])
+
+    return run
+
+
 def _near_pivot(least: float):
-    """Members of large nodes whose sketch is near that of the node's pivot, in chunks, each with the pivot."""
+    """Members of large nodes whose sketch is near that of the node's pivot: (pivot, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = b.filter(pa.array((_sketches(b.column(0)) == _sketches(b.column(1))).sum(1) >= least))
-            if near.num_rows:
-                pivot, own = near.column(2), near.column(3)
-                name = pa.array([_name("pivot", p, c) for p, c in zip(pivot.to_pylist(), near.column(4).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([name, name]), pa.concat_arrays([own, pivot])], names=["cluster", "id"])
+            yield pa.RecordBatch.from_arrays([near.column(2), near.column(3)], names=["pivot", "id"])
 
     return run
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the least index of its component under links of ``percent``, by counting over postings.
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common.
 
-    Pairs that are in one component already are not looked at again once all are.
+    Elements that few sets have are counted over pairs of their owners, the others by
+    products of blocks of columns.
     """
     n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, term, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.diag([len(s) for s in sets]).astype(np.float32)
+    dense = np.flatnonzero(many * 32 > n) if n > 32 else np.flatnonzero(many > 1)
+    column = np.full(len(many), -1)
+    column[dense] = np.arange(len(dense))
+    at = column[term]
+    np.fill_diagonal(out, 0)
+    for low in range(0, len(dense), 2048):
+        block = np.zeros((n, min(2048, len(dense) - low)), np.float32)
+        some = (at >= low) & (at < low + 2048)
+        block[owner[some], at[some] - low] = 1
+        out += block @ block.T
+    few = (many[term] > 1) & (at < 0)
+    order = np.flatnonzero(few)[np.argsort(term[few], kind="stable")]
+    who, of = owner[order], term[order]
+    size = many[of]
+    first = np.searchsorted(of, of)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(who):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 22), "right")))
+        length = size[lo:hi]
+        partner = who[np.repeat(first[lo:hi] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        out += np.bincount(np.repeat(who[lo:hi], length) * n + partner, minlength=n * n).reshape(n, n)
+        lo = hi
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def exact_near(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets have ``percent`` of their union in common, as a matrix."""
+    both = overlaps(sets).astype(np.int64)
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    _, term = np.unique(np.concatenate(sets), return_inverse=True)
-    posting = owner[np.argsort(term, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(term))])
-    firsts = np.concatenate([[0], np.cumsum(sizes)])
-    label = np.arange(n)
-    for i in range(n):
-        own = term[firsts[i] : firsts[i + 1]]
-        length = starts[own + 1] - starts[own]
-        at = np.repeat(starts[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        both = np.bincount(posting[at], minlength=n)
-        hit = 100 * both >= percent * (sizes + sizes[i] - both)
-        hit &= both > 0
-        met = np.unique(label[hit])
-        if len(met) > 1:
-            label[np.isin(label, met)] = met[0]
-            if not label.any():
-                break
-    return label
+    return (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes - both))
+
+
+def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the least index of its component under links of ``percent``."""
+    return components_of(exact_near(sets, percent))
 
 
 def _links(percent: int, kind: str):
+    """A spanning forest of each cluster, and where it has a ``pivot`` also who is linked with that (``direct``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in key_runs(batches):
             group = pa.Table.from_batches(parts)
             ids = group["id"].combine_chunks()
             sets = [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()]
             order = sorted(range(len(sets)), key=lambda i: (ids[i].as_py(), len(sets[i])))
-            label = exact_links([sets[i] for i in order], percent)
-            low = [order[k] for k in label.tolist()]
-            some = [(i, j) for i, j in zip(order, low, strict=True) if i != j and ids[i] != ids[j]]
+            near = exact_near([sets[i] for i in order], percent)
+            label = components_of(near)
+            some = [(i, order[k], False) for i, k in zip(order, label.tolist(), strict=True) if i != order[k] and ids[i] != ids[order[k]]]
+            pivot = group["pivot"][0].as_py()
+            if pivot is not None:
+                for k in np.flatnonzero([ids[i].as_py() == pivot for i in order]).tolist():
+                    some += [(order[j], order[k], True) for j in np.flatnonzero(near[k]).tolist()]
             if some:
-                a, b = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+                a, b, direct = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(direct)], names=["a", "b", "direct"])
 
-    return run, f"a {kind}, b {kind}"
+    return run, f"a {kind}, b {kind}, direct boolean"
 
 
-def _nodes(keyed: DataFrame, name: str) -> DataFrame:
-    """Members (``key``, ``id``, ``label``) of nodes of several labels, with the node's size ``m`` and its least id, ``pivot``.
+def _sized(keyed: DataFrame, name: str, *carried: str) -> DataFrame:
+    """Members of nodes of several labels (``key``, ``id``, ``label``, carried columns), with the node's size ``m``.
 
     Sizes are counted before rows shuffle. A node above ``HOT`` members (or above the
     hundred thousandth part of all, so that such nodes are few) meets its size in
     ``SALTS`` parts.
     """
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = materialize(sizes.where("low <> high").drop("low", "high"), f"{name}-sizes")
     total = sizes.agg(F.sum("m").alias("m")).first()["m"] or 0
     hot = F.broadcast(sizes.where(F.col("m") > max(HOT, total // MOST_HOT)).select("key", F.lit(SALTS).alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
-    sizes = sizes.join(hot, "key", "left").select("key", "m", "pivot", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    salted = keyed.join(hot, "key", "left").select("key", "id", "label", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    return materialize(salted.join(sizes, ["key", "salt"]).drop("salt"), name)
+    salted_sizes = sizes.join(hot, "key", "left").select("key", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = keyed.join(hot, "key", "left").select("key", "id", "label", *carried, F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    out = materialize(salted.join(salted_sizes, ["key", "salt"]).drop("salt"), name)
+    forget(sizes)
+    return out
 
 
-def _first(classes: DataFrame, trees: range) -> DataFrame:
-    chosen = F.posexplode(F.slice("tokens", trees.start + 1, len(trees))).alias("tree", "token")
-    return classes.select("id", "label", chosen).select(F.xxhash64(F.col("tree") + trees.start, "token").alias("key"), "id", "label")
+def _first(classes: DataFrame) -> DataFrame:
+    """Nodes of the first level of all trees: ``tree``, ``key``, ``id``, ``m``."""
+    chosen = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
+    keyed = classes.select("id", chosen).select(F.xxhash64("tree", "token").alias("key"), "id", F.col("id").alias("label"), "tree")
+    return _sized(keyed, "first", "tree").drop("label")
 
 
-def families(classes: DataFrame, percent: int) -> DataFrame:
-    """Clusters (``cluster`` long, ``id``) of classes with the pivots of large nodes of the first level."""
-    nodes = _nodes(_first(classes, range(TREES)), "families").where(F.col("m") > LIMIT)
-    sketch = classes.select("id", "sketch")
-    pairs = nodes.where("id <> pivot").groupBy("id", "pivot").agg(F.max("m").alias("m"))
-    pivots = pairs.groupBy("pivot").agg(F.max("m").alias("most")).join(sketch.select(F.col("id").alias("pivot"), F.col("sketch").alias("of")), "pivot")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("most") / (LIMIT - 1))).cast("int").alias("chunk")
-    rows = pairs.select("id", "pivot").join(pivots, "pivot").join(sketch, "id").select("sketch", "of", "pivot", "id", chunk)
-    kind = classes.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_near_pivot(least_equal(percent)), f"cluster long, id {kind}").distinct()
+def _with_pivot(members: DataFrame, pivots: DataFrame, how: str) -> DataFrame:
+    """Members of nodes (``key``, ``id``, ``m``) and the columns of the node's pivot; large nodes meet them in parts."""
+    salts = F.when(F.col("m") > HOT, SALTS).otherwise(1)
+    many = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
+    return members.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(many, ["key", "salt"], how).drop("salt")
 
 
-def join_classes(classes: DataFrame, percent: int, trees: range) -> DataFrame:
-    """Candidate clusters (``cluster`` long, ``id``) of classes (``id``, ``label``, ``tokens``, ``sketch``) of different labels."""
+def families(first: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Clusters (``cluster`` long, ``id``, ``pivot``) of classes near the pivots of large nodes, and those pivots (``key``, ``m``, ``pivot``)."""
+    kind = classes.schema["id"].dataType.simpleString()
+    big = first.where(F.col("m") > LIMIT).select("key", "id", "m")
+    sketch = classes.select("id", "sketch")
+    sample = big.where(F.pmod(F.xxhash64("id", "key"), F.col("m")) < SAMPLE).join(sketch, "id").select("key", "m", "id", "sketch")
+    run = _central(least_equal(percent))
+    pivots = materialize(sample.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key long, m long, pivot {kind}, of binary"), "pivots")
+    rows = _with_pivot(big, pivots, "inner").join(sketch, "id").select("sketch", "of", "pivot", "id")
+    near = materialize(rows.mapInArrow(_near_pivot(least_equal(percent - 15)), f"pivot {kind}, id {kind}").distinct(), "near-pivots")
+    size = near.join(classes.select("id", "n"), "id").groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    parts = F.greatest(F.ceil(F.col("members") / (CLUSTER - 1)), F.ceil(F.col("n") * 8 / CLUSTER_BYTES)).cast("int").alias("parts")
+    dealt = near.join(size.where("members > 1").select("pivot", parts), "pivot")
+    every = dealt.select("pivot", "id", F.pmod(F.xxhash64("id"), "parts").alias("part")).unionByName(dealt.select("pivot", "parts").distinct().select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    return every.distinct().select(F.xxhash64("pivot", "part").alias("cluster"), "id", "pivot"), pivots.drop("of")
+
+
+def join_classes(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate clusters (``cluster`` long, ``id``) of classes of different labels.
+
+    ``keyed``: nodes of the first level (``key``, ``id``, ``label``); ``classes``: ``id``,
+    ``tokens``, ``sketch``, ``done``.
+    """
     tokens = classes.select("id", "tokens")
-    members = _nodes(_first(classes, trees), "nodes")
+    members = _sized(keyed, "nodes")
     small = [members.where(F.col("m") <= LIMIT).select("key", "id", "label")]
     big = members.where(F.col("m") > LIMIT)
-    for _ in range(DEPTH - 1):
+    for level in range(DEPTH - 1):
         if big.limit(1).count() == 0:
             break
-        branch = F.explode(F.array(*(F.lit(b) for b in range(BRANCHES)))).alias("branch")
+        branch = F.explode(F.array(*map(F.lit, range(BRANCHES[level % len(BRANCHES)])))).alias("branch")
         spread = big.select("key", "id", "label", branch).join(tokens, "id")
         chosen = F.element_at("tokens", (F.pmod(F.xxhash64("key", "branch"), F.lit(TOKENS - TREES)) + TREES + 1).cast("int"))
-        members = _nodes(spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id", "label").distinct(), "nodes")
+        members = _sized(spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id", "label").distinct(), "nodes")
         small.append(members.where(F.col("m") <= LIMIT).select("key", "id", "label"))
         big = members.where(F.col("m") > LIMIT)
     else:
         if big.limit(1).count():
             small.append(_blocks(big.select("key", "id", "label")))
-    placed = reduce(DataFrame.unionByName, small).join(classes.select("id", "sketch"), "id").select("key", "id", "label", "sketch")
+    placed = reduce(DataFrame.unionByName, small).join(classes.select("id", "sketch", "done"), "id").select("key", "id", "label", "sketch", "done")
     kind = classes.schema["id"].dataType.simpleString()
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(_clusters(least_equal(percent)), f"cluster long, id {kind}").distinct()
 
@@ -295,10 +369,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def confirmed(clusters: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``), a spanning forest of each cluster, between ids whose full sets are ``percent`` alike.
+    """Links (``a``, ``b``, ``direct``) between ids whose full sets are ``percent`` alike: see :func:`_links`.
 
-    ``source`` has (``id``, ``text``); only texts of ids that are in clusters are read
-    again. A task holds the sets of one cluster, ``LIMIT`` at most.
+    ``clusters``: ``cluster``, ``id``, ``pivot`` (null for none); ``source``: ``id``, ``text``.
+    Only texts of ids that are in clusters are read again. A task holds the sets of one
+    cluster.
     """
     kind = source.schema["id"].dataType.simpleString()
 
@@ -308,7 +383,7 @@ def confirmed(clusters: DataFrame, source: DataFrame, percent: int) -> DataFrame
 
     wanted = materialize(clusters.select("id").distinct(), "wanted")
     sets = source.join(wanted, "id", "left_semi").mapInArrow(full, f"id {kind}, set binary").where(F.octet_length("set") > 0)
-    placed = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
+    placed = clusters.join(sets, "id").select("cluster", "id", "set", "pivot").repartition("cluster").sortWithinPartitions("cluster")
     run, schema = _links(percent, kind)
     return materialize(placed.mapInArrow(run, schema), "links")
 
@@ -343,13 +418,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     source = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     run, schema = _prepare(kind)
     found = materialize(source.mapInArrow(run, schema), "shingled")
-    classes = found.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    classes = found.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    labels = None
-    for trees in (None, range(ROUNDS[0]), range(*ROUNDS)):
-        known = classes if labels is None else classes.join(labels, "id", "left")
-        known = known.withColumn("label", F.col("id") if labels is None else F.coalesce("component", "id"))
-        clusters = materialize(families(known, percent) if trees is None else join_classes(known, percent, trees), "clusters")
+    first = _first(classes)
+    clusters, pivots = families(first, classes, percent)
+    clusters = materialize(clusters, "clusters")
+    labels, known, rest = None, classes.withColumn("done", F.lit(None).cast("array<long>")), first
+    if clusters.limit(1).count():
+        links = confirmed(clusters, source, percent)
+        labels = _relabelled(None, links.where("not direct"))
+        known = classes.join(clusters.groupBy("id").agg(F.collect_set("cluster").alias("done")), "id", "left")
+        finished = links.where("direct").select(F.col("b").alias("pivot"), F.col("a").alias("id")).distinct()
+        rest = _with_pivot(first, pivots, "left").join(finished, ["pivot", "id"], "left_anti")
+    for trees in (F.col("tree") < FIRST, F.col("tree") >= FIRST):
+        keyed = rest.where(trees).select("key", "id")
+        keyed = keyed.withColumn("label", F.col("id")) if labels is None else keyed.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        clusters = materialize(join_classes(keyed, known, percent).withColumn("pivot", F.lit(None).cast(kind)), "clusters")
         if clusters.limit(1).count():
             labels = _relabelled(labels, confirmed(clusters, source, percent))
     named = classes.select("cls", F.col("id").alias("rep"))
