@@ -18,11 +18,14 @@ s + (1 - s) / 256; least 90 and 81).
 
 No branching splits a large family of near copies. So a large node of the first level
 has a pivot, the most central class of a sample of it, and all classes that are at
-all near the pivot (0.15 below the threshold, with the same margin) are compared
-exactly with it and among themselves, ``CLUSTER`` at a time. A class linked with the
-pivot can be linked only with classes that near, so it is finished in that node; the
-others branch. What has been compared so is not compared again, and links are looked
-for between different labels (components so far) alone: a node of one label is done.
+all near the pivot (``WIDE`` = 0.35 below the threshold, with the same margin) are
+compared exactly with it and among themselves, where they are ``CLUSTER`` at most. By
+the triangle inequality of Jaccard distances a class within ``WIDE`` of the pivot can
+be linked with those alone, so it is finished in that node; the others branch. Larger
+families are compared ``CLUSTER`` at a time, each part with the pivot, which gives those
+linked with it one label, and branch whole. What has been compared so is not compared
+again, and links are looked for between different labels (components so far) alone: a
+node of one label is done.
 The trees come in two rounds, the second of which knows the labels that the first has
 found. Nodes that are still large at the last level are dealt into blocks by label, and
 only blocks that may differ in label meet.
@@ -48,7 +51,7 @@ from .shingles import shingle_sets
 TREES, TOKENS, SKETCH = 10, 32, 128
 FIRST = 3  # trees of the first round
 LIMIT, DEPTH, BRANCHES = 256, 8, (2, 1)  # branches in turn
-CLUSTER, CLUSTER_BYTES, SAMPLE = 2048, 64 << 20, 64
+CLUSTER, CLUSTER_BYTES, SAMPLE, WIDE = 2048, 64 << 20, 64, 35
 HOT, MOST_HOT, SALTS = 1 << 16, 100_000, 64  # a node above HOT members is joined in parts
 _rng = np.random.default_rng(85)
 _TIMES = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -215,20 +218,19 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def exact_near(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets have ``percent`` of their union in common, as a matrix."""
-    both = overlaps(sets).astype(np.int64)
-    sizes = np.array([len(s) for s in sets])
+def alike(both: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have ``percent`` of their union in common, as a matrix, from their overlaps."""
+    both = both.astype(np.int64)
     return (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes - both))
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the least index of its component under links of ``percent``."""
-    return components_of(exact_near(sets, percent))
+    return components_of(alike(overlaps(sets), np.array([len(s) for s in sets]), percent))
 
 
 def _links(percent: int, kind: str):
-    """A spanning forest of each cluster, and where it has a ``pivot`` also who is linked with that (``direct``)."""
+    """A spanning forest of each cluster, and where it has a ``pivot`` also who is within ``WIDE`` of that (``direct``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in key_runs(batches):
@@ -236,11 +238,13 @@ def _links(percent: int, kind: str):
             ids = group["id"].combine_chunks()
             sets = [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()]
             order = sorted(range(len(sets)), key=lambda i: (ids[i].as_py(), len(sets[i])))
-            near = exact_near([sets[i] for i in order], percent)
-            label = components_of(near)
+            sets = [sets[i] for i in order]
+            both, sizes = overlaps(sets), np.array([len(s) for s in sets])
+            label = components_of(alike(both, sizes, percent))
             some = [(i, order[k], False) for i, k in zip(order, label.tolist(), strict=True) if i != order[k] and ids[i] != ids[order[k]]]
             pivot = group["pivot"][0].as_py()
             if pivot is not None:
+                near = alike(both, sizes, 100 - WIDE)
                 for k in np.flatnonzero([ids[i].as_py() == pivot for i in order]).tolist():
                     some += [(order[j], order[k], True) for j in np.flatnonzero(near[k]).tolist()]
             if some:
@@ -284,7 +288,10 @@ def _with_pivot(members: DataFrame, pivots: DataFrame, how: str) -> DataFrame:
 
 
 def families(first: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Clusters (``cluster`` long, ``id``, ``pivot``) of classes near the pivots of large nodes, and those pivots (``key``, ``m``, ``pivot``)."""
+    """Clusters (``cluster`` long, ``id``, ``pivot``) of classes near the pivots of large nodes, and those pivots (``key``, ``m``, ``pivot``).
+
+    The pivot of a cluster is null where that has only a part of its classes.
+    """
     kind = classes.schema["id"].dataType.simpleString()
     big = first.where(F.col("m") > LIMIT).select("key", "id", "m")
     sketch = classes.select("id", "sketch")
@@ -292,12 +299,14 @@ def families(first: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFr
     run = _central(least_equal(percent))
     pivots = materialize(sample.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key long, m long, pivot {kind}, of binary"), "pivots")
     rows = _with_pivot(big, pivots, "inner").join(sketch, "id").select("sketch", "of", "pivot", "id")
-    near = materialize(rows.mapInArrow(_near_pivot(least_equal(percent - 15)), f"pivot {kind}, id {kind}").distinct(), "near-pivots")
+    near = materialize(rows.mapInArrow(_near_pivot(least_equal(percent - WIDE)), f"pivot {kind}, id {kind}").distinct(), "near-pivots")
     size = near.join(classes.select("id", "n"), "id").groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
     parts = F.greatest(F.ceil(F.col("members") / (CLUSTER - 1)), F.ceil(F.col("n") * 8 / CLUSTER_BYTES)).cast("int").alias("parts")
     dealt = near.join(size.where("members > 1").select("pivot", parts), "pivot")
-    every = dealt.select("pivot", "id", F.pmod(F.xxhash64("id"), "parts").alias("part")).unionByName(dealt.select("pivot", "parts").distinct().select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
-    return every.distinct().select(F.xxhash64("pivot", "part").alias("cluster"), "id", "pivot"), pivots.drop("of")
+    own = dealt.select("pivot", "id", "parts", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    pivot = dealt.select("pivot", "parts").distinct().select("pivot", F.col("pivot").alias("id"), "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    every = own.unionByName(pivot).distinct()
+    return every.select(F.xxhash64("pivot", "part").alias("cluster"), "id", F.when(F.col("parts") == 1, F.col("pivot")).alias("pivot")), pivots.drop("of")
 
 
 def join_classes(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

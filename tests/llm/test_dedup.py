@@ -81,8 +81,11 @@ def near_copies(seed, n, words=60):
     return out
 
 
-def test_a_large_family_is_joined_by_its_pivot(spark):
-    """With the limit as it is: nodes are far larger, no branching splits them, and few pairs are compared."""
+@pytest.mark.parametrize("most", [None, 100])
+def test_a_large_family_is_joined_by_its_pivot(spark, monkeypatch, most):
+    """With the limit as it is: nodes are far larger and no branching splits them; also where a family is compared in parts."""
+    if most:
+        monkeypatch.setattr(chosen_path, "CLUSTER", most)
     texts = near_copies(1, 700) + near_copies(2, 300) + families(3, 3, 10)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     want = components([(i, shingles(t)) for i, t in enumerate(texts)], 85)
@@ -121,6 +124,14 @@ def test_exact_links_count_over_postings():
         assert chosen_path.exact_links(sets, 85).tolist() == [want[i] for i in range(len(sets))]
 
 
+def test_overlaps_of_any_frequency():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 40, 300):
+        sets = [np.unique(np.concatenate([rng.choice(20, 8), 100 + rng.choice(5000, rng.integers(1, 60))])).astype(np.uint64) for _ in range(n)]
+        want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+        assert chosen_path.overlaps(sets).astype(int).tolist() == want
+
+
 def test_near_on_odd_rows(odd, nothing):
     got = chosen_path.near_duplicates(odd).collect()
     assert len(got) == odd.count()
