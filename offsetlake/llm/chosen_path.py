@@ -16,8 +16,8 @@ all trees share, misses a pair at the threshold with one of 6.5e-6 at s = 0.85 a
 3.2e-6 at 0.80 (binomial tails of 128 bytes that are equal with a chance of
 s + (1 - s) / 256; least 90 and 81).
 
-No branching splits a large family of near copies. So a large node of the first level
-has a pivot, the most central class of a sample of it, and all classes that are at
+No branching splits a large family of near copies. So at every other level, the first
+one too, a large node has a pivot, the most central class of a sample of it, and all classes that are at
 all near the pivot (``WIDE`` = 0.35 below the threshold, with the same margin) are
 compared exactly with it and among themselves, where they are ``CLUSTER`` at most. By
 the triangle inequality of Jaccard distances a class within ``WIDE`` of the pivot can
@@ -26,8 +26,8 @@ families are compared ``CLUSTER`` at a time, each part with the pivot, which giv
 linked with it one label, and branch whole. What has been compared so is not compared
 again, and links are looked for between different labels (components so far) alone: a
 node of one label is done.
-The trees come in two rounds, the second of which knows the labels that the first has
-found. Nodes that are still large at the last level are dealt into blocks by label, and
+Small nodes are compared in two rounds of trees, the second of which knows the labels
+that the first has found. Nodes that are still large at the last level are dealt into blocks by label, and
 only blocks that may differ in label meet.
 
 A node or cluster gives its members or a spanning forest of links, never its pairs;
@@ -273,11 +273,27 @@ def _sized(keyed: DataFrame, name: str, *carried: str) -> DataFrame:
     return out
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the label of their ``id``; an id without one is its own."""
+    if labels is None:
+        return rows.withColumn("label", F.col("id"))
+    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+
 def _first(classes: DataFrame) -> DataFrame:
-    """Nodes of the first level of all trees: ``tree``, ``key``, ``id``, ``m``."""
+    """Nodes of the first level of all trees: ``key``, ``id``, ``label``, ``tree``, ``m``."""
     chosen = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
-    keyed = classes.select("id", chosen).select(F.xxhash64("tree", "token").alias("key"), "id", F.col("id").alias("label"), "tree")
-    return _sized(keyed, "first", "tree").drop("label")
+    keyed = classes.select("id", chosen).select(F.xxhash64("tree", "token").alias("key"), "id", "tree")
+    return _sized(_labelled(keyed, None), "first", "tree")
+
+
+def _branched(big: DataFrame, classes: DataFrame, labels: DataFrame | None, level: int) -> DataFrame:
+    """The nodes below large ones of a level, but for those of one label."""
+    branch = F.explode(F.array(*map(F.lit, range(BRANCHES[level % len(BRANCHES)])))).alias("branch")
+    spread = big.select("key", "id", "tree", branch).join(classes.select("id", "tokens"), "id")
+    chosen = F.element_at("tokens", (F.pmod(F.xxhash64("key", "branch"), F.lit(TOKENS - TREES)) + TREES + 1).cast("int"))
+    keyed = spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id", "tree").distinct()
+    return _sized(_labelled(keyed, labels), "nodes", "tree")
 
 
 def _with_pivot(members: DataFrame, pivots: DataFrame, how: str) -> DataFrame:
@@ -287,13 +303,13 @@ def _with_pivot(members: DataFrame, pivots: DataFrame, how: str) -> DataFrame:
     return members.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(many, ["key", "salt"], how).drop("salt")
 
 
-def families(first: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def families(big: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Clusters (``cluster`` long, ``id``, ``pivot``) of classes near the pivots of large nodes, and those pivots (``key``, ``m``, ``pivot``).
 
     The pivot of a cluster is null where that has only a part of its classes.
     """
     kind = classes.schema["id"].dataType.simpleString()
-    big = first.where(F.col("m") > LIMIT).select("key", "id", "m")
+    big = big.select("key", "id", "m")
     sketch = classes.select("id", "sketch")
     sample = big.where(F.pmod(F.xxhash64("id", "key"), F.col("m")) < SAMPLE).join(sketch, "id").select("key", "m", "id", "sketch")
     run = _central(least_equal(percent))
@@ -309,35 +325,19 @@ def families(first: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFr
     return every.select(F.xxhash64("pivot", "part").alias("cluster"), "id", F.when(F.col("parts") == 1, F.col("pivot")).alias("pivot")), pivots.drop("of")
 
 
-def join_classes(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def join_classes(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate clusters (``cluster`` long, ``id``) of classes of different labels.
 
-    ``keyed``: nodes of the first level (``key``, ``id``, ``label``); ``classes``: ``id``,
-    ``tokens``, ``sketch``, ``done``.
+    ``nodes``: members of small nodes (``key``, ``id``, ``label``); ``classes``: ``id``,
+    ``sketch``, ``done``.
     """
-    tokens = classes.select("id", "tokens")
-    members = _sized(keyed, "nodes")
-    small = [members.where(F.col("m") <= LIMIT).select("key", "id", "label")]
-    big = members.where(F.col("m") > LIMIT)
-    for level in range(DEPTH - 1):
-        if big.limit(1).count() == 0:
-            break
-        branch = F.explode(F.array(*map(F.lit, range(BRANCHES[level % len(BRANCHES)])))).alias("branch")
-        spread = big.select("key", "id", "label", branch).join(tokens, "id")
-        chosen = F.element_at("tokens", (F.pmod(F.xxhash64("key", "branch"), F.lit(TOKENS - TREES)) + TREES + 1).cast("int"))
-        members = _sized(spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id", "label").distinct(), "nodes")
-        small.append(members.where(F.col("m") <= LIMIT).select("key", "id", "label"))
-        big = members.where(F.col("m") > LIMIT)
-    else:
-        if big.limit(1).count():
-            small.append(_blocks(big.select("key", "id", "label")))
-    placed = reduce(DataFrame.unionByName, small).join(classes.select("id", "sketch", "done"), "id").select("key", "id", "label", "sketch", "done")
+    placed = _sized(nodes, "nodes").drop("m").join(classes.select("id", "sketch", "done"), "id").select("key", "id", "label", "sketch", "done")
     kind = classes.schema["id"].dataType.simpleString()
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(_clusters(least_equal(percent)), f"cluster long, id {kind}").distinct()
 
 
 def _blocks(big: DataFrame) -> DataFrame:
-    """Members of large nodes in pairs of blocks, a node each; two blocks of one and the same label do not meet.
+    """Members of large nodes (``key``, ``id``, ``label``) in pairs of blocks, a node each; two blocks of one and the same label do not meet.
 
     A label with more than half a block of members has blocks to itself, the others
     of a node share some.
@@ -429,20 +429,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     found = materialize(source.mapInArrow(run, schema), "shingled")
     classes = found.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    first = _first(classes)
-    clusters, pivots = families(first, classes, percent)
-    clusters = materialize(clusters, "clusters")
-    labels, known, rest = None, classes.withColumn("done", F.lit(None).cast("array<long>")), first
-    if clusters.limit(1).count():
-        links = confirmed(clusters, source, percent)
-        labels = _relabelled(None, links.where("not direct"))
-        known = classes.join(clusters.groupBy("id").agg(F.collect_set("cluster").alias("done")), "id", "left")
-        finished = links.where("direct").select(F.col("b").alias("pivot"), F.col("a").alias("id")).distinct()
-        rest = _with_pivot(first, pivots, "left").join(finished, ["pivot", "id"], "left_anti")
+    nodes, labels, small, done = _first(classes), None, [], []
+    for level in range(DEPTH):
+        small.append(nodes.where(F.col("m") <= LIMIT).select("key", "id", "tree"))
+        big = nodes.where(F.col("m") > LIMIT)
+        if not big.limit(1).count():
+            break
+        if level % 2 == 0:
+            clusters, pivots = families(big, classes, percent)
+            clusters = materialize(clusters, "clusters")
+            if clusters.limit(1).count():
+                done.append(clusters.select("cluster", "id"))
+                links = confirmed(clusters, source, percent)
+                labels = _relabelled(labels, links.where("not direct"))
+                finished = links.where("direct").select(F.col("b").alias("pivot"), F.col("a").alias("id")).distinct()
+                big = _with_pivot(big, pivots, "left").join(finished, ["pivot", "id"], "left_anti")
+        if level == DEPTH - 1:
+            small.append(_blocks(_labelled(big.select("key", "id"), labels)).select("key", "id", F.lit(TREES).alias("tree")))
+        else:
+            nodes = _branched(big, classes, labels, level)
+    known = classes.withColumn("done", F.lit(None).cast("array<long>"))
+    if done:
+        known = classes.join(reduce(DataFrame.unionByName, done).groupBy("id").agg(F.collect_set("cluster").alias("done")), "id", "left")
+    small = reduce(DataFrame.unionByName, small)
     for trees in (F.col("tree") < FIRST, F.col("tree") >= FIRST):
-        keyed = rest.where(trees).select("key", "id")
-        keyed = keyed.withColumn("label", F.col("id")) if labels is None else keyed.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-        clusters = materialize(join_classes(keyed, known, percent).withColumn("pivot", F.lit(None).cast(kind)), "clusters")
+        clusters = join_classes(_labelled(small.where(trees).select("key", "id"), labels), known, percent)
+        clusters = materialize(clusters.withColumn("pivot", F.lit(None).cast(kind)), "clusters")
         if clusters.limit(1).count():
             labels = _relabelled(labels, confirmed(clusters, source, percent))
     named = classes.select("cls", F.col("id").alias("rep"))
