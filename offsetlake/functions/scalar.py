@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,33 +63,26 @@ def start_position(mode: Column, low: Column, high: Column, explicit: Column) ->
 
 
 def next_power_of_two(n: Column) -> Column:
-    return F.when(n <= 1, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(n)))).cast("long")
+    """The least power of two that is not below a whole number."""
+    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n - 1))))
 
 
-def crc32c_table() -> list[int]:
-    """The 256 remainders of the Castagnoli polynomial, reflected."""
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        out.append(n)
-    return out
+def add_saturating(a: Column, b: Column) -> Column:
+    """The sum of two longs, or the greatest long where it exceeds that."""
+    return F.coalesce(F.try_add(a, b), F.when(a.isNotNull() & b.isNotNull(), F.lit((1 << 63) - 1)))
 
 
-_TABLE = crc32c_table()
+def valid_id(c: Column) -> Column:
+    """32 hexadecimal digits in lower case, not all zero."""
+    return F.coalesce(c.rlike("^[0-9a-f]{32}$") & (c != "0" * 32), F.lit(False))
 
 
-def crc32c_bytes(data: bytes, crc: int = 0) -> int:
-    crc ^= 0xFFFFFFFF
-    for b in data:
-        crc = crc >> 8 ^ _TABLE[(crc ^ b) & 0xFF]
-    return crc ^ 0xFFFFFFFF
+def valid_offset_range(base: Column, count: Column) -> Column:
+    """Whether ``count`` records from ``base`` on, one at least, stay within all offsets."""
+    return F.coalesce((base >= 0) & (count > 0) & (count <= F.lit((1 << 63) - 1) - base), F.lit(False))
 
 
-def crc32c(c: Column) -> Column:
-    """Castagnoli checksum of a binary column; Spark's own ``crc32`` has another polynomial."""
-    @F.pandas_udf("long")
-    def of(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: None if b is None else crc32c_bytes(bytes(b)))
-
-    return of(c)
+def record_reasons(bytes_: Column, headers: Column, config: Column) -> Column:
+    """Limits of a configuration that a record breaks: an array of names."""
+    names = F.exists(F.coalesce(headers, F.array().cast("array<struct<name:string,value:binary>>")), lambda h: h["name"].isNull() | (F.octet_length(h["name"]) > 65_535))
+    return F.filter(F.array(F.when(bytes_ > config["record_bytes"], F.lit("record_bytes")), F.when(F.size(headers) > 1024, F.lit("headers")), F.when(names, F.lit("header name"))), lambda r: r.isNotNull())

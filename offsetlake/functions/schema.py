@@ -24,6 +24,7 @@ CONFIG = T.StructType([
     T.StructField("batch_bytes", T.LongType()),
     T.StructField("batch_records", T.IntegerType()),
     T.StructField("segment_bytes", T.LongType()),
+    T.StructField("linger_ms", T.LongType()),
     T.StructField("retention_mask", T.IntegerType()),
     T.StructField("retention_ms", T.LongType()),
     T.StructField("retention_bytes", T.LongType()),
@@ -58,7 +59,11 @@ class OffsetOutOfRange(LogError):
 
 
 class RecordTooLarge(LogError):
-    """The first record alone exceeds the limit in bytes."""
+    """A record or batch exceeds its limit."""
+
+
+class FetchLimitTooSmall(RecordTooLarge):
+    """The first record alone exceeds the limit of a fetch."""
 
 
 class TopicExists(LogError):
@@ -69,6 +74,30 @@ class TopicNotFound(LogError):
     """No topic has this name."""
 
 
+class PartitionUnavailable(LogError):
+    """A partition does not agree with its catalog, or a write to it failed half-way."""
+
+
+class MetadataUnavailable(LogError):
+    """The catalog cannot be changed any more before it is opened again."""
+
+
+class GroupUnavailable(LogError):
+    """The history of groups cannot be changed any more before it is opened again."""
+
+
+class AppendOutcomeUnknown(LogError):
+    """A write of records failed and may have happened."""
+
+
+class MetadataOutcomeUnknown(MetadataUnavailable):
+    """A write to the catalog failed and may have happened."""
+
+
+class CommitOutcomeUnknown(GroupUnavailable):
+    """A write to the history of groups failed and may have happened."""
+
+
 class Corrupt(LogError):
     """Bytes or events contradict each other."""
 
@@ -82,4 +111,36 @@ class AssignmentLost(LogError):
 
 
 class CommitRegression(LogError):
-    """A commit lies below the committed offset, or above what was delivered."""
+    """A commit lies below the committed offset."""
+
+
+class InvalidCommit(CommitRegression):
+    """A commit lies above what was delivered, or above the end."""
+
+
+class ConcurrentOperation(LogError):
+    """The handle is busy with another call."""
+
+
+class ResourceLimit(LogError):
+    """A number of topics, partitions, groups or keys is at its limit."""
+
+
+class HistoryFull(ResourceLimit):
+    """The history of the catalog or of groups has used up its bytes."""
+
+
+class Backpressure(ResourceLimit):
+    """More records are offered at a time than may wait."""
+
+
+class DiskPressure(ResourceLimit):
+    """Too little space is left to write."""
+
+
+class Closed(InvalidArgument):
+    """The handle or store is closed."""
+
+
+class StoreLocked(LogError):
+    """Another process has the store open."""

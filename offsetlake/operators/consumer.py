@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import AssignmentLost, CommitRegression, InvalidArgument
 from ..functions.scalar import distance
 
 
@@ -27,6 +26,26 @@ def assign(members: DataFrame, parts: DataFrame) -> DataFrame:
     return dealt.where(F.size("names") > 0).select(F.get("names", (F.col("i") % F.size("names")).cast("int")).alias("member"), "part")
 
 
+def snapshots(subscriptions: DataFrame, most_members: int = 4096, most_keys: int = 65_536) -> DataFrame:
+    """Each group's members in canonical order, from rows (``group_id``, ``member``, ``topic_id``, ``part``).
+
+    ``members`` is an array of arrays of keys, both in order; ``problem`` says what
+    refuses the group: 'repeated' (a member has a key twice), 'overlap' (two have one),
+    'too many', or nothing. Keys are counted before they are gathered, and only groups
+    within the limits are.
+    """
+    key = F.struct("topic_id", "part")
+    times = subscriptions.groupBy("group_id", "member", "topic_id", "part").agg(F.count(F.lit(1)).alias("times"))
+    shared = times.groupBy("group_id", "topic_id", "part").agg(F.count(F.lit(1)).alias("owners"), F.max("times").alias("times"), F.sum("times").alias("n"))
+    flags = shared.groupBy("group_id").agg((F.max("times") > 1).alias("repeated"), (F.max("owners") > 1).alias("overlap"), F.sum("n").alias("keys"))
+    members = times.groupBy("group_id").agg(F.count_distinct("member").alias("n_members"))
+    judged = flags.join(members, "group_id").withColumn("problem", F.when((F.col("n_members") > most_members) | (F.col("keys") > most_keys), "too many").when(F.col("repeated"), "repeated").when(F.col("overlap"), "overlap").otherwise(""))
+    whole = times.join(judged.where("problem <> 'too many'").select("group_id"), "group_id", "left_semi")
+    each = whole.groupBy("group_id", "member").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    ordered = each.groupBy("group_id").agg(F.array_sort(F.collect_list("keys")).alias("members"))
+    return judged.join(ordered, "group_id", "left").select("group_id", "n_members", "keys", "problem", "members")
+
+
 def assignment_reason(first: Column, expired: Column, active: Column) -> Column:
     """Why a generation begins: 1 the first, 4 the one before expired, 3 it was active and is replaced, 5 it is opened again."""
     return F.when(first, 1).when(expired, 4).when(active, 3).otherwise(5)
@@ -41,47 +60,3 @@ def expired_sessions(heartbeats: DataFrame, now_ms: int, timeout_ms: int) -> Dat
 def unknown_owners(assignments: DataFrame, members: DataFrame) -> DataFrame:
     """Assignments whose owner is no member."""
     return assignments.join(members.select(F.col("member").alias("owner")), "owner", "left_anti")
-
-
-class Consumer:
-    """An at-least-once cursor: polls move it in memory, commits are durable rows in a table of events.
-
-    ``commit_row`` is called with (group, part, generation, previous, next) and makes
-    the row durable; ``generation_of`` tells the group's current generation. A handle
-    of an older generation fails. This checks a token; it is no distributed lock.
-    """
-
-    def __init__(self, reader, group: str, start: int, generation: int, generation_of, commit_row):
-        self.reader, self.group, self.generation = reader, group, generation
-        self.generation_of, self.commit_row = generation_of, commit_row
-        self.committed = start
-        self.open = True
-        reader.seek(start)
-
-    def _own(self) -> None:
-        if not self.open or self.generation_of(self.group) != self.generation:
-            raise AssignmentLost(f"generation {self.generation} of {self.group} is not current")
-
-    def poll(self, max_records: int = 0, max_bytes: int = 0) -> list:
-        self._own()
-        rows = self.reader.fetch(max_records, max_bytes)
-        self._own()
-        return rows
-
-    @property
-    def next_offset(self) -> int:
-        return self.reader.next_offset
-
-    def commit(self, offset: int) -> None:
-        """Commits up to ``offset``: not below the last commit, not above what was delivered; the same again does nothing."""
-        self._own()
-        if offset < self.committed or offset > self.reader.next_offset:
-            raise CommitRegression(f"{offset} is outside [{self.committed}, {self.reader.next_offset}]")
-        if offset != self.committed:
-            self.commit_row(self.group, self.reader.part, self.generation, self.committed, offset)
-            self.committed = offset
-
-    def close(self) -> None:
-        if not self.open:
-            raise InvalidArgument("closed already")
-        self.open = False

@@ -14,37 +14,64 @@ STORE_BOUNDS = tuple(10**k for k in range(3, 10))
 RUN_BOUNDS = (*(10**k for k in range(3, 10)), 5 * 10**9, 10 * 10**9, 30 * 10**9, 60 * 10**9)
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The value at rank ceil(p n): one of the values, never between two."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+def at_ranks(rows: DataFrame, value: str, ranks: dict[str, Column], *keys: str) -> DataFrame:
+    """Values at ranks (from 1) of each key's values in order, a column for each; ``ranks`` are of the column ``n``, their number.
 
+    Equal values are counted first; counts then run up inside spans of values, each a
+    4,096th of the whole range, and over one row a span, so no task holds the values of
+    a key.
+    """
+    seen = rows.where(F.col(value).isNotNull())
+    ends = seen.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high")).first()
+    width = max(((ends["high"] or 0) - (ends["low"] or 0)) / 4096, 1e-300) if ends["low"] is not None else 1.0
+    counted = seen.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_span", F.floor((F.col("_v").cast("double") - F.lit(ends["low"] or 0.0)) / width))
+    spans = counted.groupBy(*keys, "_span").agg(F.sum("_c").alias("_s"))
+    along = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    spans = spans.withColumn("_ahead", F.sum("_s").over(along.orderBy("_span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).withColumn("n", F.sum("_s").over(along)).drop("_s")
+    inside = F.sum("_c").over(Window.partitionBy(*keys, "_span").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = _met(counted.withColumn("_inside", inside), spans, *keys, "_span").withColumn("_upto", F.col("_ahead") + F.col("_inside"))
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= rank, F.col("_v"))).alias(name) for name, rank in ranks.items()))
+
+
+def nearest(thousandths: int) -> Column:
+    """The rank ceil(p n), 1 at least: of one of the values, never between two."""
+    return F.greatest(F.expr(f"(n * {thousandths} + 999) div 1000"), F.lit(1))
 
-def interpolated(value: str, p: float) -> Column:
-    """The quantile at p (n - 1), between two values where it falls between."""
-    return F.expr(f"percentile({value}, {p}D)")
+
+def _met(base: DataFrame, more: DataFrame, *keys: str) -> DataFrame:
+    if not keys:
+        return base.join(more, F.lit(True), "left")
+    renamed = more.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in more.columns if c not in keys))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return base.join(renamed, on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def exact_summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Count, total, whole average, extremes and nearest-rank percentiles of a long column."""
-    ranks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+    ranks = {"p50": 500, "p90": 900, "p95": 950, "p99": 990, "p999": 999}
     total = F.coalesce(F.sum(value), F.lit(0)).cast("long")
     n = F.count(value)
-    return rows.groupBy(*keys).agg(
-        n.alias("n"),
-        total.alias("total"),
-        F.when(n > 0, F.floor(total / n)).otherwise(0).cast("long").alias("average"),
-        F.coalesce(F.min(value), F.lit(0)).alias("least"),
-        F.coalesce(F.max(value), F.lit(0)).alias("most"),
-        *(F.coalesce(nearest_rank(value, p), F.lit(0)).cast("long").alias(name) for name, p in ranks.items()),
-    )
+    base = rows.groupBy(*keys).agg(n.alias("n"), total.alias("total"), F.when(n > 0, F.floor(total / n)).otherwise(0).cast("long").alias("average"), F.coalesce(F.min(value), F.lit(0)).alias("least"), F.coalesce(F.max(value), F.lit(0)).alias("most"))
+    found = _met(base, at_ranks(rows, value, {c: nearest(p) for c, p in ranks.items()}, *keys), *keys)
+    return found.select(*keys, "n", "total", "average", "least", "most", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ranks))
 
 
 def spread_summary(rows: DataFrame, value: str, *keys: str, warn_at: float = 10.0, digits: int = 6) -> DataFrame:
-    """Median, P10, P90, extremes and population coefficient of variation in percent, and whether it reaches ``warn_at``."""
+    """Median, P10, P90, extremes and population coefficient of variation in percent, and whether it reaches ``warn_at``.
+
+    Quantiles lie at p (n - 1), between two values where that falls between.
+    """
     cv = F.coalesce(F.try_divide(F.stddev_pop(value) * 100, F.avg(value)), F.lit(0.0))
-    found = rows.groupBy(*keys).agg(F.count(value).alias("n"), interpolated(value, 0.5).alias("median"), interpolated(value, 0.1).alias("p10"), interpolated(value, 0.9).alias("p90"), F.min(value).alias("least"), F.max(value).alias("most"), cv.alias("cv"))
-    rounded = {c: F.round(c, digits) for c in ("median", "p10", "p90", "cv")}
-    return found.withColumns(rounded).withColumn("warn", F.col("cv") >= warn_at)
+    base = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), cv.alias("cv"))
+    tenths = {"median": 5, "p10": 1, "p90": 9}
+    ranks = {f"_{side}{c}": F.expr(f"(n - 1) * {t} div 10 + {extra}") for c, t in tenths.items() for side, extra in (("a", 1), ("b", 2))}
+    ranks = {c: F.least(rank, F.col("n")) for c, rank in ranks.items()}
+    found = _met(base, at_ranks(rows, value, ranks, *keys), *keys)
+    between = {c: F.col(f"_a{c}") + (F.col(f"_b{c}") - F.col(f"_a{c}")) * (F.expr(f"(n - 1) * {t} % 10") / 10) for c, t in tenths.items()}
+    out = found.select(*keys, "n", *(F.round(q, digits).alias(c) for c, q in between.items()), "least", "most", F.round("cv", digits).alias("cv"))
+    return out.withColumn("warn", F.col("cv") >= warn_at)
 
 
 def bucket(value: Column, bounds: tuple[int, ...]) -> Column:
@@ -89,6 +116,61 @@ def backlog(samples: DataFrame, *keys: str, digits: int = 9) -> DataFrame:
     return found.withColumn("slope", F.round(slope, digits)).withColumn("reasons", reasons).withColumn("valid", F.col("reasons") == "")
 
 
+def run_analysis(reports: DataFrame) -> DataFrame:
+    """Run reports with their rates, drain and verification, and every reason against them; ``valid`` if there is none.
+
+    ``reports``: ``measurement_ns``, ``offered``, ``acknowledged``, ``acknowledged_bytes``,
+    ``completed``, ``failure``, ``warmup_ns``, ``warmup_elapsed_ns``, ``samples`` (``elapsed_ns``,
+    ``offered``, ``acknowledged``), ``samples_dropped``, ``oracles`` (their number), ``phases``
+    (``name``, ``duration_ns``), ``compaction`` (``interval_ns``, ``completed``,
+    ``pending_files``, ``pending_bytes``, ``truncated``, ``error``, ``timed``); nulls are
+    what a report leaves out.
+    """
+    s, c = F.col("samples"), F.col("compaction")
+    at = lambda x: F.greatest(x["offered"] - x["acknowledged"], F.lit(0))
+    first, last = F.get(s, 0), F.get(s, F.size(s) - 1)
+    span = last["elapsed_ns"] - first["elapsed_ns"]
+    phase = lambda n: F.coalesce(F.get(F.filter("phases", lambda p: p["name"] == n), 0)["duration_ns"], F.lit(0))
+    per_s = lambda x: F.try_divide(F.col(x) * 1e9, F.col("measurement_ns"))
+    seen = reports.withColumns({
+        "offered_s": per_s("offered"), "acknowledged_s": per_s("acknowledged"), "acknowledged_bytes_s": per_s("acknowledged_bytes"), "drain_ns": phase("drain"), "verify_ns": phase("verify"),
+        "backlog_start": F.coalesce(at(first), F.lit(0)), "backlog_end": F.coalesce(at(last), F.lit(0)), "backlog_most": F.coalesce(F.array_max(F.transform(s, at)), F.lit(0)),
+        "slope": F.when(span > 0, (at(last) - at(first)) * 1e9 / span).otherwise(0.0),
+    })
+    compacting = c["interval_ns"] > 0
+    rules = {
+        "did not complete": ~F.coalesce("completed", F.lit(True)),
+        "warm-up is missing": (F.col("warmup_ns") > 0) & F.col("warmup_elapsed_ns").isNull(),
+        "warm-up was short": F.col("warmup_elapsed_ns") < F.col("warmup_ns"),
+        "samples were dropped": F.col("samples_dropped") != 0,
+        "backlog grows": F.col("slope") > 0,
+        "oracles are missing": F.coalesce("oracles", F.lit(0)) == 0,
+        "no compaction completed": compacting & (c["completed"] == 0),
+        "cleanup debt": compacting & ((c["pending_files"] != 0) | (c["pending_bytes"] != 0) | c["truncated"] | c["error"]),
+        "compaction was not timed": compacting & (F.coalesce(c["timed"], F.lit(0)) < c["completed"]),
+    }
+    reasons = F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())), lambda r: r.isNotNull())
+    return seen.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0)
+
+
+def merged_samples(*parts: DataFrame) -> DataFrame:
+    """Samples of several runs together, each as often as it comes."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def bucket_counts(counts: DataFrame, bounds: tuple[int, ...], *keys: str) -> DataFrame:
+    """A histogram's counts as one array a key, a place for each bucket, empty ones too."""
+    at = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
+    places = F.sequence(F.lit(0), F.lit(len(bounds)))
+    return counts.groupBy(*keys).agg(at.alias("_m")).select(*keys, F.transform(places, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))).alias("counts"))
+
+
+def lag_samples(samples: DataFrame, *keys: str) -> DataFrame:
+    """Count, sum and most of ``lag``, for each key and, with null keys, for all."""
+    found = samples.rollup(*keys).agg(F.count("lag").alias("n"), F.sum("lag").alias("total"), F.max("lag").alias("most"), F.grouping_id().alias("_level"))
+    return found.where(F.col("_level").isin(0, (1 << len(keys)) - 1)).drop("_level")
+
+
 def outcomes(rows: DataFrame, kind: str, kinds: list[str], *keys: str) -> DataFrame:
     """A column of counts for each kind of outcome."""
     return rows.groupBy(*keys).agg(*(F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds))
@@ -125,3 +207,10 @@ def digest(log: DataFrame, fan: int = 256) -> DataFrame:
     leaves = log.groupBy("part", F.floor(F.col("off") / fan).alias("leaf")).agg(joined(text, "off").alias("h"))
     upper = leaves.groupBy("part", F.floor(F.col("leaf") / fan).alias("node")).agg(joined(F.col("h"), "leaf").alias("h"))
     return upper.groupBy("part").agg(joined(F.col("h"), "node").alias("digest"))
+
+
+def prefix_digest(log: DataFrame, upto: int, store_id: str, topic_id: str) -> DataFrame:
+    """The digest of each partition's records below ``upto``, bound to a store, topic, partition and end."""
+    own = digest(log.where(F.col("off") < upto))
+    said = F.concat_ws("/", F.lit(store_id), F.lit(topic_id), F.col("part").cast("string"), F.lit(str(upto)), F.col("digest"))
+    return own.select("part", F.sha2(said, 256).alias("digest"))

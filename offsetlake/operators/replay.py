@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import Files
+
 
 def latest(events: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The last ``value`` of each key, by partial aggregation."""
@@ -15,13 +17,16 @@ def latest(events: DataFrame, keys: list[str], value: str, order: str) -> DataFr
 
 
 def topics(catalog: DataFrame) -> DataFrame:
-    """Topics of a history of catalog events (``offset``, ``event_type`` 1), each by its creation."""
+    """Topics of a history of catalog events (:mod:`..sources.system`), each by its creation."""
     return catalog.where("event_type = 1").select("topic_id", "name", F.col("offset").alias("creation_offset"), F.size("partitions").alias("n_partitions"))
 
 
 def log_starts(catalog: DataFrame) -> DataFrame:
-    """Start of each partition that an event of type 2 has advanced."""
-    return catalog.where("event_type = 2").groupBy("topic_id", "partition").agg(F.max("new_l").alias("low"))
+    """Start, anchor and greatest recorded end of each partition: of the last event that advanced it, or of its topic's creation."""
+    created = catalog.where("event_type = 1").select("topic_id", F.posexplode("partitions").alias("part", "p")).select("topic_id", "part", F.col("p.anchor").alias("first"))
+    moved = catalog.where("event_type = 2").groupBy("topic_id", "part").agg(F.max_by(F.struct("new_low", "anchor"), "offset").alias("last"), F.max("durable_end").alias("durable_end"))
+    met = created.join(moved, ["topic_id", "part"], "left")
+    return met.select("topic_id", "part", F.coalesce("last.new_low", F.lit(0)).alias("low"), F.coalesce("last.anchor", "first").alias("anchor"), F.coalesce("durable_end", F.lit(0)).alias("durable_end"))
 
 
 def revision_check(events: DataFrame, topics: DataFrame) -> DataFrame:
@@ -41,26 +46,27 @@ def usage(progress: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def commits_from(events: DataFrame) -> DataFrame:
-    """Progress of groups: the last commit of a key, or the initial offset of its last assignment."""
-    keys = ["group_id", "topic_id", "partition"]
-    assigned = events.where("event_type = 4").select("group_id", F.col("offset").alias("at"), F.explode("assignments").alias("a")).groupBy("group_id", F.col("a.topic_id").alias("topic_id"), F.col("a.partition").alias("partition")).agg(F.max_by("a.initial", "at").alias("initial"))
+    """Progress of groups: the last commit of a key, or the offset its first assignment began with."""
+    keys = ["group_id", "topic_id", "part"]
+    given = events.where("event_type = 4").select("group_id", F.col("offset").alias("at"), F.explode("assignments").alias("a"))
+    begun = given.where("a.baseline = 1").groupBy("group_id", F.col("a.topic_id").alias("topic_id"), F.col("a.part").alias("part")).agg(F.max_by("a.initial", "at").alias("initial"))
     committed = events.where("event_type = 5").groupBy(*keys).agg(F.max_by("next", "offset").alias("committed"))
-    return assigned.join(committed, keys, "full_outer").select(*keys, F.coalesce("committed", "initial").alias("next"))
+    return begun.join(committed, keys, "full_outer").select(*keys, F.coalesce("committed", "initial").alias("next"))
 
 
-def bad_commits(events: DataFrame) -> DataFrame:
-    """Commits that break the chain of their key: another previous value than the one before, or a step back."""
-    keys = ["group_id", "topic_id", "partition"]
-    along = Window.partitionBy(*keys).orderBy("offset")
-    done = events.where("event_type = 5").withColumn("before", F.lag("next").over(along))
-    return done.where((F.col("before").isNotNull() & (F.col("before") != F.col("expected_previous"))) | (F.col("next") < F.coalesce("before", F.lit(0))))
+def assignments_from(events: DataFrame) -> DataFrame:
+    """The current assignment of each group, a row a key: generation, instance and owner; a group that was closed has none."""
+    last = events.where("event_type = 4").groupBy("group_id").agg(F.max_by(F.struct("new_generation", "instance", "assignments"), "offset").alias("l"))
+    each = last.select("group_id", F.col("l.new_generation").alias("generation"), F.col("l.instance").alias("instance"), F.explode("l.assignments").alias("a"))
+    return each.select("group_id", "generation", "instance", F.col("a.topic_id").alias("topic_id"), F.col("a.part").alias("part"), "a.owner", "a.resume")
 
 
-def stale_commits(events: DataFrame) -> DataFrame:
-    """Commits of another generation than the group's current one at their place in the history."""
-    along = Window.partitionBy("group_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    current = F.last(F.when(F.col("event_type") == 4, F.col("new_generation")), ignorenulls=True).over(along)
-    return events.withColumn("current", current).where("event_type = 5").where(F.col("current").isNull() | (F.col("current") != F.col("generation")))
+def entry_counts(events: DataFrame) -> DataFrame:
+    """Per group, the entries a saved projection of its history would have: explicit starts, members and keys."""
+    last = events.where("event_type = 4").groupBy("group_id").agg(F.max_by(F.struct(F.size("members").alias("members"), F.size("assignments").alias("owners")), "offset").alias("l"))
+    starts = events.where("event_type = 3").groupBy("group_id").agg(F.max(F.size("starts")).alias("starts"))
+    keys = commits_from(events).groupBy("group_id").agg(F.count(F.lit(1)).alias("keys"))
+    return starts.join(last, "group_id", "left").join(keys, "group_id", "left").select("group_id", "starts", F.coalesce("l.members", F.lit(0)).alias("members"), F.coalesce("l.owners", F.lit(0)).alias("owners"), F.coalesce("keys", F.lit(0)).alias("keys"))
 
 
 def save_checkpoint(state: DataFrame, folder: str, covered_next: int) -> None:
@@ -72,11 +78,11 @@ def save_checkpoint(state: DataFrame, folder: str, covered_next: int) -> None:
     spark = state.sparkSession
     name = f"generation-{uuid.uuid4().hex}"
     state.write.parquet(f"{folder}/{name}")
-    _write_text(spark, f"{folder}/manifest.json", json.dumps({"generation": name, "covered_next": covered_next}))
+    Files(spark, folder).swap("manifest.json", json.dumps({"generation": name, "covered_next": covered_next}).encode())
 
 
 def load_checkpoint(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    said = json.loads("".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect()))
+    said = json.loads(Files(spark, folder).read("manifest.json"))
     return spark.read.parquet(f"{folder}/{said['generation']}"), said["covered_next"]
 
 
@@ -84,14 +90,3 @@ def resume(checkpoint: DataFrame, covered_next: int, events: DataFrame, keys: li
     """A checkpointed :func:`latest` brought up to date with the events behind it; only those are scanned."""
     newer = latest(events.where(F.col(order) >= covered_next), keys, value, order)
     return checkpoint.withColumnRenamed(value, "_old").join(newer, keys, "full_outer").select(*keys, F.coalesce(value, "_old").alias(value))
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".next"))
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = system.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    system.delete(place, False)
-    system.rename(part, place)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.schema import FETCH_BYTES, FETCH_BYTES_MOST, FETCH_RECORDS, FETCH_RECORDS_MOST, InvalidArgument, OffsetOutOfRange, RecordTooLarge
+from ..functions.schema import FETCH_BYTES, FETCH_BYTES_MOST, FETCH_RECORDS, FETCH_RECORDS_MOST, Closed, ConcurrentOperation, FetchLimitTooSmall, InvalidArgument, OffsetOutOfRange
 from ..functions.scalar import start_position
 
 
@@ -81,40 +84,71 @@ def seek(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 class Reader:
-    """A cursor over one partition; it moves on success alone."""
+    """A cursor over one partition; it moves on success alone, and one call at a time.
+
+    ``ends`` tells the start and end of the partition; without it each call asks the log.
+    """
 
-    def __init__(self, log: DataFrame, part: int, offset: int = 0):
+    def __init__(self, log: DataFrame, part: int, offset: int = 0, ends: Callable[[], tuple[int, int]] | None = None):
         self.log, self.part, self.next_offset, self.closed = log, part, offset, False
+        self._ends, self._busy = ends or self._ask, threading.Lock()
 
-    def _ends(self) -> tuple[int, int]:
+    def _ask(self) -> tuple[int, int]:
         row = self.log.where(F.col("part") == self.part).agg(F.min("off"), F.max("off")).first()
         return (0, 0) if row[0] is None else (row[0], row[1] + 1)
 
-    def seek(self, offset: int) -> None:
+    def _inside(self, offset: int) -> int:
         low, high = self._ends()
         if not low <= offset <= high:
             raise OffsetOutOfRange(f"{offset} is outside [{low}, {high}]")
+        return high
+
+    def seek(self, offset: int) -> None:
+        self._inside(offset)
         self.next_offset = offset
 
     def fetch(self, max_records: int = 0, max_bytes: int = 0) -> list:
         """Rows of the next fetch, at most the limit of records; none at the end."""
-        if self.closed:
-            raise InvalidArgument("the reader is closed")
-        low, high = self._ends()
-        if not low <= self.next_offset <= high:
-            raise OffsetOutOfRange(f"{self.next_offset} is outside [{low}, {high}]")
-        if self.next_offset == high:
-            return []
-        rows = fetch(self.log, self.part, self.next_offset, max_records, max_bytes).orderBy("off").collect()
-        if not rows:
-            raise RecordTooLarge(f"the record at {self.next_offset} exceeds the limit")
-        self.next_offset = rows[-1]["off"] + 1
-        return rows
+        if not self._busy.acquire(blocking=False):
+            raise ConcurrentOperation("the reader is busy with another call")
+        try:
+            if self.closed:
+                raise Closed("the reader is closed")
+            limits = fetch_limits(max_records, max_bytes)
+            if self.next_offset == self._inside(self.next_offset):
+                return []
+            rows = fetch(self.log, self.part, self.next_offset, *limits).orderBy("off").collect()
+            if not rows:
+                raise FetchLimitTooSmall(f"the record at {self.next_offset} exceeds the limit")
+            self.next_offset = rows[-1]["off"] + 1
+            return rows
+        finally:
+            self._busy.release()
 
     def close(self) -> None:
         self.closed = True
 
 
+def read_pages(log: DataFrame, part: int, records: int, size: int = 0) -> list[tuple[int, int, int]]:
+    """(first offset, records, next offset) of each fetch of a :class:`Reader` from the start to the end of a partition."""
+    reader = Reader(log, part)
+    reader.next_offset = reader._ends()[0]
+    out = []
+    while rows := reader.fetch(records, size):
+        out.append((rows[0]["off"], len(rows), reader.next_offset))
+    return out
+
+
+def verify(log: DataFrame, part: int, low: int, high: int) -> DataFrame:
+    """What a scan of [``low``, ``high``) of a partition has to find: records, whether they are contiguous, and the digest of their order."""
+    from . import integrity, metrics
+
+    own = log.where((F.col("part") == part) & (F.col("off") >= low) & (F.col("off") < high))
+    found = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("off").alias("first"), F.max("off").alias("last"))
+    whole = (F.col("n") == high - low) & (F.col("first") == low) & (F.col("last") == high - 1) & F.col("gaps").isNull()
+    return found.join(integrity.gaps(own).select("part", "gaps"), "part", "left").join(metrics.digest(own), "part").select("part", "n", whole.alias("whole"), "digest")
+
+
 def matching(log: DataFrame, key: Column) -> DataFrame:
     """The first record of a key, to find out whether an append came through."""
     return log.where(F.col("key") == key).orderBy("off").limit(1)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import distance, millis, valid_topic_name
-from ..functions.schema import BY_SIZE, BY_TIME, SEGMENT_HEADER
+from ..functions.schema import BY_SIZE, BY_TIME, RECORD, SEGMENT_HEADER
 from ..functions.workspace import work_path
-from ..operators import capacity, consumer, integrity, metrics, packing, replay, retention, scan
+from ..operators import capacity, consumer, history, integrity, metrics, packing, replay, retention, scan
 from ..sources import binary, workloads
+from ..sources.files import Files
 from ..sources.views import PARTS, catalog_parts, commits, log_events, log_turns, table
 from ..streaming import offsets
 
@@ -65,7 +66,12 @@ def offset_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fetch_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.pages(log_events(spark, sf), 128).select("part", "off", "page")
+    """Every fetch of a reader of 1,024 records a time, over all partitions."""
+    folder = work_path(spark, "pages")
+    log_events(spark, sf).select("part", "off", "encoded_bytes").write.partitionBy("part").parquet(folder)
+    log = spark.read.schema("off long, encoded_bytes long, part int").parquet(folder)
+    rows = [(p, *page) for p in range(PARTS) for page in scan.read_pages(log, p, 1024)]
+    return spark.createDataFrame(rows, "part int, first_off long, n long, next_offset long")
 
 
 @query
@@ -118,12 +124,14 @@ def batch_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def index_asof_seek(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 50th offset against an index of every fourth batch."""
-    log = log_events(spark, sf)
+    """Every offset against an index of every fourth batch."""
+    folder = work_path(spark, "numbered")
+    log_events(spark, sf).select("part", "off", "encoded_bytes", "ts_ms").write.parquet(folder)  # numbered once
+    log = spark.read.schema("part int, off long, encoded_bytes long, ts_ms long").parquet(folder)
     stats = packing.batch_stats(_batches(log))
     along = Window.partitionBy("part").orderBy("batch_base").rowsBetween(Window.unboundedPreceding, -1)
     index = stats.withColumn("position", F.coalesce(F.sum("bytes").over(along), F.lit(0)) + SEGMENT_HEADER).where(f"batch_base % {4 * PACK_RECORDS} = 0").select("part", F.col("batch_base").alias("base"), "position")
-    return scan.seek(log.where("off % 50 = 7").select("part", "off"), index)
+    return scan.seek(log.select("part", "off"), index)
 
 
 @query
@@ -245,7 +253,7 @@ def retention_plan_both(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cleanup_debt(spark: SparkSession, sf: str) -> DataFrame:
-    return retention.cleanup_debt(_planned(spark, sf, BY_TIME).where("retired"), 10)
+    return retention.cleanup_debt(_planned(spark, sf, BY_TIME).where("retired"))
 
 
 @query
@@ -343,22 +351,91 @@ def disk_pressure(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def workload_keys(spark: SparkSession, sf: str) -> DataFrame:
     made = workloads.soak(spark, 2000, 7, 0x5EED, 3).withColumn("k", workloads.soak_key(F.col("key")))
-    return made.select("part", "key", "k.producer", "k.sequence", F.length("value").alias("value_length"))
+    size = F.octet_length("value")
+    kind = F.when(size.isNull(), "null").when(size == 0, "empty").when(size == workloads.LARGE, "large").when(size.between(workloads.SMALL, workloads.SMALL + 127), "small")
+    return made.select("part", "key", "k.producer", "k.sequence", kind.alias("size"))
 
 
 @query
 def sequence_check(spark: SparkSession, sf: str) -> DataFrame:
     """A user's events as a producer's sequence, some out of place: steps that do not rise."""
     events = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") - F.when(F.col("event_id") % 13 == 0, 60).otherwise(0)).alias("sequence"))
-    before = F.lag("sequence").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return events.withColumn("before", before).where("sequence <= before")
+    return integrity.previous(events, ["user_id"], "event_id", "sequence").where("sequence <= before")
+
+
+@query
+def group_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations' customers as members of groups that subscribe to market segments; some have a key twice or share one."""
+    customers = table(spark, sf, "customer").where("c_custkey % 4 = 0 or c_nationkey < 12")
+    rows = customers.select(F.col("c_nationkey").alias("group_id"), (F.col("c_custkey") % 5).cast("int").alias("member"), F.col("c_mktsegment").alias("topic_id"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") % 200).cast("int").alias("part"))
+    found = consumer.snapshots(rows)
+    text = F.array_join(F.transform("members", lambda m: F.array_join(F.transform(m, lambda k: F.concat_ws(":", k["topic_id"], F.lpad(k["part"].cast("string"), 9, "0"))), ",")), ";")
+    return found.select("group_id", "n_members", "keys", "problem", F.sha2(text, 256).alias("canonical"))
+
+
+@query
+def retention_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """What readers of the log find once the planned starts hold: bounds, records and the first of them."""
+    starts = retention.summary(_planned(spark, sf, BY_TIME | BY_SIZE)).select("part", "new_low", "reason_mask")
+    log = log_events(spark, sf).join(F.broadcast(starts), "part")  # a row a partition
+    kept = log.groupBy("part", "new_low", "reason_mask").agg((F.max("off") + 1).alias("high"), F.count_if(F.col("off") >= F.col("new_low")).alias("n"), F.min(F.when(F.col("off") >= F.col("new_low"), F.col("off"))).alias("first_off"), F.count_if(F.col("off") < F.col("new_low")).alias("refused"))
+    return kept.select("part", F.col("new_low").alias("low"), "high", "n", "first_off", "refused", "reason_mask")
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of groups over the log: each is created, assigned all partitions, and commits; every eleventh commit is lost, every 17th is another's."""
+    log = log_events(spark, sf)
+    done = integrity.previous(commits(log), ["group_id", "part"], "seq", "next")
+    names = done.select("group_id").distinct()
+    commit = done.where("seq % 11 <> 0").select(
+        (F.col("seq") + 10).alias("offset"), F.lit(5).alias("event_type"), "group_id", F.lit("i").alias("instance"), F.when(F.col("seq") % 17 == 0, "other").otherwise("s").alias("session"), F.lit(1).cast("long").alias("generation"),
+        F.lit("t").alias("topic_id"), "part", F.col("before").isNotNull().cast("int").alias("previous_kind"), F.coalesce("before", F.lit(0)).cast("long").alias("expected_previous"), "next",
+    )
+    given = F.array(*(F.struct(F.lit("t").alias("topic_id"), F.lit(p).alias("part"), F.lit("s").alias("owner"), F.lit(0).cast("long").alias("resume"), F.lit(1).alias("baseline"), F.lit(0).cast("long").alias("initial")) for p in range(PARTS)))
+    keys = F.array(*(F.struct(F.lit("t").alias("topic_id"), F.lit(p).alias("part")) for p in range(PARTS)))
+    assigned = names.select(F.lit(5).cast("long").alias("offset"), F.lit(4).alias("event_type"), "group_id", F.lit("i").alias("instance"), F.lit(0).cast("long").alias("expected_generation"), F.lit(1).cast("long").alias("new_generation"), F.lit(1).alias("reason"), F.array(F.struct(F.lit("s").alias("session"), keys.alias("keys"))).alias("members"), given.alias("assignments"))
+    created = names.select(F.lit(0).cast("long").alias("offset"), F.lit(3).alias("event_type"), "group_id", F.lit(1).alias("start_mode"), F.array().cast("array<struct<topic_id:string,part:int,next:bigint>>").alias("starts"))
+    return commit.unionByName(assigned, True).unionByName(created, True)
+
+
+@query
+def history_validation(spark: SparkSession, sf: str) -> DataFrame:
+    events = _history(spark, sf)
+    return history.offsets_shape(events).unionByName(history.offsets_chains(events))
+
+
+@query
+def assignment_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as saved assignments, against nations as topics, some members and some progress."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("group_id"), (F.col("o_custkey") % 27).cast("int").alias("topic_id"), F.col("o_orderkey").cast("long").alias("part"), (F.col("o_custkey") % 7).cast("int").alias("owner"), (F.col("o_orderkey") % 50).cast("long").alias("resume"), "o_orderkey")
+    topics = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("topic_id"), (F.col("n_regionkey") * 10_000 + 20_000).cast("long").alias("n_partitions"))
+    members = orders.where("owner <> 3").select("group_id", F.col("owner").alias("session"))
+    progress = orders.where("o_orderkey % 13 <> 0").select("group_id", "topic_id", "part", F.when(F.col("o_orderkey") % 19 == 0, F.col("resume") - 1).otherwise(F.col("resume") + 5).alias("next"))
+    return history.assignment_problems(orders.drop("o_orderkey"), members, topics, progress)
+
+
+@query
+def monotone_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as samples of a partition's bounds, some of which go back."""
+    at = F.col("o_orderkey")
+    samples = table(spark, sf, "orders").select((F.col("o_custkey") % PARTS).cast("int").alias("part"), at.alias("at"), (F.floor(at / 8) - F.when(at % 97 == 0, 50).otherwise(0)).alias("low"), (F.floor(at / 4) + F.when(at % 89 == 0, 500).otherwise(0) - F.when(at % 101 == 0, 2 * at).otherwise(0)).alias("high"))
+    return history.monotone_bounds(samples, "part")
+
+
+@query
+def prefix_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.prefix_digest(log_events(spark, sf), 1000, "0" * 31 + "1", "0" * 31 + "9")
 
 
 @query
 def stream_offsets(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_path(spark, "stream-offsets")
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn("part", (F.col("user_id") % PARTS).cast("int"))
+    events = table(spark, sf, "events")
+    days = events.select(F.date_trunc("month", "ts").alias("_day")).distinct().withColumn("_batch", F.row_number().over(Window.orderBy("_day")))
+    dealt = events.withColumn("_day", F.date_trunc("month", "ts")).join(F.broadcast(days), "_day").drop("_day")  # a row a month
+    for row in days.select("_batch").orderBy("_batch").collect():  # files in order of time: a batch each
+        dealt.where(F.col("_batch") == row["_batch"]).drop("_batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = offsets.lingering(spark, events.schema, 1).parquet(f"{folder}/in").withColumn("part", (F.col("user_id") % PARTS).cast("int"))
     offsets.assign_stream(stream, f"{folder}/out", f"{folder}/checkpoint", "part", ["ts", "event_id"], F.date_trunc("day", "ts").cast("timestamp_ntz"))
     return spark.read.parquet(f"{folder}/out/rows").select("event_id", "part", "off")
 
@@ -374,22 +451,28 @@ def stream_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def binary_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches encoded to bytes and decoded again, a task at a time."""
-    columns = "part int, off long, ts_ms long, key string, value string"
-    log = _batches(log_events(spark, sf)).select("part", "batch_base", "off", "ts_ms", "key", "value")
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for (part, _), own in frame.sort_values("off").groupby(["part", "batch_base"]):
-                rows = [{"offset": o, "timestamp_ms": t, "key": k.encode(), "value": v.encode(), "headers": []} for o, t, k, v in zip(own.off, own.ts_ms, own.key, own.value, strict=True)]
-                runs = [i for i in range(len(rows)) if i == 0 or rows[i]["offset"] != rows[i - 1]["offset"] + 1] + [len(rows)]
-                for a, b in zip(runs, runs[1:], strict=False):  # an Arrow batch may cut a log batch
-                    found, _ = binary.decode_batch(binary.encode_batch(rows[a:b]), 0)
-                    out += [(part, r["offset"], r["timestamp_ms"], r["key"].decode(), r["value"].decode()) for r in found]
-            yield type(frame)(out, columns=["part", "off", "ts_ms", "key", "value"])
-
-    return log.repartition("part", "batch_base").sortWithinPartitions("part", "off").mapInPandas(run, columns)
+    """The log written as segment files by the data source's writer, and read back from them."""
+    folder = work_path(spark, "segments")
+    log = log_events(spark, sf)
+    records = log.select(F.lit(f"{7:032x}").alias("topic_id"), F.col("part").alias("partition"), F.col("off").alias("offset"), F.col("ts_ms").alias("timestamp_ms"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.array().cast(RECORD["headers"].dataType).alias("headers"))
+    binary.write_segments(records, folder, batch_records=PACK_RECORDS, segment_bytes=ROLL_BYTES * 10)
+    found = binary.read_segments(spark, folder)
+    return found.select(F.col("partition").alias("part"), F.col("offset").alias("off"), F.col("timestamp_ms").alias("ts_ms"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query
+def segment_preflight(spark: SparkSession, sf: str) -> DataFrame:
+    """What a report finds in segment files of the log, of which one a partition has lost its last byte."""
+    folder = work_path(spark, "segments")
+    log = log_events(spark, sf)
+    records = log.select(F.lit(f"{7:032x}").alias("topic_id"), F.col("part").alias("partition"), F.col("off").alias("offset"), F.col("ts_ms").alias("timestamp_ms"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.array().cast(RECORD["headers"].dataType).alias("headers"))
+    binary.write_segments(records, folder, batch_records=PACK_RECORDS, segment_bytes=1 << 40)
+    files = Files(spark, folder)
+    for place in files.names(""):
+        for name in files.names(place):
+            files.swap(f"{place}/{name}", files.read(f"{place}/{name}")[:-1])
+    report = binary.preflight(spark, folder)
+    return report.select(F.col("partition").alias("part"), "base", "end", "batches", "records", "kind")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

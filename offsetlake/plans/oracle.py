@@ -114,7 +114,7 @@ SELECT "off", ts_ms, key, value, encoded_bytes, max("off") OVER () + 1 AS next_o
     FROM conversations
 ), {PARTS_4}, {ENDS} SELECT * FROM ends""",
     "offset_assignment": f"""WITH {LOG} SELECT event_id, part, "off" FROM log""",
-    "fetch_pages": f"""WITH {LOG} SELECT part, "off", "off" // 128 AS page FROM log""",
+    "fetch_pages": f"""WITH {LOG} SELECT part, min("off") AS first_off, count(*) AS n, max("off") + 1 AS next_offset FROM log GROUP BY part, "off" // 1024""",
     "start_positions": f"""WITH {LOG}, {PARTS_5}, {ENDS}
 SELECT part, low, high, mode,
        CASE mode WHEN 'earliest' THEN low WHEN 'latest' THEN high ELSE CASE WHEN 100 BETWEEN low AND high THEN 100 END END AS position
@@ -142,7 +142,7 @@ SELECT * FROM run WHERE ts_ms < prefix_max""",
     FROM batches
 )
 SELECT l.part, l."off", p.base, p.position
-FROM (SELECT part, "off" FROM log WHERE "off" % 50 = 7) l
+FROM (SELECT part, "off" FROM log) l
 ASOF LEFT JOIN (SELECT * FROM placed WHERE base % {4 * PACK_RECORDS} = 0) p ON l.part = p.part AND l."off" >= p.base""",
     "batch_packing": f"""WITH RECURSIVE {PACKED} SELECT * FROM batches""",
     "segment_rolling": f"""WITH RECURSIVE {PACKED}, rolled AS (
@@ -212,9 +212,9 @@ SELECT count(DISTINCT group_id) AS groups, count(*) AS keys FROM keys""",
     "retention_plan_size": _retention(2),
     "retention_plan_both": _retention(3),
     "cleanup_debt": f"""WITH {_planned(1)}, gone AS (SELECT * FROM planned WHERE retired), first_ AS (
-    SELECT * FROM gone ORDER BY part, segment_base LIMIT 10
+    SELECT * FROM gone ORDER BY part, segment_base LIMIT 1024
 )
-SELECT count(*) AS n, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, min(segment_base) AS min_base, (SELECT count(*) > 10 FROM gone) AS truncated FROM first_""",
+SELECT count(*) AS n, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, min(segment_base) AS min_base, (SELECT count(*) > 1024 FROM gone) AS truncated FROM first_""",
     "latency_summary": f"""WITH {LOG}, seen AS (SELECT key, CAST(floor(amount * 1000000) AS BIGINT) AS latency FROM log)
 SELECT key, count(*) AS n, CAST(sum(latency) AS BIGINT) AS total, CAST(floor(sum(latency) / count(*)) AS BIGINT) AS average, min(latency) AS least, max(latency) AS most,
        quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.9) AS p90, quantile_disc(latency, 0.95) AS p95,
@@ -284,7 +284,7 @@ SELECT *, coalesce(last_value(CASE WHEN free < 30000 THEN true WHEN free >= 3500
 FROM samples""",
     "workload_keys": """SELECT CAST(range % 7 % 4 AS INTEGER) AS part, printf('soak-%016x-%016x-%08x-%016x', 24301, 3, range % 7, range // 7) AS key,
        range % 7 AS producer, range // 7 AS sequence,
-       CAST(CASE range // 7 % 64 WHEN 0 THEN 65536 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE 1024 END AS INTEGER) AS value_length
+       CASE range // 7 % 64 WHEN 0 THEN 'large' WHEN 1 THEN 'null' WHEN 2 THEN 'empty' ELSE 'small' END AS size
 FROM range(2000)""",
     "sequence_check": """WITH seen AS (
     SELECT user_id, event_id, event_id - CASE WHEN event_id % 13 = 0 THEN 60 ELSE 0 END AS sequence FROM events
@@ -293,4 +293,56 @@ SELECT * FROM lagged WHERE sequence <= before""",
     "stream_offsets": f"""WITH {LOG} SELECT event_id, part, "off" FROM log""",
     "stream_bounds": f"""WITH {LOG}, {PARTS_4}, {ENDS} SELECT * FROM ends WHERE n > 0""",
     "binary_roundtrip": f"""WITH {LOG} SELECT part, "off", ts_ms, key, value FROM log""",
+    "group_snapshots": """WITH rows_ AS (
+    SELECT c_nationkey AS group_id, c_custkey % 5 AS member, c_mktsegment AS topic_id, CASE WHEN c_nationkey % 3 = 0 THEN c_custkey ELSE c_custkey % 200 END AS part
+    FROM customer WHERE c_custkey % 4 = 0 OR c_nationkey < 12
+), times AS (SELECT *, count(*) AS times FROM rows_ GROUP BY ALL),
+shared AS (SELECT group_id, topic_id, part, count(*) AS owners, max(times) AS times, sum(times) AS n FROM times GROUP BY ALL),
+flags AS (SELECT group_id, max(times) > 1 AS repeated, max(owners) > 1 AS overlap, CAST(sum(n) AS BIGINT) AS keys FROM shared GROUP BY group_id),
+each AS (SELECT group_id, member, string_agg(topic_id || ':' || lpad(CAST(part AS VARCHAR), 9, '0'), ',' ORDER BY topic_id, part) AS keys FROM times GROUP BY ALL),
+whole AS (SELECT group_id, count(*) AS n_members, sha256(string_agg(keys, ';' ORDER BY keys)) AS canonical FROM each GROUP BY group_id)
+SELECT group_id, n_members, f.keys, CASE WHEN repeated THEN 'repeated' WHEN overlap THEN 'overlap' ELSE '' END AS problem, canonical FROM flags f JOIN whole USING (group_id)""",
+    "retention_applied": f"""WITH {_planned(3)}, starts AS (
+    SELECT part, coalesce(max("end") FILTER (retired), min(segment_base)) AS low, CAST(coalesce(bit_or(reason) FILTER (retired), 0) AS INTEGER) AS reason_mask FROM planned GROUP BY part
+)
+SELECT part, low, max("off") + 1 AS high, count(*) FILTER ("off" >= low) AS n, min("off") FILTER ("off" >= low) AS first_off, count(*) FILTER ("off" < low) AS refused, reason_mask
+FROM log JOIN starts USING (part) GROUP BY part, low, reason_mask""",
+    "history_validation": f"""WITH {LOG}, {COMMITS}, known AS (
+    SELECT *, lag(next) OVER (PARTITION BY group_id, part ORDER BY seq) AS before FROM commits
+), left_ AS (SELECT * FROM known WHERE seq % 11 <> 0),
+seen AS (
+    SELECT *, lag(next) OVER (PARTITION BY group_id, part ORDER BY seq) AS stands FROM left_
+)
+SELECT seq + 10 AS "offset", 'commit by no owner' AS problem FROM left_ WHERE seq % 17 = 0
+UNION ALL
+SELECT seq + 10, 'commit does not agree' FROM seen
+WHERE coalesce(stands, 0) <> coalesce(before, 0) OR (before IS NULL) <> (stands IS NULL)""",
+    "assignment_validation": """WITH a AS (
+    SELECT o_orderpriority AS group_id, CAST(o_custkey % 27 AS INTEGER) AS topic_id, CAST(o_orderkey AS BIGINT) AS part, o_custkey % 7 AS owner, o_orderkey % 50 AS resume FROM orders
+), m AS (SELECT DISTINCT group_id, owner FROM a WHERE owner <> 3),
+p AS (SELECT group_id, topic_id, part, CASE WHEN part % 19 = 0 THEN resume - 1 ELSE resume + 5 END AS next FROM a WHERE part % 13 <> 0),
+met AS (
+    SELECT a.*, n.n_regionkey * 10000 + 20000 AS n_partitions, m.owner AS known, p.next
+    FROM a LEFT JOIN nation n ON n.n_nationkey = a.topic_id LEFT JOIN m USING (group_id, owner) LEFT JOIN p USING (group_id, topic_id, part)
+)
+SELECT group_id, topic_id, part, 'unknown partition' AS problem FROM met WHERE n_partitions IS NULL OR part >= n_partitions
+UNION ALL SELECT group_id, topic_id, part, 'owner is no member' FROM met WHERE known IS NULL
+UNION ALL SELECT group_id, topic_id, part, 'no progress' FROM met WHERE next IS NULL
+UNION ALL SELECT group_id, topic_id, part, 'resume does not agree' FROM met WHERE next < resume""",
+    "monotone_bounds": """WITH samples AS (
+    SELECT CAST(o_custkey % 4 AS INTEGER) AS part, o_orderkey AS "at", o_orderkey // 8 - CASE WHEN o_orderkey % 97 = 0 THEN 50 ELSE 0 END AS low,
+           o_orderkey // 4 + CASE WHEN o_orderkey % 89 = 0 THEN 500 ELSE 0 END - CASE WHEN o_orderkey % 101 = 0 THEN 2 * o_orderkey ELSE 0 END AS high
+    FROM orders
+), seen AS (
+    SELECT *, lag(low) OVER (PARTITION BY part ORDER BY "at") AS low_before, lag(high) OVER (PARTITION BY part ORDER BY "at") AS high_before FROM samples
+)
+SELECT * FROM seen WHERE low > high OR low < low_before OR high < high_before""",
+    "prefix_digests": f"""WITH {LOG}, leaves AS (
+    SELECT part, "off" // 256 AS leaf, sha256(string_agg(coalesce(key, '') || chr(0) || coalesce(value, '') || chr(0), '' ORDER BY "off")) AS h FROM log WHERE "off" < 1000 GROUP BY ALL
+), upper_ AS (
+    SELECT part, leaf // 256 AS node, sha256(string_agg(h, '' ORDER BY leaf)) AS h FROM leaves GROUP BY ALL
+), whole AS (SELECT part, sha256(string_agg(h, '' ORDER BY node)) AS digest FROM upper_ GROUP BY part)
+SELECT part, sha256('{"0" * 31}1/{"0" * 31}9/' || part || '/1000/' || digest) AS digest FROM whole""",
+    "segment_preflight": f"""WITH {LOG}, bounds AS (SELECT part, max("off") AS last FROM log GROUP BY part)
+SELECT part, CAST(0 AS BIGINT) AS base, last // {PACK_RECORDS} * {PACK_RECORDS} AS "end", last // {PACK_RECORDS} AS batches, last // {PACK_RECORDS} * {PACK_RECORDS} AS records, 'tail' AS kind FROM bounds""",
 }

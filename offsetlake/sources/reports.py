@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.schema import InvalidArgument
+from .files import Files
+
 RUN = "version int, duration_ns long, measurement_ns long, warmup_ns long, offered long, acknowledged long, samples array<struct<elapsed_ns:bigint,offered:bigint,acknowledged:bigint>>"
 
 
@@ -41,9 +44,29 @@ def merge_settings(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def markdown(rows: DataFrame, order: str, most: int = 1000) -> str:
-    """A report's rows as a Markdown table, in order, ``most`` of them at most."""
+    """A report's rows as a Markdown table, in order, ``most`` of them at most; a last line says how many are left out."""
     columns = rows.columns
     lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
     for row in rows.orderBy(order).limit(most).collect():
         lines.append("| " + " | ".join("" if v is None else f"{v:g}" if isinstance(v, float) else str(v) for v in row) + " |")
+    total = rows.count()
+    if total > most:
+        lines.append(f"\n{total - most} more rows are left out.")
     return "\n".join(lines) + "\n"
+
+
+def append_section(spark: SparkSession, folder: str, name: str, marker: str, text: str) -> None:
+    """Adds a section to a report file; one with the same marker is refused."""
+    files = Files(spark, folder)
+    have = files.read(name).decode() if files.exists(name) else ""
+    line = f"<!-- {marker} -->"
+    if line in have:
+        raise InvalidArgument(f"{name} has {marker} already")
+    files.swap(name, f"{have}{line}\n{text.rstrip()}\n".encode())
+
+
+def save_json(rows: DataFrame, folder: str, name: str, most: int = 100_000) -> None:
+    """A report as one file of JSON lines in canonical order; a table of more than ``most`` rows is refused, write that with Spark."""
+    if rows.count() > most:
+        raise InvalidArgument(f"a report of more than {most} rows")
+    Files(rows.sparkSession, folder).swap(name, "".join(line + "\n" for line in sorted(r[0] for r in rows.select(F.to_json(F.struct(*sorted(rows.columns)))).collect())).encode())

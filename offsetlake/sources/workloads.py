@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LARGE, SMALL = 64 << 10, 1024
+LARGE, SMALL, KEY_BYTES = 64 << 10, 1024, 64
 
 
 def soak(spark: SparkSession, records: int, producers: int, seed: int, run: int, parts: int = 4) -> DataFrame:
-    """Keyed records of producers in turn; of 64 in sequence one is large, one null, one empty, the others small."""
+    """Keyed records of producers in turn; of 64 in sequence one is large, one null, one empty, the others small.
+
+    One in eight of the small ones is up to 127 bytes longer, by a hash of the key. A
+    value is its key and then, byte by byte, the place in it modulo 256.
+    """
     n = F.col("id")
     sequence = F.floor(n / producers)
     producer = n % producers
     key = F.format_string("soak-%016x-%016x-%08x-%016x", F.lit(seed), F.lit(run), producer, sequence)
     turn = sequence % 64
-    value = F.when(turn == 0, F.repeat(F.lit("x"), LARGE)).when(turn == 1, F.lit(None)).when(turn == 2, F.lit("")).otherwise(F.repeat(F.lit("x"), SMALL))
+    h = F.xxhash64(F.lit(seed), key)
+    small = SMALL + F.when(F.pmod(h, F.lit(8)) == 0, F.pmod(F.shiftright(h, 8), F.lit(128))).otherwise(0)
+    size = F.when(turn == 0, LARGE).when(turn == 1, F.lit(None)).when(turn == 2, 0).otherwise(small).cast("int")
+    cycle = bytes(range(256))
+    filler = F.repeat(F.lit(cycle.hex()), LARGE // 256)
+    value = F.when(size == 0, F.lit(b"")).when(size > 0, F.concat(key.cast("binary"), F.unhex(F.substring(filler, 2 * KEY_BYTES + 1, 2 * (size - KEY_BYTES)))))
     return spark.range(records).select((producer % parts).cast("int").alias("part"), producer.alias("producer"), sequence.alias("sequence"), key.alias("key"), value.alias("value"))
 
 

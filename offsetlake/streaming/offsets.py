@@ -10,41 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.schema import LogError
+from ..sources.files import Files
 
 
-def _committed(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
-    """What batches before ``batch`` wrote."""
-    try:
-        seen = spark.read.schema(schema).option("basePath", folder).parquet(folder)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], schema)
-        raise LogError(f"{folder} cannot be read") from error
-    return seen.where(F.col("batch") < batch)
+def _last(spark: SparkSession, folder: str, batch: int) -> str | None:
+    """The folder of the last batch before ``batch`` that has been written whole."""
+    files = Files(spark, folder)
+    done = [int(n.split("=")[1]) for n in files.names("") if n.startswith("batch=") and files.exists(f"{n}/_SUCCESS")]
+    before = [b for b in done if b < batch]
+    return f"{folder}/batch={max(before)}" if before else None
 
 
 def assign_stream(stream: DataFrame, folder: str, checkpoint: str, part: str, order: list[str], span) -> None:
     """Numbers rows in order of arrival per partition, and appends them under ``folder``; runs until the input is read.
 
     ``span`` cuts a batch's partitions into ranges along ``order`` that are numbered
-    side by side.
+    side by side. The state, the next offset of every partition, is written whole with
+    each batch, so a batch reads that of the one before and no other.
     """
     from ..sources.views import number
 
-    state_schema = f"{part} int, next long, batch long"
+    state_schema = f"{part} int, next long"
 
     def append(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        before = _committed(spark, f"{folder}/next", batch, state_schema).groupBy(part).agg(F.max("next").alias("_base"))
-        fresh = number(rows, part, order, span).join(before, part, "left").withColumn("off", F.col("off") + F.coalesce("_base", F.lit(0))).drop("_base")
+        last = _last(spark, f"{folder}/next", batch)
+        before = spark.read.schema(state_schema).parquet(last) if last else spark.createDataFrame([], state_schema)
+        fresh = number(rows, part, order, span).join(before.withColumnRenamed("next", "_base"), part, "left").withColumn("off", F.col("off") + F.coalesce("_base", F.lit(0))).drop("_base")
         fresh.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
-        done = spark.read.parquet(f"{folder}/rows/batch={batch}")
-        done.groupBy(part).agg((F.max("off") + 1).alias("next")).write.mode("overwrite").parquet(f"{folder}/next/batch={batch}")
+        done = spark.read.parquet(f"{folder}/rows/batch={batch}").groupBy(part).agg((F.max("off") + 1).alias("next"))
+        done.unionByName(before).groupBy(part).agg(F.max("next").alias("next")).write.mode("overwrite").parquet(f"{folder}/next/batch={batch}")
 
     stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def lingering(spark: SparkSession, schema, files: int = 1000, size: str | None = None):
+    """A reader of files whose micro-batches close by a number of files or by bytes, as batches of a log do."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    return reader.option("maxBytesPerTrigger", size) if size else reader
+
+
 def bounds_stream(stream: DataFrame, folder: str, checkpoint: str, part: str) -> None:
     """Start, end, count and bytes of each partition as they grow: a stateful aggregation, its last result kept under ``folder``."""
     running = stream.groupBy(part).agg(F.min("off").alias("low"), (F.max("off") + 1).alias("high"), F.count(F.lit(1)).alias("n"), F.sum("encoded_bytes").alias("bytes"))

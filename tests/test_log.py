@@ -1,6 +1,7 @@
 """Every query of the catalogue against DuckDB, and the operators on small histories."""
 
 import random
+import re
 
 import duckdb
 import pandas as pd
@@ -8,12 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from offsetlake.functions import scalar
-from offsetlake.functions.schema import AssignmentLost, CommitRegression, Corrupt, InvalidArgument, OffsetOutOfRange, RecordTooLarge, TopicExists, TopicNotFound, Unsupported
+from offsetlake.functions.schema import Corrupt, InvalidArgument, OffsetOutOfRange, RecordTooLarge
 from offsetlake.functions.workspace import work_path
-from offsetlake.operators import capacity, consumer, integrity, metrics, packing, replay, retention, scan
+from offsetlake.operators import capacity, consumer, groups, history, integrity, metrics, packing, replay, retention, scan
 from offsetlake.plans import catalogue, oracle
-from offsetlake.sources import binary, reports, views
-from offsetlake.store import LogStore
+from offsetlake.sources import reports, views, workloads
 from offsetlake.streaming import offsets
 
 SF = "/root/testdata/sf0.001"
@@ -152,27 +152,175 @@ def test_backlog(spark):
     assert bad.slope > 0 and not bad.valid
 
 
+OFFSET_EVENTS = """offset long, event_type int, store_id string, catalog_next long, group_id string, start_mode int, starts array<struct<topic_id:string,part:int,next:bigint>>, instance string,
+expected_generation long, new_generation long, reason int, members array<struct<session:string,keys:array<struct<topic_id:string,part:int>>>>,
+assignments array<struct<topic_id:string,part:int,owner:string,resume:bigint,baseline:int,initial:bigint>>, session string, generation long, topic_id string, part int, previous_kind int, expected_previous long, next long"""
+
+
+def created(offset, group, mode=1, starts=(), revision=2, store="s"):
+    return (offset, 3, store, revision, group, mode, list(starts), *[None] * 13)
+
+
+def assigned(offset, group, expected, members, assignments, new=None, reason=1, revision=2):
+    return (offset, 4, "s", revision, group, None, None, "i", expected, expected + 1 if new is None else new, reason, members, assignments, *[None] * 7)
+
+
+def committed(offset, group, generation, part, previous, next_, kind=1, session="m", instance="i", revision=2):
+    return (offset, 5, "s", revision, group, None, None, instance, None, None, None, None, None, session, generation, "t", part, kind, previous, next_)
+
+
+def keys(*parts):
+    return [("m", [("t", p) for p in parts])]
+
+
 def test_replay(spark):
-    kind = "offset long, event_type int, group_id string, new_generation long, assignments array<struct<topic_id:string,partition:int,owner:string,initial:bigint>>, generation long, topic_id string, partition int, expected_previous long, next long"
     rows = [
-        (0, 3, "g", None, None, None, None, None, None, None),
-        (1, 4, "g", 1, [("t", 0, "m", 0), ("t", 1, "m", 5)], None, None, None, None, None),
-        (2, 5, "g", None, None, 1, "t", 0, 0, 3),
-        (3, 4, "g", 2, [("t", 0, "m", 3)], None, None, None, None, None),
-        (4, 5, "g", None, None, 1, "t", 0, 3, 4),
-        (5, 5, "g", None, None, 2, "t", 0, 9, 5),
+        created(0, "g"),
+        assigned(1, "g", 0, keys(0, 1), [("t", 0, "m", 0, 1, 0), ("t", 1, "m", 5, 1, 5)]),
+        committed(2, "g", 1, 0, 0, 3, 0),
+        assigned(3, "g", 1, keys(0), [("t", 0, "m", 3, 0, 0)]),
+        committed(4, "g", 2, 0, 3, 4),
     ]
-    events = spark.createDataFrame(rows, kind)
-    assert {(r.partition, r.next) for r in replay.commits_from(events).collect()} == {(0, 5), (1, 5)}
-    assert [r.offset for r in replay.bad_commits(events).collect()] == [5]
-    assert [r.offset for r in replay.stale_commits(events).collect()] == [4]
+    events = spark.createDataFrame(rows, OFFSET_EVENTS)
+    assert {(r.part, r.next) for r in replay.commits_from(events).collect()} == {(0, 4), (1, 5)}
+    assert [(r.generation, r.part, r.owner) for r in replay.assignments_from(events).collect()] == [(2, 0, "m")]
+    assert replay.entry_counts(events).first()[:] == ("g", 0, 1, 1, 2)
     folder = work_path(spark, "checkpoint")
     done = events.where("event_type = 5")
     for upto in (3, 5):
-        replay.save_checkpoint(replay.latest(done.where(F.col("offset") < upto), ["group_id", "partition"], "next", "offset"), folder, upto)
+        replay.save_checkpoint(replay.latest(done.where(F.col("offset") < upto), ["group_id", "part"], "next", "offset"), folder, upto)
         state, covered = replay.load_checkpoint(spark, folder)
         assert covered == upto
-        assert [r.next for r in replay.resume(state, covered, done, ["group_id", "partition"], "next", "offset").collect()] == [5]
+        assert [r.next for r in replay.resume(state, covered, done, ["group_id", "part"], "next", "offset").collect()] == [4]
+
+
+def problems(spark, rows, revision=2):
+    topics = spark.createDataFrame([("t", 2, 1)], "topic_id string, n_partitions int, creation_offset long")
+    found = history.offsets_problems(spark.createDataFrame(rows, OFFSET_EVENTS), topics, "s", revision).collect()
+    return sorted((r.offset, r.problem) for r in found)
+
+
+def folded(rows):
+    """What the state on the driver says of the same events: the first that it refuses, and nothing behind it."""
+    state = groups.Groups("s", lambda key, revision: key[0] == "t" and 0 <= key[1] < 2 and 1 < revision)
+    names = [c.strip().split()[0] for c in re.sub(r"<[^ ]*>", "", OFFSET_EVENTS.replace("\n", " ")).split(",")]
+    for row in rows:
+        event = dict(zip(names, row, strict=True))
+        for field, parts in (("starts", ("topic_id", "part", "next")), ("assignments", ("topic_id", "part", "owner", "resume", "baseline", "initial"))):
+            event[field] = [dict(zip(parts, x, strict=True)) for x in event[field] or []]
+        event["members"] = [{"session": s, "keys": [{"topic_id": t, "part": p} for t, p in ks]} for s, ks in event["members"] or []]
+        try:
+            state.apply(event["offset"], event)
+        except Corrupt:
+            return event["offset"]
+    return None
+
+
+GOOD = [created(0, "g"), assigned(1, "g", 0, keys(0, 1), [("t", 0, "m", 0, 1, 0), ("t", 1, "m", 5, 1, 5)]), committed(2, "g", 1, 0, 0, 3, 0), committed(3, "g", 1, 0, 3, 3)]
+WRONG = [
+    (created(4, "g"), "group created twice"),
+    (created(4, "h", 3), "start mode"),
+    (created(4, "h", 3, [("t", 1, 0), ("t", 0, 0)]), "starts out of order"),
+    (created(4, "h", 3, [("t", 7, 0)]), "unknown partition"),
+    (created(4, "h", store="x"), "store"),
+    (created(5, "h"), "gap"),
+    (committed(4, "x", 1, 0, 0, 1), "unknown group"),
+    (assigned(4, "g", 1, keys(0, 1), [("t", 0, "m", 3, 0, 0), ("t", 1, "m", 5, 0, 0)], new=3), "generation step"),
+    (assigned(4, "g", 5, [], []), "generation chain"),
+    (assigned(4, "g", 1, [], [], reason=9), "reason"),
+    (assigned(4, "g", 1, [("n", []), ("m", [])], []), "members out of order"),
+    (assigned(4, "g", 1, [("m", [("t", 1), ("t", 0)])], [("t", 0, "m", 3, 0, 0), ("t", 1, "m", 5, 0, 0)]), "subscriptions out of order"),
+    (assigned(4, "g", 1, [("m", [("t", 0)]), ("n", [("t", 0)])], [("t", 0, "m", 3, 0, 0)]), "key with two owners"),
+    (assigned(4, "g", 1, keys(0, 1), [("t", 1, "m", 5, 0, 0), ("t", 0, "m", 3, 0, 0)]), "assignments out of order"),
+    (assigned(4, "g", 1, keys(0), [("t", 0, "n", 3, 0, 0)]), "owner without subscription"),
+    (assigned(4, "g", 1, keys(0, 1), [("t", 0, "m", 3, 0, 0)]), "keys left out"),
+    (assigned(4, "g", 1, keys(0), [("t", 0, "m", 3, 0, 9)]), "baseline"),
+    (assigned(4, "g", 1, keys(0), [("t", 0, "m", 3, 1, 3)]), "baseline exists"),
+    (assigned(4, "g", 1, keys(0), [("t", 0, "m", 2, 0, 0)]), "baseline does not agree"),
+    (committed(4, "g", 2, 0, 3, 4), "commit by no owner"),
+    (committed(4, "g", 1, 0, 3, 4, session="n"), "commit by no owner"),
+    (committed(4, "g", 1, 0, 3, 4, instance="j"), "commit by no owner"),
+    (committed(4, "g", 1, 0, 2, 4), "commit does not agree"),
+    (committed(4, "g", 1, 0, 3, 4, kind=0), "commit does not agree"),
+    (committed(4, "g", 1, 1, 5, 6, kind=1), "commit does not agree"),
+    (committed(4, "g", 1, 0, 3, 2), "commit goes back"),
+    (committed(4, "g", 1, 5, 3, 4), "unknown partition"),
+    (committed(4, "g", 1, 0, 3, 4, revision=9), "revision"),
+]
+
+
+def test_histories_of_groups(spark):
+    assert problems(spark, GOOD) == [] and folded(GOOD) is None
+    every = spark.createDataFrame([(*row, k) for k, (bad, _) in enumerate(WRONG) for row in [*GOOD, bad]], OFFSET_EVENTS + ", case int")
+    for k, (bad, problem) in enumerate(WRONG):
+        rows = [*GOOD, bad]
+        if problem not in ("revision",):
+            assert folded(rows) == bad[0], problem
+        found = problems(spark, rows) if k % 4 == 0 else None
+        assert found is None or (bad[0], problem) in found and all(o == bad[0] for o, _ in found), (problem, found)
+    topics = spark.createDataFrame([("t", 2, 1)], "topic_id string, n_partitions int, creation_offset long")
+    found = {}
+    for r in history.offsets_shape(every.withColumn("offset", F.col("offset") + F.col("case") * 100)).unionByName(history.keys_known(every.withColumn("offset", F.col("offset") + F.col("case") * 100), topics, 2)).collect():
+        found.setdefault(r.offset // 100, set()).add(r.problem)
+    told = {"start mode", "starts out of order", "unknown partition", "generation step", "reason", "members out of order", "subscriptions out of order", "key with two owners", "assignments out of order", "owner without subscription", "keys left out", "baseline", "commit goes back", "revision"}
+    assert all(problem in found.get(k, ()) for k, (_, problem) in enumerate(WRONG) if problem in told)
+    chained = every.withColumn("offset", F.col("offset") + F.col("case") * 100).withColumn("group_id", F.concat_ws("/", "group_id", F.col("case").cast("string")))
+    links = {}
+    for r in history.offsets_chains(chained).collect():
+        links.setdefault(r.offset // 100, set()).add(r.problem)
+    told = {"group created twice", "unknown group", "generation chain", "baseline exists", "baseline does not agree", "commit by no owner", "commit does not agree"}
+    assert all(problem in links.get(k, ()) for k, (_, problem) in enumerate(WRONG) if problem in told)
+
+
+def test_chains_run_over_ranges(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), i, rnd.choice([None, i])) for i in rnd.sample(range(300), 200)]
+    frame = spark.createDataFrame(rows, "k string, o long, v long")
+    for width in (7, 1000):
+        got = {(r.k, r.o): r.before for r in integrity.previous(frame, ["k"], "o", "v", width).collect()}
+        own = {(r.k, r.o): r.before for r in integrity.previous(frame, ["k"], "o", "v", width, own=True).collect()}
+        for k in "ab":
+            last = None
+            for o, v in sorted((o, v) for j, o, v in rows if j == k):
+                assert got[k, o] == last
+                last = v if v is not None else last
+                assert own[k, o] == last
+
+
+CATALOG_EVENTS = """offset long, event_type int, store_id string, expected_next long, topic_id string, name string, partitions array<struct<part:int,config:struct<record_bytes:bigint,batch_bytes:bigint,batch_records:int,segment_bytes:bigint,linger_ms:bigint,retention_mask:int,retention_ms:bigint,retention_bytes:bigint,segment_age_ms:bigint,check_interval_ms:bigint>,anchor:struct<id:string,hash:string>>>,
+part int, old_low long, new_low long, durable_end long, anchor struct<id:string,hash:string>, reason_mask int, retired array<struct<base:bigint,end:bigint,bytes:bigint,anchor:struct<id:string,hash:string>>>"""
+CONF = (1 << 20, 4 << 20, 10, 64 << 20, 0, 1, 5, 0, 5, 5)
+
+
+def topic_event(offset, topic="t", name="orders", config=CONF, part=0, expected=None):
+    return (offset, 1, "s", offset if expected is None else expected, topic, name, [(part, config, ("a0", "h"))], *[None] * 7)
+
+
+def start_event(offset, old, new, ids, end=100, mask=1, topic="t", part=0, cut=None, anchor=None):
+    step = (new - old) // len(ids)
+    retired = cut or [(old + i * step, old + (i + 1) * step, 9, (x, "h")) for i, x in enumerate(ids)]
+    return (offset, 2, "s", offset, topic, None, None, part, old, new, end, anchor or (f"a{new}", "h"), mask, retired)
+
+
+def test_histories_of_catalogs(spark):
+    first = (0, 6, "s", None, None, None, None, *[None] * 7)
+    good = [first, topic_event(1), start_event(2, 0, 4, ["a0", "a2"]), start_event(3, 4, 6, ["a4"])]
+
+    def found(rows):
+        return {(r.offset, r.problem) for r in history.catalog_problems(spark.createDataFrame(rows, CATALOG_EVENTS), "s").collect()}
+
+    assert found(good) == set()
+    assert [(r.low, r.anchor.id, r.durable_end) for r in replay.log_starts(spark.createDataFrame(good, CATALOG_EVENTS)).collect()] == [(6, "a6", 100)]
+    assert [r[:] for r in replay.topics(spark.createDataFrame(good, CATALOG_EVENTS)).collect()] == [("t", "orders", 1, 1)]
+    wrong = [
+        (topic_event(4, "u"), "name twice"), (topic_event(4, "t", "x"), "topic_id twice"), (topic_event(4, "u", "x", part=1), "partitions"), (topic_event(4, "u", "x", expected=9), "revision"),
+        (topic_event(4, "u", "x", CONF[:2] + (0,) + CONF[3:]), "configuration"), (topic_event(9, "u", "x"), "gap"), (start_event(4, 5, 7, ["a5"]), "start chain"), (start_event(4, 6, 8, ["x"]), "anchor chain"),
+        (start_event(4, 6, 8, ["a6"], end=99), "end goes back"), (start_event(4, 6, 8, ["a6"], mask=2), "reason not enabled"), (start_event(4, 6, 8, ["a6"], mask=0), "reason"), (start_event(4, 6, 8, ["a6"], part=3), "unknown partition"),
+        (start_event(4, 6, 10, ["a6", "a6"]), "retired twice"), (start_event(4, 6, 8, ["a6"], anchor=("a6", "h")), "retired anchor"), (start_event(4, 6, 8, ["a6"], cut=[(6, 7, 9, ("a6", "h"))]), "tiles"), (start_event(4, 6, 6, ["a6"]), "start"),
+    ]
+    for bad, problem in wrong[::3] + wrong[1::5]:
+        said = found([*good, bad])
+        assert (bad[0], problem) in said and {o for o, _ in said} == {bad[0]}, (problem, said)
 
 
 def test_assignments_and_leases(spark):
@@ -185,66 +333,6 @@ def test_assignments_and_leases(spark):
     assert [r[0] for r in reason.select(consumer.assignment_reason(F.col("f"), F.col("e"), F.col("a"))).collect()] == [1, 4, 3, 5]
 
 
-def test_store_and_consumers(spark):
-    store = LogStore(spark, work_path(spark, "store"))
-    with pytest.raises(TopicNotFound):
-        store.topic("orders")
-    store.create_topic("orders", 2)
-    with pytest.raises(TopicExists):
-        store.create_topic("orders", 1)
-    with pytest.raises(InvalidArgument):
-        store.create_topic("__system", 1)
-    kind = "part int, ts_ms long, key binary, value binary, headers array<struct<name:string,value:binary>>"
-    rows = [(0, 1, None, b"", []), (0, 2, b"k", b"value", [("x", None), ("x", b""), ("y", b"\x00\x01\x02")]), (0, 3, b"", None, [])]
-    store.append_batch("orders", spark.createDataFrame(rows, kind), {0: 0})
-    with pytest.raises(InvalidArgument):
-        store.append_batch("orders", spark.createDataFrame(rows, kind), {0: 0})
-    got = store.log("orders").orderBy("off").collect()
-    assert [(r.key, r.value) for r in got] == [(None, b""), (b"k", b"value"), (b"", None)]  # null is not empty
-    assert [tuple(h) for h in got[1].headers] == [("x", None), ("x", b""), ("y", b"\x00\x01\x02")] and got[1].encoded_bytes == 36 + 6 + 3 * 9 + 3
-    assert [(r.part, r.low, r.high) for r in store.bounds("orders").orderBy("part").collect()] == [(0, 0, 3), (1, 0, 0)]
-    first = store.consumer("g", "orders", 0)
-    assert len(first.poll(max_records=2)) == 2
-    with pytest.raises(CommitRegression):
-        first.commit(3)
-    first.commit(2)
-    second = store.consumer("g", "orders", 0)
-    with pytest.raises(AssignmentLost):
-        first.poll()
-    assert [r.off for r in second.poll()] == [2] and second.next_offset == 3
-    with pytest.raises(CommitRegression):
-        second.commit(1)
-
-
-def record(offset, ts=1, key=None, value=b"v", headers=()):
-    return {"offset": offset, "timestamp_ms": ts, "key": key, "value": value, "headers": list(headers)}
-
-
-def test_binary_segments(spark, tmp_path):
-    assert scalar.crc32c_bytes(b"123456789") == 0xE3069283
-    assert spark.createDataFrame([(b"123456789",), (None,)], "b binary").select(scalar.crc32c(F.col("b"))).collect()[0][0] == 0xE3069283
-    rows = [record(100, -7, None, b""), record(101, 9, b"k", b"value", [{"name": "x", "value": None}, {"name": "x", "value": b""}])]
-    data = binary.encode_segment("0102", 3, [rows, [record(102)]])
-    assert [r["offset"] for r in binary.decode_segment(data)] == [100, 101, 102]
-    assert list(binary.decode_segment(data))[:2] == [{"topic_id": "0102", "partition": 3, **r} for r in rows]
-    tail = data + binary.encode_batch([record(103)])[: binary._BATCH.size]
-    assert len(list(binary.decode_segment(tail, strict=False))) == 3
-    with pytest.raises(Corrupt):
-        list(binary.decode_segment(tail))
-    for at in (0, 20, len(data) - 1, binary._SEGMENT.size + 3, binary._SEGMENT.size + 50):
-        wrong = bytearray(data)
-        wrong[at] ^= 1
-        with pytest.raises((Corrupt, Unsupported)):
-            list(binary.decode_segment(bytes(wrong), strict=False))
-    with pytest.raises(Corrupt):
-        list(binary.decode_segment(data + b"x", strict=False))
-    (tmp_path / f"{100:020d}.log").write_bytes(data)
-    spark.dataSource.register(binary.SegmentSource)
-    got = spark.read.format("offsetlake_segments").load(f"file://{tmp_path}").orderBy("offset").collect()
-    assert [(r.offset, r.key, r.value) for r in got] == [(100, None, b""), (101, b"k", b"value"), (102, None, b"v")]
-    assert reports.inventory(spark, str(tmp_path)).first()[:] == (1, len(data))
-
-
 def test_reports(spark, tmp_path):
     (tmp_path / "b.txt").write_text("goos: linux\nBenchmarkFetch/segment-8  100  71.6 ns/op  458.03 MB/s  3 allocs/op\nPASS\n")
     got = {(r.name, r.runs, r.unit): r.value for r in reports.benchmark_lines(spark, str(tmp_path / "b.txt")).collect()}
@@ -315,3 +403,122 @@ def test_cleanup_debt_is_cut_at_its_default(spark):
         row = retention.cleanup_debt(retired).first()
         kept = sorted((i % 2, i * 10, i + 1) for i in range(n))[:1024]
         assert (row.n, row.bytes, row.min_base, row.truncated) == (len(kept), sum(b for _, _, b in kept), 0, n > 1024)
+
+
+def test_rules_that_are_columns(spark):
+    assert [spark.range(1).select(scalar.next_power_of_two(F.lit(n))).first()[0] for n in (0, 1, 2, 3, 4, 5, 1 << 40, (1 << 40) + 1)] == [1, 1, 2, 4, 4, 8, 1 << 40, 1 << 41]
+    texts = spark.createDataFrame([("ab",), ("",), ("a\0",), ("é" * 3,), (None,)], "t string")
+    assert [r[0] for r in texts.select(scalar.valid_text(F.col("t"), 5)).collect()] == [True, True, False, False, False]
+    most = (1 << 63) - 1
+    assert spark.range(1).select(scalar.add_saturating(F.lit(most), F.lit(1)), scalar.add_saturating(F.lit(2), F.lit(3)), scalar.valid_offset_range(F.lit(most - 1), F.lit(1)), scalar.valid_offset_range(F.lit(most - 1), F.lit(2)), scalar.valid_id(F.lit("0" * 32)), scalar.valid_id(F.lit("0" * 31 + "a"))).first()[:] == (most, 5, True, False, False, True)
+    arrays = spark.createDataFrame([([1, 2],), ([2, 1],), ([1, 1],), ([],)], "a array<int>")
+    assert [r[0] for r in arrays.select(integrity.canonical(F.col("a"))).collect()] == [True, False, False, True]
+    active = spark.createDataFrame([(1, 50, 10), (0, 0, 10), (1, 99, 10), (1, 99, 90)], "n int, max_ts long, total_bytes long")
+    assert [r.roll for r in retention.must_roll(active, F.lit(100), 20, 80).collect()] == [True, False, False, True]
+    configs = spark.createDataFrame([(0, 1), (1, 5000), (2, 7000)], "retention_mask int, check_interval_ms long")
+    assert retention.check_interval(configs).first()[0] == 5000 and retention.check_interval(configs.limit(1)).first()[0] == 3_600_000
+    sizes = spark.createDataFrame([(10, [("x",)]), (99, [(None,)])], "n long, h array<struct<name:string>>").withColumn("c", F.struct(F.lit(50).alias("record_bytes")))
+    assert [r[0] for r in sizes.select(scalar.record_reasons(F.col("n"), F.transform("h", lambda h: F.struct(h["name"].alias("name"), F.lit(None).cast("binary").alias("value"))), F.col("c"))).collect()] == [[], ["record_bytes", "header name"]]
+
+
+def test_sets_and_members(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(2,), (1,)], "k int")
+    assert integrity.same_keys(a, b, ["k"]) and not integrity.same_rows(a, b) and integrity.same_rows(a, a.repartition(2))
+    assert [r.k for r in integrity.outside(a, b.where("k = 1"), ["k"]).collect()] == [2]
+    rows = spark.createDataFrame([(1, "m"), (2, "x")], "part int, owner string")
+    assert [r.part for r in consumer.unknown_owners(rows, spark.createDataFrame([("m",)], "member string")).collect()] == [2]
+
+
+def test_snapshots_of_groups(spark):
+    rows = [("g", "m", "b", 1), ("g", "m", "a", 2), ("g", "n", "a", 1), ("r", "m", "a", 0), ("r", "m", "a", 0), ("o", "m", "a", 0), ("o", "n", "a", 0), ("t", "m", "a", 0), ("t", "n", "a", 1), ("t", "k", "a", 2)]
+    got = {r.group_id: r for r in consumer.snapshots(spark.createDataFrame(rows, "group_id string, member string, topic_id string, part int"), most_members=2).collect()}
+    assert {g: r.problem for g, r in got.items()} == {"g": "", "r": "repeated", "o": "overlap", "t": "too many"}
+    assert [[tuple(k) for k in m] for m in got["g"].members] == [[("a", 1)], [("a", 2), ("b", 1)]] and got["t"].members is None
+
+
+def test_latency_buckets(spark):
+    rows = spark.createDataFrame([(v,) for v in (999, 1000, 10**9 - 1, 10**9, 61 * 10**9)], "v long")
+    counts = metrics.histogram(rows, "v", metrics.STORE_BOUNDS)
+    assert metrics.bucket_counts(counts, metrics.STORE_BOUNDS).first().counts == [1, 1, 0, 0, 0, 0, 1, 2]
+    assert metrics.bucket_counts(metrics.histogram(rows, "v", metrics.RUN_BOUNDS), metrics.RUN_BOUNDS).first().counts[-1] == 1
+    merged = metrics.merged_samples(rows, rows)
+    assert merged.count() == 10 and metrics.exact_summary(merged, "v").first().p50 == 10**9 - 1
+    lags = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("b", 1, 1)], "t string, p int, lag long")
+    assert {(r.t, r.p): (r.n, r.total, r.most) for r in metrics.lag_samples(lags, "t", "p").collect()} == {("a", 1): (1, 5, 5), ("a", 2): (1, 7, 7), ("b", 1): (1, 1, 1), (None, None): (3, 13, 7)}
+
+
+def test_percentiles_are_those_of_sorting(spark):
+    rnd = random.Random(4)
+    values = {k: [rnd.choice([rnd.randint(-50, 50), rnd.randint(-(10**9), 10**9)]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 997), (None, 10))}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("c", None)], "k string, v long")
+    got = {r.k: r for r in metrics.exact_summary(rows, "v", "k").collect()}
+    spread = {r.k: r for r in metrics.spread_summary(rows, "v", "k").collect()}
+    for k, vs in values.items():
+        own = sorted(vs)
+        assert [got[k][f"p{p}"] for p in (50, 90, 95, 99, 999)] == [own[max(-(-len(own) * p // 1000), 1) - 1] for p in (500, 900, 950, 990, 999)]
+        for c, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9)):
+            at = p * (len(own) - 1)
+            low = int(at + 1e-9)
+            want = own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (at - low)
+            assert abs(spread[k][c] - want) < 1e-3
+
+
+def test_run_analysis(spark):
+    kind = "measurement_ns long, offered long, acknowledged long, acknowledged_bytes long, completed boolean, warmup_ns long, warmup_elapsed_ns long, samples array<struct<elapsed_ns:bigint,offered:bigint,acknowledged:bigint>>, samples_dropped long, oracles int, phases array<struct<name:string,duration_ns:bigint>>, compaction struct<interval_ns:bigint,completed:bigint,pending_files:bigint,pending_bytes:bigint,truncated:boolean,error:boolean,timed:bigint>"
+    good = (2 * 10**9, 40, 30, 3000, True, 5, 6, [(0, 9, 4), (10**9, 20, 17)], 0, 3, [("drain", 7), ("verify", 8)], (1, 2, 0, 0, False, False, 2))
+    rows = [good, (*good[:4], False, 5, None, [(0, 1, 1), (10**9, 9, 1)], 2, 0, [], (1, 0, 1, 0, False, False, 0)), (*good[:5], 5, 4, [], 0, 1, None, None)]
+    got = metrics.run_analysis(spark.createDataFrame(rows, kind)).collect()
+    assert (got[0].offered_s, got[0].acknowledged_bytes_s, got[0].drain_ns, got[0].verify_ns, got[0].backlog_most, got[0].slope, got[0].valid) == (20.0, 1500.0, 7, 8, 5, -2.0, True)
+    assert got[1].reasons == ["did not complete", "warm-up is missing", "samples were dropped", "backlog grows", "oracles are missing", "no compaction completed", "cleanup debt"]
+    assert got[2].reasons == ["warm-up was short"] and got[2].backlog_most == 0
+
+
+def test_verification_of_a_range(spark):
+    log = spark.createDataFrame([(0, i, b"k", b"v") for i in range(600)], "part int, off long, key binary, value binary")
+    whole = scan.verify(log, 0, 100, 500).first()
+    assert whole.n == 400 and whole.whole
+    assert not scan.verify(log.where("off <> 300"), 0, 100, 500).first().whole and not scan.verify(log, 0, 100, 700).first().whole
+    assert scan.verify(log.withColumn("value", F.when(F.col("off") == 300, F.lit(b"w")).otherwise(F.col("value"))), 0, 100, 500).first().digest != whole.digest
+    assert scan.read_pages(log_of(spark, [50] * 10), 0, 4) == [(0, 4, 4), (4, 4, 8), (8, 2, 10)]
+
+
+def test_workloads(spark):
+    rows = workloads.soak(spark, 640, 2, 5, 6).collect()
+    for r in rows:
+        value = r.value
+        if r.sequence % 64 == 1:
+            assert value is None
+        elif r.sequence % 64 == 2:
+            assert value == b""
+        else:
+            assert value[:64].decode() == r.key and all(value[i] == i % 256 for i in range(64, len(value)))
+            assert len(value) == 65_536 if r.sequence % 64 == 0 else 1024 <= len(value) < 1152
+    longer = sum(len(r.value or b"") > 1024 and r.sequence % 64 > 2 for r in rows)
+    assert 40 < longer < 120 and workloads.soak(spark, 640, 2, 5, 6).repartition(3).exceptAll(workloads.soak(spark, 640, 2, 5, 6)).count() == 0
+    assert spark.range(1).select(workloads.soak_key(F.lit("soak-x")).alias("k")).first().k is None
+    made = workloads.history(spark, 70, 8).collect()
+    assert [r.off for r in made] == list(range(70)) and {r.batch_base for r in made} == {0, 32, 64} and len(made[0].value) == 8
+
+
+def test_sections_and_json(spark):
+    folder = work_path(spark, "reports")
+    reports.append_section(spark, folder, "r.md", "one", "first")
+    reports.append_section(spark, folder, "r.md", "two", "second")
+    with pytest.raises(InvalidArgument):
+        reports.append_section(spark, folder, "r.md", "one", "again")
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "x int, y string")
+    reports.save_json(rows, folder, "r.json")
+    assert [tuple(r) for r in spark.read.schema("x int, y string").json(f"{folder}/r.json").collect()] == [(1, "a"), (2, "b")]
+    with pytest.raises(InvalidArgument):
+        reports.save_json(rows, folder, "r.json", most=1)
+    assert reports.markdown(rows, "x", 1).endswith("1 more rows are left out.\n")
+
+
+def test_commits_of_a_stream(spark):
+    folder = work_path(spark, "commits")
+    for lo in (0, 5):
+        spark.range(lo, lo + 5).selectExpr("cast(id % 2 as int) as part", "id as off").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = offsets.lingering(spark, "part int, off long", 1).parquet(f"{folder}/in")
+    offsets.group_commit_stream(stream, f"{folder}/out", f"{folder}/checkpoint", "g")
+    got = spark.read.parquet(f"{folder}/out").groupBy("group_id", "part").agg(F.max("next").alias("next"), F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.group_id, r.part, r.next, r.n) for r in got} == {("g", 0, 9, 2), ("g", 1, 10, 2)}
