@@ -8,13 +8,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from .schema import LogError
+
 _made: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster; a temporary one only where none is set and everything runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise LogError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="offsetlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,6 +212,30 @@ def digest(log: DataFrame, fan: int = 256) -> DataFrame:
     return upper.groupBy("part").agg(joined(F.col("h"), "node").alias("digest"))
 
 
+def ordered_digest(log: DataFrame) -> DataFrame:
+    """SHA-256 over key, NUL, value, NUL of each partition's records in order, as one stream: ``part``, ``digest``.
+
+    The hash of a stream cannot be cut, so a partition is one task that holds an Arrow
+    batch; :func:`digest` is the form for large ones.
+    """
+    kind = log.schema["part"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, running = None, None
+        for b in batches:
+            for p, k, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if running is None or p != part:
+                    if running is not None:
+                        yield pa.RecordBatch.from_pydict({"part": pa.array([part], b.column(0).type), "digest": [running.hexdigest()]})
+                    part, running, typed = p, hashlib.sha256(), b.column(0).type
+                running.update((k or b"") + b"\0" + (v or b"") + b"\0")
+        if running is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], typed), "digest": [running.hexdigest()]})
+
+    rows = log.select("part", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "off").repartition("part").sortWithinPartitions("part", "off")
+    return rows.drop("off").mapInArrow(run, f"part {kind}, digest string")
+
+
 def prefix_digest(log: DataFrame, upto: int, store_id: str, topic_id: str) -> DataFrame:
     """The digest of each partition's records below ``upto``, bound to a store, topic, partition and end."""
     own = digest(log.where(F.col("off") < upto))

@@ -422,6 +422,11 @@ def monotone_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return history.monotone_bounds(samples, "part")
 
 
+@query
+def ordered_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.ordered_digest(log_events(spark, sf))
+
+
 @query
 def prefix_digests(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.prefix_digest(log_events(spark, sf), 1000, "0" * 31 + "1", "0" * 31 + "9")

@@ -337,6 +337,7 @@ UNION ALL SELECT group_id, topic_id, part, 'resume does not agree' FROM met WHER
     SELECT *, lag(low) OVER (PARTITION BY part ORDER BY "at") AS low_before, lag(high) OVER (PARTITION BY part ORDER BY "at") AS high_before FROM samples
 )
 SELECT * FROM seen WHERE low > high OR low < low_before OR high < high_before""",
+    "ordered_digest": f"""WITH {LOG} SELECT part, sha256(string_agg(coalesce(key, '') || chr(0) || coalesce(value, '') || chr(0), '' ORDER BY "off")) AS digest FROM log GROUP BY part""",
     "prefix_digests": f"""WITH {LOG}, leaves AS (
     SELECT part, "off" // 256 AS leaf, sha256(string_agg(coalesce(key, '') || chr(0) || coalesce(value, '') || chr(0), '' ORDER BY "off")) AS h FROM log WHERE "off" < 1000 GROUP BY ALL
 ), upper_ AS (
