@@ -122,19 +122,28 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.char_length(text) - k), F.left(following, k))
 
 
+def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = ROWS) -> DataFrame:
+    """Sketches of every whole text, of its edited text and of the next document, in ascending order of ids.
+
+    One row for each row of ``docs``: the id column, ``n_chars`` long (code points),
+    ``edited_sha256`` (of the edited text in UTF-8, see :func:`edited`), ``sketch``,
+    ``edited_sketch`` and ``next_sketch``. A null text counts as empty: its edited text
+    is empty and its sketches are those of no words. The first document follows the
+    last, so a table of one row follows itself; ids that tie order by text, null ids
+    come first, repeated rows follow one another. An empty table gives no rows. Other
+    columns are not read. Texts shuffle once, by buckets of about ``rows`` documents; a
+    task holds a bucket's window.
+    """
+    found, along = with_next(docs, id_column, text_column, rows)
+    found = found.select("id", "copy", "bucket", "text", F.coalesce(edited(F.col("text"), F.col("next")), "text").alias("edited"))
+    found = found.select("id", "copy", "bucket", "text", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), word_hashes(F.col("text")).alias("w"), word_hashes(F.col("edited")).alias("we"))
+    found = found.withColumns({"s": shingle_hashes(F.col("w")), "se": shingle_hashes(F.col("we"))}).drop("w", "we")
+    found = found.withColumns({"s": sketch_of(F.col("s")), "se": sketch_of(F.col("se"))})
+    found = found.withColumn("sn", F.lead("s").over(along)).where("copy = 0")
+    return found.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", F.col("s").alias("sketch"), F.col("se").alias("edited_sketch"), F.coalesce("sn", "s").alias("next_sketch"))
+
+
 def op6_threshold_sketch(spark, sf_dir: str) -> DataFrame:
-    rows, along = with_next(table(spark, sf_dir, "documents"))
-    rows = rows.select("id", "copy", "bucket", "text", F.coalesce(edited(F.col("text"), F.col("next")), "text").alias("edited"))
-    rows = rows.select("id", "copy", "bucket", "text", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), word_hashes(F.col("text")).alias("w"), word_hashes(F.col("edited")).alias("we"))
-    rows = rows.withColumns({"s": shingle_hashes(F.col("w")), "se": shingle_hashes(F.col("we"))}).drop("w", "we")
-    rows = rows.withColumns({"s": sketch_of(F.col("s")), "se": sketch_of(F.col("se"))})
-    rows = rows.withColumn("sn", F.lead("s").over(along)).where("copy = 0")
-    return rows.select(
-        F.col("id").alias("doc_id"),
-        "n_chars",
-        "edited_sha256",
-        text_form(F.col("s")).alias("fingerprint"),
-        text_form(F.col("se")).alias("edited_fingerprint"),
-        likeness(F.col("s"), F.col("se")).alias("near_edited"),
-        likeness(F.col("s"), F.col("sn")).alias("near_next"),
-    )
+    rows = edited_fingerprints(table(spark, sf_dir, "documents"))
+    s, e, n = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select("doc_id", "n_chars", "edited_sha256", text_form(s).alias("fingerprint"), text_form(e).alias("edited_fingerprint"), likeness(s, e).alias("near_edited"), likeness(s, n).alias("near_next"))
