@@ -13,15 +13,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, text_of
+from .shared import sliced, table, text_of
 
 BLOCK_BYTES = 8 << 20
 
@@ -72,42 +70,129 @@ def _of_strings(strings) -> tuple:
     return _one(_all(("has", s[i : i + 3]) for i in range(len(s) - 2)) if len(s) > 2 else ANY for s in strings) if strings else ANY
 
 
-def _walk(items) -> tuple[set[bytes] | None, tuple]:
-    """The strings that a parsed pattern can match, if they are few, and what every match contains."""
-    run: set[bytes] = {b""}
-    found, few = [], True
-    for op, value in items:
-        strings, inner = _step(op, value)
-        if strings is not None and len(strings) * len(run) <= 64:
-            run = {a + b for a in run for b in strings}
-            continue
-        found.append(_of_strings(run))
-        few = False
-        if strings is None:
-            found.append(inner)
-            run = {b""}
-        else:
-            run = strings
-    return (run, _of_strings(run)) if few else (None, _all([*found, _of_strings(run)]))
-
-
-def _step(op, value) -> tuple[set[bytes] | None, tuple]:
-    if op is C.LITERAL:
-        return {chr(value).lower().encode()}, ANY
-    if op is C.IN:
-        if all(kind is C.LITERAL for kind, _ in value) and len(value) <= 8:
-            return {chr(v).lower().encode() for _, v in value}, ANY
-        return None, ANY
-    if op is C.SUBPATTERN:
-        return _walk(value[3])
-    if op is C.BRANCH:
-        ways = [_walk(way) for way in value[1]]
+class _Pattern:
+    """The constructs of patterns that rules use, and what each must contain.
+
+    Letters, escapes, classes, groups (also ``(?:...)``), alternatives, ``.``, ``^`` and
+    ``$``, and counts. Anything else is refused, so that no query is derived wrongly.
+    """
+
+    SPACE = {"d": "0123456789", "s": " \t\n\r\f\v", "n": "\n", "t": "\t", "r": "\r"}
+
+    def __init__(self, pattern: str):
+        self.p, self.at = pattern, 0
+
+    def _peek(self) -> str:
+        return self.p[self.at : self.at + 1]
+
+    def _take(self) -> str:
+        c = self._peek()
+        if not c:
+            raise ValueError(f"{self.p!r} ends too early")
+        self.at += 1
+        return c
+
+    def _escaped(self) -> set[str] | None:
+        """The letters an escape stands for; None for a class that is not listed."""
+        c = self._take()
+        if c == "x":
+            self.at += 2
+            return {chr(int(self.p[self.at - 2 : self.at], 16))}
+        if c in self.SPACE:
+            return set(self.SPACE[c])
+        if c in "wWDS":
+            return None
+        if c.isalnum():
+            raise ValueError(f"\\{c} in {self.p!r}")
+        return {c}
+
+    def _class(self) -> set[str] | None:
+        negated = self._peek() == "^"
+        self.at += negated
+        found: set[str] | None = set()
+        first = True
+        while first or self._peek() != "]":
+            first = False
+            c = self._take()
+            letters = self._escaped() if c == "\\" else {c}
+            if self._peek() == "-" and self.p[self.at + 1 : self.at + 2] not in ("]", "") and letters and len(letters) == 1:
+                self._take()
+                last = self._take()
+                end = self._escaped() if last == "\\" else {last}
+                if end is None or len(end) != 1:
+                    raise ValueError(f"a range in {self.p!r}")
+                letters = set(map(chr, range(ord(letters.pop()), ord(end.pop()) + 1)))
+            found = None if letters is None or found is None else found | letters
+        self._take()
+        return None if negated else found
+
+    def whole(self) -> tuple[set[bytes] | None, tuple]:
+        out = self._ways()
+        if self.at != len(self.p):
+            raise ValueError(f"{self.p!r} has a bracket too many")
+        return out
+
+    def _ways(self) -> tuple[set[bytes] | None, tuple]:
+        """The strings that alternatives can match, if they are few, and what every match contains."""
+        ways = [self._row()]
+        while self._peek() == "|":
+            self._take()
+            ways.append(self._row())
+        if len(ways) == 1:
+            return ways[0]
         if all(s is not None for s, _ in ways) and sum(len(s) for s, _ in ways) <= 64:
             return set().union(*(s for s, _ in ways)), ANY
         return None, _one(_of_strings(s) if s is not None else q for s, q in ways)
-    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
-        least, most, inner = value
-        strings, query = _walk(inner)
+
+    def _row(self) -> tuple[set[bytes] | None, tuple]:
+        run: set[bytes] = {b""}
+        found, few = [], True
+        while self._peek() not in ("", "|", ")"):
+            strings, inner = self._counted(*self._one())
+            if strings is not None and len(strings) * len(run) <= 64:
+                run = {a + b for a in run for b in strings}
+                continue
+            found.append(_of_strings(run))
+            few = False
+            if strings is None:
+                found.append(inner)
+                run = {b""}
+            else:
+                run = strings
+        return (run, _of_strings(run)) if few else (None, _all([*found, _of_strings(run)]))
+
+    def _one(self) -> tuple[set[bytes] | None, tuple]:
+        c = self._take()
+        if c == "(":
+            if self._peek() == "?":
+                if self.p[self.at : self.at + 2] != "?:":
+                    raise ValueError(f"a group in {self.p!r}")
+                self.at += 2
+            out = self._ways()
+            if self._take() != ")":
+                raise ValueError(f"{self.p!r} lacks a bracket")
+            return out
+        if c in "^$":
+            return {b""}, ANY
+        letters = self._class() if c == "[" else self._escaped() if c == "\\" else None if c == "." else {c}
+        if letters is None or len(letters) > 8:
+            return None, ANY
+        return {x.lower().encode() for x in letters}, ANY
+
+    def _counted(self, strings: set[bytes] | None, query: tuple) -> tuple[set[bytes] | None, tuple]:
+        c = self._peek()
+        least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(c, (1, 1))
+        if c and c in "?*+":
+            self._take()
+        elif c == "{":
+            end = self.p.index("}", self.at)
+            low, comma, high = self.p[self.at + 1 : end].partition(",")
+            least, most = int(low or 0), int(high) if high else None if comma else int(low)
+            self.at = end + 1
+        else:
+            return strings, query
+        if self._peek() in ("?", "+"):
+            self._take()
         if strings is not None and (least, most) == (0, 1):
             return strings | {b""}, ANY
         if strings is not None and least == most and len(strings) ** least <= 64:
@@ -116,14 +201,11 @@ def _step(op, value) -> tuple[set[bytes] | None, tuple]:
                 out = {a + b for a in out for b in strings}
             return out, ANY
         return None, ANY if least == 0 else _of_strings(strings) if strings is not None else query
-    if op is C.AT:
-        return {b""}, ANY
-    return None, ANY
 
 
 def trigram_query(rule: Rule) -> tuple:
     """What every match of the rule contains: ``("any",)``, ``("has", trigram)``, ``("and"|"or", queries)``."""
-    strings, query = _walk(_parser.parse(rule.pattern, re.ASCII))
+    strings, query = _Pattern(rule.pattern).whole()
     return query if strings is None else _of_strings(strings)
 
 
@@ -191,14 +273,15 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_colu
     Offsets are code points, the end exclusive; spans are in order of start, then
     of the rules. A row for each row of ``docs``; a null text counts as empty and
     has no spans; ids pass through, null or repeated; other columns are not read.
-    Nothing is shuffled. A task holds one Arrow batch and the index of one block.
+    Nothing is shuffled. A task holds a slice of an Arrow batch (512 rows and 8 MB, or
+    one text) and its index.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner(rules)
-        for b in batches:
+        for b in sliced(batches):
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in own.scan(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, span)], names=["id", "spans"])
 

@@ -56,6 +56,16 @@ def test_trigram_queries():
         assert [(k, s, e) for k, s, e in got] == [(rules[i].kind, s, e) for s, i, e in sorted((m.start(), i, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.pattern, t))]
 
 
+def test_patterns_that_are_not_read_are_refused():
+    query = lambda p: secrets.trigram_query(secrets.Rule("r", p))
+    for wrong in ("(?=abc)d", "a(b", "ab)", r"\bword", "a\\"):
+        with pytest.raises((ValueError, IndexError)):
+            query(wrong)
+    assert query(r"a\.b-c") == ("and", frozenset({("has", b"a.b"), ("has", b".b-"), ("has", b"b-c")}))
+    assert query(r"(?:ab|cd)\x2Exy") == ("or", frozenset(("and", frozenset({("has", a + b"."), ("has", a[1:] + b".x"), ("has", b".xy")})) for a in (b"ab", b"cd")))
+    assert query(r"^abc$") == ("has", b"abc") and query(r"ab{2}c") == ("and", frozenset({("has", b"abb"), ("has", b"bbc")})) and query(r"abc{0,3}") == ("any",) and query(r"abc.*xyz") == ("and", frozenset({("has", b"abc"), ("has", b"xyz")}))
+
+
 def test_classes_of_some_letters_give_trigrams():
     """One of five letters gives five ways; a class of more than eight gives none."""
     rules = {r.kind: r for r in secrets.MORE}
@@ -117,6 +127,21 @@ def test_next_document_over_any_buckets(spark, odd, nothing, rows):
         assert sorted((r[2], r[3]) for r in got) == nexts
 
 
+def test_edited_fingerprints_on_odd_rows(spark, odd, nothing):
+    got = sketches.edited_fingerprints(odd, rows=3).collect()
+    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    assert sketches.edited_fingerprints(odd).columns == ["doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch"] and sketches.edited_fingerprints(nothing).count() == 0
+    want = []
+    for r, following in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, cut = r.text or "", len(r.text or "") // 4
+        want.append((r.doc_id, len(text), hashlib.sha256((text[: len(text) - cut] + (following.text or "")[:cut]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in got)
+    one = sketches.edited_fingerprints(odd.where("doc_id = 1")).first()
+    assert one.sketch == one.next_sketch  # it follows itself
+    prints = sketches.fingerprints(odd).collect()
+    assert len(prints) == odd.count() and all(r.sketch.n == 0 and r.sketch.kept == [] for r in prints if r.doc_id in (2, 3, 8))
+
+
 def test_sketches_merge_and_contain(spark):
     a, b = " ".join(f"a{i}" for i in range(400)), " ".join(f"a{i}" for i in range(4000))
     rows = sketches.fingerprints(spark.createDataFrame([(1, a), (2, b), (3, ""), (4, None), (5, "x y"), (6, "x y")], "doc_id int, text string"))
@@ -320,6 +345,16 @@ def test_url_lists(spark):
         assert r.pattern == max((p for p, _ in active), key=lambda p: (len(p), p), default="")
 
 
+def test_odd_urls(spark):
+    """Long paths and hosts, brackets of IPv6, escapes and names in other scripts: taken as they stand, without a crash."""
+    urls = ["http://a.com/" + "x/" * 20_000, "http://" + "a." * 500 + "com/", "http://[2001:db8::1]:80/x", "http://a.com/%78/y", "http://" + chr(0xFC) + "mlaut.de/", "http://A.COM./x", "http://u:p@a.com:8080/x?y#z", "", "http://", "http:///x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("fetched", F.lit("2024-01-02").cast("date"))
+    day = date(2024, 1, 1)
+    entries = spark.createDataFrame([("a.com/x", "p", "add", day), ("com", "q", "add", day), (chr(0xFC) + "mlaut.de", "r", "add", day)], "pattern string, category string, action string, day date")
+    got = {r.page_id: r for r in url_lists.judge(pages, entries).collect()}
+    assert len(got) == len(urls) and [got[i].categories for i in range(len(urls))] == ["p,q", "q", "", "q", "r", "p,q", "p,q", "", "", ""]
+
+
 def test_url_lists_without_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id int, url string").withColumn("fetched", F.lit("2024-01-01").cast("date"))
     entries = spark.createDataFrame([], "pattern string, category string, action string, day date")
