@@ -245,14 +245,17 @@ def test_permutations(n):
 
 
 def test_shards_hold_their_quotas():
-    own = mixing.plan([("a", 5000), ("b", 900), (None, 2000)], (5, 2, 1), 1.5, 2.0, 50, 7, 3)
+    sizes = [5000, 900, 2000]
+    own, rank = mixing.plan(sizes, block=50, shards=7, seed=3), np.arange(3)
+    q = own.of(rank, np.array(sizes))
+    bounds = own.bounds(rank, q.seats)
     for s in range(3):
-        sizes = np.full(int(own.sizes[s]) // 100, 100)
-        start = np.cumsum(sizes) - sizes
-        pieces = mixing.taken(own, np.full(len(sizes), s), start, sizes)
-        assert (pieces[:, 2] - pieces[:, 1]).sum() == own.take[s] == round(own.targets[s])
+        size = np.full(sizes[s] // 100, 100)
+        start = np.cumsum(size) - size
+        pieces = mixing.taken(own, np.full(len(size), s), np.full(len(size), sizes[s]), start, size)
+        assert (pieces[:, 2] - pieces[:, 1]).sum() == q.take[s] == round(q.want[s])
         per = np.bincount(pieces[:, 4], weights=pieces[:, 2] - pieces[:, 1], minlength=7)
-        assert (np.abs(per - 50 * np.diff(own.bounds[s], prepend=0)) <= 100).all()
+        assert (np.abs(per - 50 * np.diff(bounds[s], prepend=0)) <= 100).all()
 
 
 def test_mix_of_documents(spark, odd, nothing):
@@ -287,14 +290,42 @@ def test_quotas_decide_the_mix(spark):
     assert sum(mixing.word_quotas(want, [200] * 9)) == round(sum(want)) == 903
     assert mixing.word_quotas([2.0, 2.4, 0.0], [1, 9, 9]) == [1, 3, 0] and mixing.word_quotas([], []) == []
     for sizes in ([5000, 903, 2000], [1, 49, 50, 51, 100], [7, 0, 1000], [3, 3, 3, 3], [0, 0]):
-        own = mixing.plan([(f"s{i}", n) for i, n in enumerate(sizes)], (5, 2, 1), 1.5, 2.0, 50, 4, 3)
-        assert own.take.sum() == round(sum(own.targets)) and (own.take <= 2 * own.sizes).all()
-        pieces = [mixing.taken(own, np.array([s]), np.array([0]), np.array([n])) for s, n in enumerate(sizes)]
-        for s, p in enumerate(pieces):  # a seat is a block of a pass
-            assert (p[:, 2] - p[:, 1]).sum() == own.take[s]
-            assert np.bincount(p[:, 4], minlength=4).tolist() == np.diff(own.bounds[s], prepend=0).tolist()
-        seats = np.diff(own.bounds.sum(0), prepend=0)
-        assert seats.sum() == own.seats.sum() and seats.max() - seats.min() <= 1
+        own, n, rank = mixing.plan(sizes, block=50, shards=4, seed=3), np.array(sizes), np.arange(len(sizes))
+        q = own.of(rank, n)
+        bounds = own.bounds(rank, q.seats)
+        assert q.take.sum() == int(1.5 * sum(sizes) + 0.5) and (q.take <= 2 * n).all() and abs(q.want.sum() - 1.5 * sum(sizes)) < 1e-6
+        for s, size in enumerate(sizes):  # a seat is a block of a pass
+            p = mixing.taken(own, np.array([s]), np.array([size]), np.array([0]), np.array([size]))
+            assert (p[:, 2] - p[:, 1]).sum() == q.take[s]
+            assert np.bincount(p[:, 4], minlength=4).tolist() == np.diff(bounds[s], prepend=0).tolist()
+        seats = np.diff(bounds.sum(0), prepend=0)
+        assert seats.sum() == q.seats.sum() and seats.max() - seats.min() <= 1
+
+
+def test_plans_of_many_sources_are_those_of_the_driver(spark, monkeypatch):
+    """Counts of sources that are alike, and ties cut by counting ranks, give what each source by itself gives."""
+    rnd = random.Random(6)
+    for kinds in ([3], [1, 2, 3, 40], list(range(200))):
+        sizes = [rnd.choice(kinds) for _ in range(700)]
+        rows = [(f"s{i:05d}" if i < 699 else None, n, 1) for i, n in enumerate(sizes)]
+        totals = spark.createDataFrame(rows, "source string, n long, rows long").repartition(5)
+        numbered = mixing._numbered(totals)
+        assert sorted((r.src, r.n) for r in numbered.collect()) == list(enumerate(sizes))
+        want = mixing.plan(sizes, block=2, shards=5)
+        monkeypatch.setattr(mixing, "FEW", 10)
+        got = mixing._plan_of(numbered, mixing.WEIGHTS, 1.5, 2.0, 2, 5, 17)
+        monkeypatch.undo()
+        rank, n = np.arange(700), np.array(sizes)
+        a, b = want.of(rank, n), got.of(rank, n)
+        assert all((getattr(a, c) == getattr(b, c)).all() for c in ("want", "take", "seats")) and (want.bounds(rank, a.seats) == got.bounds(rank, b.seats)).all()
+        assert a.take.sum() == int(1.5 * sum(sizes) + 0.5) and (np.abs(a.take - a.want) < 1.5).all()
+
+
+def test_a_mix_of_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 7)), f"s{i % 90}" if i % 5 else "hot") for i in range(900)], "doc_id long, text string, source string")
+    want = {r.doc_id: r[:] for r in mixing.mix_counts(docs, block=4, shards=3).collect()}
+    monkeypatch.setattr(mixing, "FEW", 10)
+    assert {r.doc_id: r[:] for r in mixing.mix_counts(docs, block=4, shards=3).collect()} == want
 
 
 def test_mix_gives_shards(spark, odd, nothing):
