@@ -257,18 +257,23 @@ def _links(percent: int, kind: str):
 def _sized(keyed: DataFrame, name: str, *carried: str) -> DataFrame:
     """Members of nodes of several labels (``key``, ``id``, ``label``, carried columns), with the node's size ``m``.
 
-    Sizes are counted before rows shuffle. A node above ``HOT`` members (or above the
-    hundred thousandth part of all, so that such nodes are few) meets its size in
+    Sizes are counted before rows shuffle. Nodes above ``HOT`` members (and above the
+    hundred thousandth part of all, so that such nodes are few) meet their size in
     ``SALTS`` parts.
     """
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = materialize(sizes.where("low <> high").drop("low", "high"), f"{name}-sizes")
-    total = sizes.agg(F.sum("m").alias("m")).first()["m"] or 0
-    hot = F.broadcast(sizes.where(F.col("m") > max(HOT, total // MOST_HOT)).select("key", F.lit(SALTS).alias("salts")))
-    salts = F.coalesce("salts", F.lit(1))
-    salted_sizes = sizes.join(hot, "key", "left").select("key", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    salted = keyed.join(hot, "key", "left").select("key", "id", "label", *carried, F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    out = materialize(salted.join(salted_sizes, ["key", "salt"]).drop("salt"), name)
+    told = sizes.agg(F.sum("m").alias("all"), F.max("m").alias("most")).first()
+    least = max(HOT, (told["all"] or 0) // MOST_HOT)
+    if (told["most"] or 0) <= least:
+        out = keyed.select("key", "id", "label", *carried).join(sizes, "key")
+    else:
+        hot = F.broadcast(sizes.where(F.col("m") > least).select("key", F.lit(SALTS).alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        salted_sizes = sizes.join(hot, "key", "left").select("key", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        salted = keyed.join(hot, "key", "left").select("key", "id", "label", *carried, F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+        out = salted.join(salted_sizes, ["key", "salt"]).drop("salt")
+    out = materialize(out, name)
     forget(sizes)
     return out
 

@@ -42,13 +42,21 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def sliced(batches, rows: int = 512, size: int = 1 << 23):
-    """Arrow batches cut to some rows and bytes, or to one row, so that what a task makes of whole texts at a time is small.
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for themselves; workers outlive their tasks."""
+    import ctypes
 
-    At the end of a task memory that Arrow keeps for itself goes back.
-    """
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def sliced(batches, rows: int = 512, size: int = 1 << 21):
+    """Arrow batches cut to some rows and bytes, or to one row, so that what a task makes of whole texts at a time is small."""
+
     def halves(b):
         if b.num_rows > 1 and b.nbytes > size:
             yield from halves(b.slice(0, b.num_rows // 2))
@@ -59,7 +67,7 @@ def sliced(batches, rows: int = 512, size: int = 1 << 23):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield from halves(b.slice(at, rows))
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def key_runs(batches, key: int = 0):
@@ -80,3 +88,5 @@ def key_runs(batches, key: int = 0):
             held.append(b.slice(lo, hi - lo))
     if held:
         yield held
+        held = []
+    give_back()

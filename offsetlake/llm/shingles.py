@@ -49,14 +49,16 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    size = np.diff(starts, append=len(raw))
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, size)
-    value = _BYTE[raw[starts[0] :]] * _FINE[place & 0xFFFF]
+    first, size = starts[0], np.diff(starts, append=len(raw))
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    place = np.arange(first, len(raw), dtype=kind) - np.repeat(starts.astype(kind), size)
+    value = _BYTE[raw[first:]]
+    value *= _FINE[place & 0xFFFF]
     if size.max() >> 16:
         value *= _COARSE[place >> 16]
-    value[gap[starts[0] : -1]] = 0
-    length = np.add.reduceat((~gap[starts[0] : -1]).astype(np.int64), starts - starts[0])
-    out = mix(np.add.reduceat(value, starts - starts[0]) + length.astype(np.uint64))
+    value[gap[first:-1]] = 0
+    length = np.add.reduceat(~gap[first:-1], starts - first, dtype=np.int64)
+    out = mix(np.add.reduceat(value, starts - first) + length.astype(np.uint64))
     return out, np.searchsorted(starts, bounds)
 
 
