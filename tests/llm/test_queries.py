@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -86,7 +87,7 @@ def test_op4(spark, folder):
     tables = [spark.read.parquet(f"{folder[0]}/{t}.parquet") for t in ("documents", "labels")]
     model = quality.fit(*tables)
     for i, r in list(docs.items())[::17]:
-        own = quality.unit(quality.terms(__import__("pyarrow").array([r.text or ""])) @ model.basis)[0]
+        own = quality.unit(quality.terms(pa.array([r.text or ""])) @ model.basis)[0]
         near = model.vectors @ own
         at = np.argsort(-near)[: model.neighbours]
         weight = np.maximum(near[at], 0).astype(float) ** model.power
