@@ -51,7 +51,7 @@ def byte_letters() -> dict[str, int]:
 class BpeAutomaton:
     """Compiled merges: which token may follow which, and the table over bytes that spells it out."""
 
-    def __init__(self, single: dict[int, int], merges: list[tuple[int, int, int]], names: dict[int, bytes], most: int = 1 << 20):
+    def __init__(self, single: dict[int, int], merges: list[tuple[int, int, int]], names: dict[int, bytes], most: int = 1 << 19):
         """single: id of each byte; merges: (left, right, made) ids by rank; names: the bytes of each id; most: transitions to hold."""
         self.parts: dict[int, tuple[int, int, int]] = {}  # made: rank, left, right
         self.lost: dict[tuple[int, int], int] = {}  # (state's token, arc): rank

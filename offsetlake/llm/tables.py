@@ -31,12 +31,12 @@ _ZERO = 1 << 15  # of a count kept in 16 bits
 class Machine:
     """A deterministic transducer from symbols to labels and counts, compiled as it is driven."""
 
-    def __init__(self, pieces: Iterable[tuple[Sequence[int], int]], follows: Callable[[int, int], bool], foreign: Callable[[int], int] | None = None, counted: bool = False, most: int = 1 << 20):
+    def __init__(self, pieces: Iterable[tuple[Sequence[int], int]], follows: Callable[[int, int], bool], foreign: Callable[[int], int] | None = None, counted: bool = False, most: int = 1 << 19):
         """pieces: symbols and number of each token; ``follows``: whether the second token may follow the first.
 
         ``foreign`` counts the tokens of a symbol that begins no token; nothing joins
         across it. ``counted``: states keep counts, so that transitions have them.
-        ``most``: transitions to hold.
+        ``most``: transitions to hold, and a fourth as many answers of ``follows``.
         """
         self.follows, self.foreign, self.counted, self.most = follows, foreign, counted, most
         self.children: dict[int, int] = {}
@@ -88,7 +88,7 @@ class Machine:
             return True
         found = self.arcs.get((last, token))
         if found is None:
-            if len(self.arcs) >= self.most:
+            if len(self.arcs) >= self.most // 4:
                 self.arcs.clear()
             found = self.arcs[last, token] = self.follows(last, token)
         return found

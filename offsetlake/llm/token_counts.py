@@ -82,7 +82,7 @@ def lacking(maps: list[ChunkMap], state: bytes) -> tuple[int, bytes] | None:
 
 
 class CountTransducer:
-    def __init__(self, scores: dict[str, float], most: int = 1 << 20):
+    def __init__(self, scores: dict[str, float], most: int = 1 << 19):
         """scores: of each ordinary piece; higher merges first, then the leftmost. most: transitions to hold."""
         self.scores, self.pieces = scores, list(scores)
         self.reach = max(map(len, scores), default=1)
