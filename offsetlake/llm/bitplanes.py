@@ -277,7 +277,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
     ids, so files, and the lists of their footers, are bounded by size; the order
     holds across files. Ids that tie or are null (first) order by text. A null text
     counts as the empty one and has the end id alone. No rows: no files. Other columns
-    are not read. A task holds a slice of an Arrow batch (512 rows and 2 MB, or one
+    are not read. A task holds a slice of an Arrow batch (256 rows and 1 MB, or one
     text), one block and the footer of its file.
     """
 

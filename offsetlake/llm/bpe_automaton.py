@@ -191,7 +191,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     string); ids are passed through, null or repeated; other columns are not
     read, so their names cannot clash. Texts of any length are taken whole, in time
     that grows as the length of a word (one look-up a byte); a task holds the slice
-    of a batch (512 rows and 2 MB, or one text) and tables of bounded size. Nothing is
+    of a batch (256 rows and 1 MB, or one text) and tables of bounded size. Nothing is
     shuffled.
     """
     kind = docs.schema[id_column].dataType.simpleString()

@@ -20,7 +20,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +81,7 @@ class Model:
     neighbours: int
     power: int
 
-    def scores(self, text: pa.Array, block: int = 256) -> np.ndarray:
+    def scores(self, text: pa.Array, block: int = 128) -> np.ndarray:
         """From 0 to 1 for each text: how the nearest labelled vectors vote."""
         k = min(self.neighbours, len(self.labels))
         if not k or not len(text):
@@ -130,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text")).join(chosen, "id").select("id", "text", "label")
 
     def run(batches):
-        for b in sliced(batches, 256):
+        for b in sliced(batches, 128):
             found = terms(b.column(1))
             k = [np.flatnonzero(row).astype(np.uint16) for row in found]
             v = [row[i].tobytes() for row, i in zip(found, k, strict=True)]
@@ -152,9 +151,9 @@ def score(model: Model, spark):
     """A function from a text column to scores; a null text counts as empty."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(pa.array(text, pa.string())))
+    @F.arrow_udf("double")
+    def of(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(text))
 
     return of
 

@@ -273,7 +273,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_colu
     Offsets are code points, the end exclusive; spans are in order of start, then
     of the rules. A row for each row of ``docs``; a null text counts as empty and
     has no spans; ids pass through, null or repeated; other columns are not read.
-    Nothing is shuffled. A task holds a slice of an Arrow batch (512 rows and 2 MB, or
+    Nothing is shuffled. A task holds a slice of an Arrow batch (256 rows and 1 MB, or
     one text) and its index.
     """
     kind = docs.schema[id_column].dataType.simpleString()

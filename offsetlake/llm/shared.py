@@ -54,7 +54,7 @@ def give_back() -> None:
         trim(0)
 
 
-def sliced(batches, rows: int = 512, size: int = 1 << 21):
+def sliced(batches, rows: int = 256, size: int = 1 << 20):
     """Arrow batches cut to some rows and bytes, or to one row, so that what a task makes of whole texts at a time is small."""
 
     def halves(b):

@@ -314,7 +314,7 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     repeated; other columns are not read. Texts of up to ``row`` code points do not
     move; a longer one is cut into rows of as many, which shuffle and are mapped by
     tasks in parallel, and the maps of one text (some 100 bytes a row) meet in a task.
-    A task holds a slice of an Arrow batch (512 rows and 2 MB, or one text) and tables
+    A task holds a slice of an Arrow batch (256 rows and 1 MB, or one text) and tables
     of bounded size.
     """
     kind = docs.schema[id_column].dataType.simpleString()
