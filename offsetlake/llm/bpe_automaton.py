@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .presplit import flat, word_starts
-from .shared import sliced, table, text_of
+from .shared import give_back, sliced, small_batches, table, text_of
 from .tables import Machine, trace
 
 FOREVER = 1 << 60
@@ -180,7 +180,9 @@ def load(path: str) -> tuple[BpeAutomaton, dict[str, int]]:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One to a worker process; compiling takes under a second."""
-    return Encoder(*load(path))
+    own = Encoder(*load(path))
+    give_back()
+    return own
 
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -204,6 +206,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             decoded = own.decode_batch(ids, bounds).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
 

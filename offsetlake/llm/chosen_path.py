@@ -344,13 +344,13 @@ def join_classes(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFram
 def _blocks(big: DataFrame) -> DataFrame:
     """Members of large nodes (``key``, ``id``, ``label``) in pairs of blocks, a node each; two blocks of one and the same label do not meet.
 
-    A label with more than half a block of members has blocks to itself, the others
-    of a node share some.
+    A block has some ``2 * LIMIT`` members. A label with more than half a block of members
+    has blocks to itself, the others of a node share some.
     """
-    half = LIMIT // 2
+    half = 2 * LIMIT
     counted = big.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.col("n") > half // 2, F.col("label"))
-    groups = counted.withColumn("own", own).groupBy("key", "own").agg(F.ceil(F.sum("n") * 2 / half).cast("int").alias("parts"))
+    groups = counted.withColumn("own", own).groupBy("key", "own").agg(F.ceil(F.sum("n") / half).cast("int").alias("parts"))
     groups = materialize(groups, "groups")
     block = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocks = groups.select("key", "own", block.alias("part"))

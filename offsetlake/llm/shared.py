@@ -15,12 +15,24 @@ from ..functions.workspace import remove, work_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch; whole texts are large, and the JVM and the worker each hold a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``BATCH_ROWS``, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes a table to the shared folder and reads it again.
 
     Executors can be lost at any time; what is read again does not depend on them.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = work_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -34,6 +46,7 @@ def forget(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -94,7 +94,7 @@ def test_a_large_family_is_joined_by_its_pivot(spark, monkeypatch, most):
 
 def test_blocks_meet_where_labels_differ(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "LIMIT", 8)
-    rows = [(1, i, 0 if i < 40 else i) for i in range(46)] + [(2, i, i % 3) for i in range(30)]
+    rows = [(1, i, 0 if i < 400 else i) for i in range(446)] + [(2, i, i % 3) for i in range(300)]
     met = chosen_path._blocks(spark.createDataFrame(rows, "key long, id long, label long")).collect()
     nodes = {}
     for r in met:
@@ -103,7 +103,7 @@ def test_blocks_meet_where_labels_differ(spark, monkeypatch):
     for k in (1, 2):
         own = [(i, label) for key, i, label in rows if key == k]
         assert all(frozenset((a, b)) in pairs for a, x in own for b, y in own if x != y)
-    assert max(len([1 for i, label in own if label == 0]) for own in nodes.values()) <= 16
+    assert max(len([1 for i, label in own if label == 0]) for own in nodes.values()) <= 48
 
 
 def test_shingle_sets_are_those_of_words():
