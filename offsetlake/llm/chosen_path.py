@@ -26,12 +26,14 @@ families are compared ``CLUSTER`` at a time, each part with the pivot, which giv
 linked with it one label, and branch whole. What has been compared so is not compared
 again, and links are looked for between different labels (components so far) alone: a
 node of one label is done.
-Small nodes are compared in two rounds of trees, the second of which knows the labels
-that the first has found. Nodes that are still large at the last level are dealt into blocks by label, and
-only blocks that may differ in label meet.
+A large node is not branched where that is cheaper: it is dealt into blocks by label, and
+only blocks that may differ in label meet, if a member is in ``WHOLE`` pairs of blocks at
+most on the average, or at the last level. Small nodes and pairs of blocks are compared in
+two rounds of trees, the second of which knows the labels that the first has found.
 
 A node or cluster gives its members or a spanning forest of links, never its pairs;
-components are found by rounds of joins, and nothing is collected.
+components are found in one task where they have ``ALONE`` links at most and by rounds of
+joins else, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import forget, key_runs, materialize, sliced, table, text_of
@@ -53,6 +56,7 @@ FIRST = 3  # trees of the first round
 LIMIT, DEPTH, BRANCHES = 256, 8, (2, 1)  # branches in turn
 CLUSTER, CLUSTER_BYTES, SAMPLE, WIDE = 2048, 64 << 20, 64, 35
 HOT, MOST_HOT, SALTS = 1 << 16, 100_000, 64  # a node above HOT members is joined in parts
+WHOLE, ALONE = 8, 1 << 20
 _rng = np.random.default_rng(85)
 _TIMES = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64) | np.uint64(1)
 _FLIP = _rng.integers(1, 1 << 63, TOKENS + SKETCH, dtype=np.uint64)
@@ -171,12 +175,12 @@ def _central(least: float):
 
 
 def _near_pivot(least: float):
-    """Members of large nodes whose sketch is near that of the node's pivot: (pivot, id)."""
+    """Members of large nodes whose sketch is near that of the node's pivot: (pivot, id, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = b.filter(pa.array((_sketches(b.column(0)) == _sketches(b.column(1))).sum(1) >= least))
-            yield pa.RecordBatch.from_arrays([near.column(2), near.column(3)], names=["pivot", "id"])
+            yield pa.RecordBatch.from_arrays([near.column(2), near.column(3), near.column(4)], names=["pivot", "id", "n"])
 
     return run
 
@@ -297,8 +301,11 @@ def _branched(big: DataFrame, classes: DataFrame, labels: DataFrame | None, leve
     branch = F.explode(F.array(*map(F.lit, range(BRANCHES[level % len(BRANCHES)])))).alias("branch")
     spread = big.select("key", "id", "tree", branch).join(classes.select("id", "tokens"), "id")
     chosen = F.element_at("tokens", (F.pmod(F.xxhash64("key", "branch"), F.lit(TOKENS - TREES)) + TREES + 1).cast("int"))
-    keyed = spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id", "tree").distinct()
-    return _sized(_labelled(keyed, labels), "nodes", "tree")
+    keyed = _labelled(spread.select(F.xxhash64("key", "branch", chosen).alias("key"), "id", "tree"), labels)
+    keyed = materialize(keyed, "branches")
+    out = _sized(keyed, "nodes", "tree")
+    forget(keyed)
+    return out
 
 
 def _with_pivot(members: DataFrame, pivots: DataFrame, how: str) -> DataFrame:
@@ -319,9 +326,9 @@ def families(big: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFram
     sample = big.where(F.pmod(F.xxhash64("id", "key"), F.col("m")) < SAMPLE).join(sketch, "id").select("key", "m", "id", "sketch")
     run = _central(least_equal(percent))
     pivots = materialize(sample.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key long, m long, pivot {kind}, of binary"), "pivots")
-    rows = _with_pivot(big, pivots, "inner").join(sketch, "id").select("sketch", "of", "pivot", "id")
-    near = materialize(rows.mapInArrow(_near_pivot(least_equal(percent - WIDE)), f"pivot {kind}, id {kind}").distinct(), "near-pivots")
-    size = near.join(classes.select("id", "n"), "id").groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    rows = _with_pivot(big, pivots, "inner").join(classes.select("id", "sketch", "n"), "id").select("sketch", "of", "pivot", "id", "n")
+    near = materialize(rows.mapInArrow(_near_pivot(least_equal(percent - WIDE)), f"pivot {kind}, id {kind}, n long").distinct(), "near-pivots")
+    size = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
     parts = F.greatest(F.ceil(F.col("members") / (CLUSTER - 1)), F.ceil(F.col("n") * 8 / CLUSTER_BYTES)).cast("int").alias("parts")
     dealt = near.join(size.where("members > 1").select("pivot", parts), "pivot")
     own = dealt.select("pivot", "id", "parts", F.pmod(F.xxhash64("id"), "parts").alias("part"))
@@ -336,36 +343,77 @@ def join_classes(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFram
     ``nodes``: members of small nodes (``key``, ``id``, ``label``); ``classes``: ``id``,
     ``sketch``, ``done``.
     """
-    placed = _sized(nodes, "nodes").drop("m").join(classes.select("id", "sketch", "done"), "id").select("key", "id", "label", "sketch", "done")
+    placed = nodes.join(classes.select("id", "sketch", "done"), "id").select("key", "id", "label", "sketch", "done")
     kind = classes.schema["id"].dataType.simpleString()
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(_clusters(least_equal(percent)), f"cluster long, id {kind}").distinct()
 
 
-def _blocks(big: DataFrame) -> DataFrame:
-    """Members of large nodes (``key``, ``id``, ``label``) in pairs of blocks, a node each; two blocks of one and the same label do not meet.
+def _groups(big: DataFrame) -> DataFrame:
+    """How large nodes (``key``, ``id``, ``label``) are dealt into blocks: ``key``, ``own``, ``parts``, and of the node ``m`` and ``met``, the rows of all its pairs of blocks.
 
     A block has some ``2 * LIMIT`` members. A label with more than half a block of members
-    has blocks to itself, the others of a node share some.
+    has blocks to itself (``own``), the others of a node share some.
     """
     half = 2 * LIMIT
-    counted = big.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.col("n") > half // 2, F.col("label"))
-    groups = counted.withColumn("own", own).groupBy("key", "own").agg(F.ceil(F.sum("n") / half).cast("int").alias("parts"))
-    groups = materialize(groups, "groups")
+    counted = big.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own)
+    groups = counted.groupBy("key", "own").agg(F.sum("n").alias("n")).withColumn("parts", F.ceil(F.col("n") / half).cast("int"))
+    node = Window.partitionBy("key")
+    alone = F.when(F.col("own").isNotNull(), F.col("n") * F.col("parts")).otherwise(0)
+    met = F.sum("n").over(node) * F.sum("parts").over(node) - F.sum(alone).over(node)
+    return materialize(groups.select("key", "own", "parts", F.sum("n").over(node).alias("m"), met.alias("met")), "groups")
+
+
+def _blocks(big: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Members of large nodes (``key``, ``id``, ``label``) in pairs of blocks (:func:`_groups`, nodes that it lacks are left out), a node each; two blocks of one and the same label do not meet."""
+    groups = _groups(big) if groups is None else groups
+    counted = big.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     block = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocks = groups.select("key", "own", block.alias("part"))
     other = blocks.select(F.col("key").alias("k"), F.col("own").alias("with"), F.col("part").alias("at"))
     a, b = F.struct("own", "part"), F.struct(F.col("with").alias("own"), F.col("at").alias("part"))
     apart = F.col("own").isNull() | F.col("with").isNull() | (F.col("own") != F.col("with"))
     met = blocks.join(other, (F.col("key") == F.col("k")) & apart).select("key", "own", "part", F.xxhash64("key", F.least(F.xxhash64(a), F.xxhash64(b)), F.greatest(F.xxhash64(a), F.xxhash64(b))).alias("pair"))
-    named = big.join(counted.select("key", "label", own.alias("own")), ["key", "label"])
+    named = big.join(counted.select("key", "label", F.when(F.col("n") > LIMIT, F.col("label")).alias("own")), ["key", "label"])
     placed = named.join(groups, (named["key"] == groups["key"]) & named["own"].eqNullSafe(groups["own"])).select(named["key"], "id", "label", named["own"], F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
     dealt = placed.join(met, (placed["key"] == met["key"]) & placed["own"].eqNullSafe(met["own"]) & (placed["part"] == met["part"]))
-    return dealt.select(F.col("pair").alias("key"), "id", "label").distinct()
+    return dealt.select(F.col("pair").alias("key"), "id", "label")
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links (a, b) of a task: (id, component)."""
+    links = [b for b in batches if b.num_rows]
+    if not links:
+        return
+    ends = pa.chunked_array([b.column(k) for k in (0, 1) for b in links]).combine_chunks().dictionary_encode()
+    ids = ends.dictionary
+    order = pa.compute.array_sort_indices(ids)
+    rank = np.empty(len(ids), np.int64)
+    rank[order.to_numpy()] = np.arange(len(ids))
+    u, v = rank[ends.indices.to_numpy()].reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[u], label[v])
+        for end in (u, v):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    ids = ids.take(order)
+    yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(label))], names=["id", "component"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """For each id of ``links`` (a, b) the least id it reaches: ``id``, ``component``. Rounds of joins, written between."""
+    """For each id of ``links`` (a, b) the least id it reaches: ``id``, ``component``.
+
+    Up to ``ALONE`` links meet in a task; more are joined in rounds, written between.
+    """
+    if links.count() <= ALONE:
+        kind = links.schema["a"].dataType.simpleString()
+        return materialize(links.select("a", "b").repartition(1).mapInArrow(_alone, f"id {kind}, component {kind}"), "labels")
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
     last = edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component"))
     last = materialize(last, "labels")
@@ -395,8 +443,7 @@ def confirmed(clusters: DataFrame, source: DataFrame, percent: int) -> DataFrame
         for part in sliced(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "set"])
 
-    wanted = materialize(clusters.select("id").distinct(), "wanted")
-    sets = source.join(wanted, "id", "left_semi").mapInArrow(full, f"id {kind}, set binary").where(F.octet_length("set") > 0)
+    sets = source.join(clusters.select("id").distinct(), "id", "left_semi").mapInArrow(full, f"id {kind}, set binary").where(F.octet_length("set") > 0)
     placed = clusters.join(sets, "id").select("cluster", "id", "set", "pivot").repartition("cluster").sortWithinPartitions("cluster")
     run, schema = _links(percent, kind)
     return materialize(placed.mapInArrow(run, schema), "links")
@@ -404,13 +451,18 @@ def confirmed(clusters: DataFrame, source: DataFrame, percent: int) -> DataFrame
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """Labels (``id``, ``component``) with more links, which are contracted to links between the labels there are."""
+    links = links.select("a", "b")
+    if links.isEmpty():
+        return labels
     if labels is None:
-        return components(links) if links.limit(1).count() else None
+        return components(links)
+    if links.count() + labels.count() <= ALONE:
+        return components(links.union(labels))
     for end in ("a", "b"):
         known = labels.select(F.col("id").alias(end), F.col("component").alias("c"))
         links = links.join(known, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
     links = links.where("a <> b")
-    if not links.limit(1).count():
+    if links.isEmpty():
         return labels
     more = components(links)
     moved = labels.join(more.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
@@ -434,33 +486,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     found = materialize(source.mapInArrow(run, schema), "shingled")
     classes = found.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    nodes, labels, small, done = _first(classes), None, [], []
+    nodes, labels, small, blocks, done = _first(classes), None, [], [], []
     for level in range(DEPTH):
         small.append(nodes.where(F.col("m") <= LIMIT).select("key", "id", "tree"))
         big = nodes.where(F.col("m") > LIMIT)
-        if not big.limit(1).count():
+        if big.isEmpty():
             break
         if level % 2 == 0:
             clusters, pivots = families(big, classes, percent)
             clusters = materialize(clusters, "clusters")
-            if clusters.limit(1).count():
+            if not clusters.isEmpty():
                 done.append(clusters.select("cluster", "id"))
                 links = confirmed(clusters, source, percent)
                 labels = _relabelled(labels, links.where("not direct"))
                 finished = links.where("direct").select(F.col("b").alias("pivot"), F.col("a").alias("id")).distinct()
                 big = _with_pivot(big, pivots, "left").join(finished, ["pivot", "id"], "left_anti")
-        if level == DEPTH - 1:
-            small.append(_blocks(_labelled(big.select("key", "id"), labels)).select("key", "id", F.lit(TREES).alias("tree")))
-        else:
-            nodes = _branched(big, classes, labels, level)
+                big = materialize(_labelled(big.select("key", "id", "tree"), labels), "large")
+        groups = _groups(big)
+        dear = (F.col("met") > WHOLE * F.col("m")) & F.lit(level < DEPTH - 1)
+        blocks.append(_blocks(big, groups.where(~dear)).select("key", "id"))
+        rest = groups.where(dear).select("key").distinct()
+        if rest.isEmpty():
+            break
+        nodes = _branched(big.join(rest, "key", "left_semi"), classes, labels, level)
     known = classes.withColumn("done", F.lit(None).cast("array<long>"))
     if done:
         known = classes.join(reduce(DataFrame.unionByName, done).groupBy("id").agg(F.collect_set("cluster").alias("done")), "id", "left")
     small = reduce(DataFrame.unionByName, small)
-    for trees in (F.col("tree") < FIRST, F.col("tree") >= FIRST):
-        clusters = join_classes(_labelled(small.where(trees).select("key", "id"), labels), known, percent)
+    for trees, met in ((F.col("tree") < FIRST, []), (F.col("tree") >= FIRST, blocks)):
+        nodes = _sized(_labelled(small.where(trees).select("key", "id"), labels), "nodes").drop("m")
+        if met:
+            nodes = nodes.unionByName(_labelled(reduce(DataFrame.unionByName, met), labels))
+        clusters = join_classes(nodes, known, percent)
         clusters = materialize(clusters.withColumn("pivot", F.lit(None).cast(kind)), "clusters")
-        if clusters.limit(1).count():
+        if not clusters.isEmpty():
             labels = _relabelled(labels, confirmed(clusters, source, percent))
     named = classes.select("cls", F.col("id").alias("rep"))
     if labels is None:

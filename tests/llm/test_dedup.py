@@ -92,6 +92,31 @@ def test_a_large_family_is_joined_by_its_pivot(spark, monkeypatch, most):
     assert {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, 85).collect()} == want
 
 
+@pytest.mark.parametrize("alone", [0, 1 << 20])
+def test_large_nodes_that_few_blocks_cover_are_not_branched(spark, monkeypatch, alone):
+    """Two families over one common passage: their large nodes are compared whole; components in rounds and in one task."""
+    monkeypatch.setattr(chosen_path, "ALONE", alone)
+    monkeypatch.setattr(chosen_path, "_branched", None)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} {t}" for t in near_copies(4, 350, 40) + near_copies(5, 300, 40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = components([(i, shingles(t)) for i, t in enumerate(texts)], 85)
+    assert {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, 85).collect()} == want
+
+
+def test_components_meet_in_a_task_or_in_rounds(spark, monkeypatch):
+    rnd = random.Random(6)
+    links = [(f"n{a:03d}", f"n{min(a + rnd.randint(1, 9), 399):03d}") for a in range(399) if rnd.random() < 0.6]
+    rows = spark.createDataFrame(links, "a string, b string").repartition(3)
+    low = {i: i for link in links for i in link}
+    for _ in range(len(links)):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    for alone in (1 << 20, 0):
+        monkeypatch.setattr(chosen_path, "ALONE", alone)
+        assert {r.id: r.component for r in chosen_path.components(rows).collect()} == low
+
+
 def test_blocks_meet_where_labels_differ(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "LIMIT", 8)
     rows = [(1, i, 0 if i < 400 else i) for i in range(446)] + [(2, i, i % 3) for i in range(300)]
