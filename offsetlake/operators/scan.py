@@ -5,6 +5,8 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +141,80 @@ def read_pages(log: DataFrame, part: int, records: int, size: int = 0) -> list[t
     return out
 
 
+def _fetch_ends(at: np.ndarray, n: np.ndarray, begin: np.ndarray, records: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a fetch from each offset of ``begin``: its first row, the row behind its last, and the next offset (the same where it has no row)."""
+    upto = np.concatenate(([0], np.cumsum(n)))
+    i = np.searchsorted(at, begin)
+    j = np.minimum(np.searchsorted(at, begin + records), np.searchsorted(upto, upto[i] + size, "right") - 1)
+    return i, j, np.where(j > i, at[np.maximum(j, 1) - 1] + 1, begin)
+
+
+def fetches(log: DataFrame, records: int = 0, size: int = 0, width: int = 65_536) -> DataFrame:
+    """``first_off``, ``n`` and ``next_offset`` of each fetch of a :class:`Reader` from the start to the end of every partition.
+
+    A fetch begins where the one before ends, but the first to begin in a range of
+    offsets does so at one of its first ``records``. Ranges (of ``width``, more for
+    large fetches) find side by side where each of these leads behind them; a walk over
+    these maps, one row of 4 bytes times ``records`` a range, finds the one where a
+    reader comes in; ranges then list their fetches from there.
+    """
+    records, size = fetch_limits(records, size)
+    width = max(width, 16 * records)
+    largest = log.agg(F.max("encoded_bytes")).first()[0]
+    if largest is not None and largest > size:
+        raise FetchLimitTooSmall(f"a record of {largest} bytes exceeds the limit of {size}")
+
+    def ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = rows["range"][0].as_py() * width
+        at, n = rows["off"].to_numpy(), rows["n"].to_numpy()
+        along = np.argsort(at)
+        return at[along], n[along], np.arange(first, first + width)
+
+    def lead(rows: pa.Table) -> pa.Table:
+        at, n, begin = ordered(rows)
+        first, low = int(begin[0]), int(at[0])
+        to = np.concatenate((_fetch_ends(at, n, begin, records, size)[2] - first, np.arange(width, width + records)))
+        while not np.array_equal(further := to[to], to):
+            to = further
+        from_low = int(to[low - first]) if low < first + width else None
+        return pa.table({"part": rows["part"].slice(0, 1), "range": rows["range"].slice(0, 1), "low": [low], "high": [int(at[-1]) + 1], "from_low": pa.array([from_low], pa.int64()), "to": [to[:records].astype("<i4").tobytes()]})
+
+    def walk(maps: pa.Table) -> pa.Table:
+        maps = maps.sort_by("range")
+        ranges, begins, begin = [], [], maps["low"][0].as_py()
+        for i, (at, low, high, from_low) in enumerate(zip(*(maps[c].to_pylist() for c in ("range", "low", "high", "from_low")), strict=True)):
+            first = at * width
+            if begin == high or begin >= first + width:
+                continue
+            if begin >= first:
+                ranges.append(at)
+                begins.append(begin)
+                begin = first + (from_low if begin == low else int(np.frombuffer(maps["to"][i].as_py(), "<i4")[begin - first]))
+            if begin < min(first + width, high):
+                raise FetchLimitTooSmall(f"no record in the {records} offsets from {begin} on")
+        return pa.table({"part": maps["part"].slice(0, len(ranges)), "range": pa.array(ranges, pa.int64()), "begin": pa.array(begins, pa.int64())})
+
+    def listed(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        found = []
+        if entry.num_rows:
+            at, n, begin = ordered(rows)
+            first, last, after = _fetch_ends(at, n, begin, records, size)
+            k = entry["begin"][0].as_py() - int(begin[0])
+            while k < width and first[k] < len(at):
+                found.append(k)
+                k = int(after[k] - begin[0])
+        taken = pa.table({"first_off": at[first[found]], "n": (last - first)[found], "next_offset": after[found]}) if found else pa.table({c: pa.array([], pa.int64()) for c in ("first_off", "n", "next_offset")})
+        return taken.add_column(0, "part", rows["part"].slice(0, len(found)))
+
+    kind = log.schema["part"].dataType.simpleString()
+    own = F.floor(F.col("off") / width)
+    ranges = F.when((F.col("off") % width < records) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))  # a fetch may end in the next range
+    rows = log.select("part", F.explode(ranges).alias("range"), F.col("off").cast("long").alias("off"), F.coalesce(F.col("encoded_bytes").cast("long"), F.lit(0)).alias("n"))
+    maps = rows.groupBy("part", "range").applyInArrow(lead, f"part {kind}, range long, low long, high long, from_low long, to binary")
+    entries = maps.groupBy("part").applyInArrow(walk, f"part {kind}, range long, begin long")
+    return rows.groupBy("part", "range").cogroup(entries.groupBy("part", "range")).applyInArrow(listed, f"part {kind}, first_off long, n long, next_offset long")
+
+
 def verify(log: DataFrame, part: int, low: int, high: int) -> DataFrame:
     """What a scan of [``low``, ``high``) of a partition has to find: records, whether they are contiguous, and the digest of their order."""
     from . import integrity, metrics

@@ -68,10 +68,8 @@ def offset_assignment(spark: SparkSession, sf: str) -> DataFrame:
 def fetch_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every fetch of a reader of 1,024 records a time, over all partitions."""
     folder = work_path(spark, "pages")
-    log_events(spark, sf).select("part", "off", "encoded_bytes").write.partitionBy("part").parquet(folder)
-    log = spark.read.schema("off long, encoded_bytes long, part int").parquet(folder)
-    rows = [(p, *page) for p in range(PARTS) for page in scan.read_pages(log, p, 1024)]
-    return spark.createDataFrame(rows, "part int, first_off long, n long, next_offset long")
+    log_events(spark, sf).select("part", "off", "encoded_bytes").write.parquet(folder)
+    return scan.fetches(spark.read.schema("part int, off long, encoded_bytes long").parquet(folder), 1024)
 
 
 @query

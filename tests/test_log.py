@@ -6,10 +6,11 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from offsetlake.functions import scalar
-from offsetlake.functions.schema import Corrupt, InvalidArgument, OffsetOutOfRange, RecordTooLarge
+from offsetlake.functions.schema import Corrupt, FetchLimitTooSmall, InvalidArgument, OffsetOutOfRange, RecordTooLarge
 from offsetlake.functions.workspace import work_path
 from offsetlake.operators import capacity, consumer, groups, history, integrity, metrics, packing, replay, retention, scan
 from offsetlake.plans import catalogue, oracle
@@ -65,6 +66,56 @@ def test_fetch_takes_the_longest_run_and_never_skips(spark):
     assert scan.fetch_limits() == (1024, 4 << 20) and scan.matching(log.withColumn("key", F.col("off")), F.lit(2)).first().off == 2
 
 
+def test_fetches_are_those_of_a_reader(spark):
+    """Over ranges that a fetch crosses, from a start above 0, across missing offsets and of a null partition; limits of bytes and of records cut."""
+    rnd = random.Random(3)
+    logs = {None: (0, 900), -1: (5, 1), 0: (0, 300), 1: (611, 1000), 2: (128, 129)}
+    rows = [(p, i, rnd.choice([0, 36, 40, 99, 300]), 0) for p, (low, n) in logs.items() for i in range(low, low + n) if i == low or i % 50 > 2]
+    log = spark.createDataFrame(rows, "part int, off long, encoded_bytes long, ts_ms long").repartition(3)
+    for records, size in ((4, 700), (8, 300), (7, 1 << 20)):
+        want = set()
+        for p in logs:
+            own = [(off, n) for q, off, n, _ in rows if q == p]
+            at = own[0][0]
+            while at <= own[-1][0]:
+                seen, upto = [], 0
+                for off, n in own:
+                    if at <= off < at + records:
+                        upto += n
+                        seen += [off] if upto <= size else []
+                at = seen[-1] + 1
+                want.add((p, seen[0], len(seen), at))
+        got = [tuple(r) for r in scan.fetches(log, records, size, 64).collect()]
+        assert len(got) == len(want) and set(got) == want
+    with pytest.raises(PythonException, match="FetchLimitTooSmall"):  # the cursor cannot pass a gap as long as a fetch
+        scan.fetches(log, 3, 300, 64).collect()
+    whole = log.where("part = 2 and off between 153 and 199")
+    assert [tuple(r) for r in scan.fetches(whole, 1, 300, 16).orderBy("first_off").collect()] == [(2, i, 1, i + 1) for i in range(153, 200)]
+    short = log.where("part = 2 and off < 160")
+    assert sorted(tuple(r)[1:] for r in scan.fetches(short, 8, 300).collect()) == scan.read_pages(short, 2, 8, 300)
+    assert scan.fetches(log.where("false")).count() == 0
+    with pytest.raises(FetchLimitTooSmall):
+        scan.fetches(log, 8, 299)
+    with pytest.raises(InvalidArgument):
+        scan.fetches(log, -1)
+
+
+def test_fetch_pages_has_no_job_for_each_fetch(spark, duck, tmp_path):
+    """24 fetches and more take the jobs that 4 do."""
+    jobs = []
+    for copies in (1, 24):
+        folder = tmp_path / str(copies)
+        folder.mkdir()
+        duck.execute(f"COPY (SELECT * REPLACE (event_id + 1000000 * k AS event_id) FROM events, range({copies}) t(k)) TO '{folder}/events.parquet'")
+        spark.sparkContext.setJobGroup(f"fetches-{copies}", "")
+        got = {tuple(r) for r in catalogue.fetch_pages(spark, str(folder)).select("part", "first_off", "n", "next_offset").collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fetches-{copies}")))
+        own = duckdb.connect()
+        own.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+        assert got == set(own.execute(f"SELECT part, first_off, n, next_offset FROM ({oracle.SQL['fetch_pages']})").fetchall()) and len(got) >= copies
+    assert jobs[0] == jobs[1] > 0
+
+
 def test_numbers_follow_the_order_over_buckets(spark):
     rnd = random.Random(1)
     rows = [(rnd.randint(0, 2), t, rnd.randint(0, 9)) for t in rnd.sample(range(10_000), 500)]
